@@ -7,13 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, mixing, quality, simhash
+from . import bpe, media, mixing, quality, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _byte_bpe() -> tuple[bytes, str]:
+    import public_tokenizers
+
+    return bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN
+
+
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.tokenize(_table(spark, sf_dir, "documents"), *_byte_bpe(), keep=["doc_id"], outputs=["n_tokens", "ids_sha256", "decoded_sha256"])
+
+
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = media.payload_media(_table(spark, sf_dir, "documents"))
     found = media.features(stored, ["doc_id", "n_bytes"], tiles=False)
@@ -34,6 +44,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_bpe": op3_bpe,
     "op5_media": op5_media,
     "op6_mixing": op6_mixing,
     "op8_simhash": op8_simhash,

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, media, mixing, quality, simhash, urlfilter, warc
+from . import bpe, linededup, media, mixing, quality, simhash, toolchat, urlfilter, warc
+from .oracles import ORACLES as ORACLES
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +30,13 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.tokenize(_table(spark, sf_dir, "documents"), *_byte_bpe(), keep=["doc_id"], outputs=["n_tokens", "ids_sha256", "decoded_sha256"])
 
 
+REPLY = {"type": "object", "required": ["prompt", "turn"], "properties": {"prompt": {"type": "string", "minLength": 20, "maxLength": 100_000}, "turn": {"type": "integer", "minimum": 0}}}
+
+
+def op4_toolchat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toolchat.tool_chats(_table(spark, sf_dir, "conversations"), {"reply": REPLY})
+
+
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = media.payload_media(_table(spark, sf_dir, "documents"))
     found = media.features(stored, ["doc_id", "n_bytes"], tiles=False)
@@ -39,6 +47,11 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(_table(spark, sf_dir, "documents"))
 
 
+def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = linededup.remove_boilerplate(_table(spark, sf_dir, "documents"), counts=True)
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_print(F.col("fp")).alias("fingerprint"), "component_id")
@@ -65,11 +78,11 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc": op2_warc,
     "op3_bpe": op3_bpe,
+    "op4_toolchat": op4_toolchat,
     "op5_media": op5_media,
     "op6_mixing": op6_mixing,
+    "op7_lines": op7_lines,
     "op8_simhash": op8_simhash,
     "op9_quality": op9_quality,
     "op10_urls": op10_urls,
 }
-
-ORACLES: dict[str, str] = {}

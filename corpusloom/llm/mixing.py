@@ -55,7 +55,7 @@ def running(df: DataFrame, keys: list[str], bucket: str, order: list[str | Colum
     return df.withColumn("_inside", inside).join(before, [*keys, bucket]).withColumn(out, F.col("_before") + F.col("_inside")).drop("_before", "_inside")
 
 
-def sized(docs: DataFrame, seed: int = 0) -> DataFrame:
+def sized(docs: DataFrame, seed: str = "") -> DataFrame:
     """(row, doc_id, source, skey, size, turn): turn is the place in the source's shuffled queue, from the id alone."""
     return docs.select(
         F.monotonically_increasing_id().alias("row"),
@@ -63,7 +63,7 @@ def sized(docs: DataFrame, seed: int = 0) -> DataFrame:
         F.col("source"),
         F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")).alias("skey"),
         n_words(F.col("text")).alias("size"),
-        F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(seed)), 1).alias("turn"),
+        F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(seed))), 1, 15), 16, 10).cast("long").alias("turn"),
     )
 
 
@@ -76,7 +76,7 @@ def fair_queue(rows: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: flo
     sources = rows.groupBy("skey", "source").agg(F.sum("size").alias("source_size"))
     targets = staged(source_targets(sources, weights, share, most).withColumn("skey", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))), "mix-targets")
     n = parts_for(rows.count(), BUCKET_ROWS)
-    queue = rows.where("size > 0").withColumn("_bucket", F.expr(f"turn div {(2**63 - 1) // n + 1}"))
+    queue = rows.where("size > 0").withColumn("_bucket", F.expr(f"turn div {2**60 // n + 1}"))
     queue = running(queue, ["skey"], "_bucket", ["turn", "doc_id", "size", "row"], "size", "_served").drop("_bucket")
     queue = queue.join(targets.select("skey", "source_size", "target", "budget"), "skey").where("target > 0")
     entries = (

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, linededup, media, mixing, quality, simhash, toolchat, urlfilter, warc
+from . import bpe, ctw, linededup, media, mixing, quality, simhash, toolchat, urlfilter, warc
 from .oracles import ORACLES as ORACLES
 
 
@@ -15,19 +15,24 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seventh = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(7))
+    return ctw.score(_table(spark, sf_dir, "documents"), seventh != 2, scanned=True)
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = warc.write(_table(spark, sf_dir, "pages"))
     return warc.read(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-def _byte_bpe() -> tuple[bytes, str]:
+def byte_bpe() -> tuple[bytes, str]:
     import public_tokenizers
 
     return bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.tokenize(_table(spark, sf_dir, "documents"), *_byte_bpe(), keep=["doc_id"], outputs=["n_tokens", "ids_sha256", "decoded_sha256"])
+    return bpe.tokenize(_table(spark, sf_dir, "documents"), *byte_bpe(), keep=["doc_id"], outputs=["n_tokens", "ids_sha256", "decoded_sha256"])
 
 
 REPLY = {"type": "object", "required": ["prompt", "turn"], "properties": {"prompt": {"type": "string", "minLength": 20, "maxLength": 100_000}, "turn": {"type": "integer", "minimum": 0}}}
@@ -76,6 +81,7 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ctw": op1_ctw,
     "op2_warc": op2_warc,
     "op3_bpe": op3_bpe,
     "op4_toolchat": op4_toolchat,

@@ -1,6 +1,6 @@
 """Chunkers as Column expressions: a text column in, an array of struct<pos, content> out.
 
-Lengths and positions are in code points throughout. A null text gives null, an empty one no chunks.
+Lengths and positions are in code points throughout. A null or empty text has no chunks.
 """
 
 from __future__ import annotations

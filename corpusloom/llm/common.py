@@ -9,6 +9,7 @@ import uuid
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: A word, everywhere in this subpackage: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -74,3 +75,25 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
 def parts_for(rows: int, per: int, least: int = 1) -> int:
     """A number of parts that grows with the rows."""
     return max(least, -(-rows // per))
+
+
+def columns_of(df: DataFrame) -> list[Column]:
+    """All columns by quoted names, so that dots in names are just that."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of df has, in whatever case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def map_positions(df: DataFrame, run, fields: list[StructField]) -> DataFrame:
+    """mapInArrow for columns of any name: run sees and yields c0, c1 and so on; the result has these fields."""
+    plain = df.toDF(*(f"c{k}" for k in range(len(df.columns))))
+    return plain.mapInArrow(run, StructType([StructField(f"c{k}", f.dataType) for k, f in enumerate(fields)])).toDF(*(f.name for f in fields))

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import bound_batches, staged, text_bytes
 
-DEPTH = 5
+DEPTH = 6
 END = b"\n"
 #: Bytes on disk of an input split per block, and bytes of text whose strings are sorted at once.
 BLOCK_BYTES, SLICE = 16 << 20, 1 << 20
@@ -352,12 +352,14 @@ def _score_blocks(docs: DataFrame, answers: DataFrame, total: int, distinct: int
     out_schema = f"doc_id {kind_of.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
 
     def scores(block: list, answers: dict) -> Iterator[pa.RecordBatch]:
-        both = [_normal(t) for t in (x[2] for x in block)]
-        words, tally = _Words(), Tally()
-        codes = [words.codes([*w, END]) for w, _ in both]
-        cuts = list(_slices([t for _, t in both]))
+        words, tally, codes, normal = _Words(), Tally(), [], []
+        for _, _, raw in block:  # a text's words are many small objects: none outlives its text
+            split, joined = _normal(raw)
+            codes.append(words.codes([*split, END]))
+            normal.append(joined)
+        cuts = list(_slices(normal))
         for some in cuts:
-            tally.add(*_counted(_grams([both[k][1] for k in some], depth)))
+            tally.add(*_counted(_grams([normal[k] for k in some], depth)))
         tables = {}
         for kind, keys in ((GRAM, _added(*tally.total())[0]), (TOKEN, np.sort(words.hashes()))):
             order, bounds = _by_part(kind, keys, parts)
@@ -366,7 +368,7 @@ def _score_blocks(docs: DataFrame, answers: DataFrame, total: int, distinct: int
         counts = tables[TOKEN][words.hashes()]
         base, seen = np.log10(counts + 1) - unit, counts > 0
         for some in cuts:
-            parts_of = [both[k][1] for k in some]
+            parts_of = [normal[k] for k in some]
             sizes = np.array([len(t) for t in parts_of])
             lengths = np.add.reduceat(tables[GRAM][_grams(parts_of, depth)].astype(np.float64), np.cumsum(sizes) - sizes)
             rows = [(block[k][0], not block[k][1], len(codes[k]), int(seen[codes[k]].sum()), total, float(base[codes[k]].sum()), float(s), -float(s) / math.log10(2) / n) for k, s, n in zip(some, lengths, sizes, strict=True)]

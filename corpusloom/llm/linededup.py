@@ -17,8 +17,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField
 
-from .common import WORD, bound_batches, staged
+from .common import WORD, bound_batches, columns_of, map_positions, staged, unused
 
 MIN_SITES = 8
 #: Share of the threshold within which estimates are checked, and the sketch's log2 of registers (error 1.6 %).
@@ -63,9 +64,9 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, counts: bool
     rows = lines(docs)
     known = boilerplate(rows, min_sites)
     here = rows.join(_sized(known), "line").where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("pos") == F.col("first.pos"))))
-    gone = here.groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("_gone"))
-    gone = gone.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "_gone")
-    texts = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")), "left").select(*docs.columns, "_gone")
+    gone_, id_, hash_ = unused(docs, "gone", "id", "hash")
+    gone = here.groupBy(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_)).agg(F.collect_set("pos").alias(gone_))
+    texts = docs.join(gone, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.xxhash64("text") == F.col(hash_)), "left").select(*columns_of(docs), gone_)
     at, n = docs.columns.index("text"), len(docs.columns)
     chars = docs.columns.index("n_chars") if "n_chars" in docs.columns else -1
 
@@ -90,8 +91,7 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, counts: bool
                 columns[chars] = pa.array([len(t) if g else old for t, g, old in zip(texts, b.column(n).to_pylist(), columns[chars].to_pylist(), strict=True)], columns[chars].type)
             if counts:
                 columns += [pa.array(held, pa.int64()), pa.array(removed, pa.int64())]
-            names = [*b.schema.names[:n], *["n_lines", "n_removed"][: 2 * counts]]
-            yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(columns, names=[f"c{k}" for k in range(len(columns))]).filter(pa.array(keep, pa.bool_()))
 
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in docs.columns)
-    return texts.mapInArrow(run, schema + (", n_lines long, n_removed long" if counts else ""))
+    more = [StructField("n_lines", LongType()), StructField("n_removed", LongType())][: 2 * counts]
+    return map_positions(texts, run, [*docs.schema.fields, *more])

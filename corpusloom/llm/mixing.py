@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import n_words, parts_for, staged
+from .common import columns_of, n_words, parts_for, staged, unused
 
 #: Rows of one prefix-sum bucket.
 BUCKET_ROWS = 20_000
@@ -103,9 +103,9 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float =
 
 def take_mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2) -> DataFrame:
     """The mix itself: the documents' own rows, each as often as it is taken. Rows equal in id, source and size share what they are given."""
-    names = docs.columns
-    got = mixed(docs, weights, share, most).where("taken > 0")
+    key_, size_, times_, copy_ = unused(docs, "key", "words", "times", "copy")
     key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))
-    times = got.groupBy(key.alias("_key"), F.col("size").alias("_size")).agg(F.expr("cast(round(sum(taken) / sum(size)) as int)").alias("_times")).where("_times > 0")
-    texts = docs.select(*names, key.alias("_key"), n_words(F.col("text")).alias("_size"))
-    return texts.join(times, ["_key", "_size"]).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*names)
+    got = mixed(docs, weights, share, most).where("taken > 0")
+    times = got.groupBy(key.alias(key_), F.col("size").alias(size_)).agg(F.expr("cast(round(sum(taken) / sum(size)) as int)").alias(times_)).where(F.col(times_) > 0)
+    texts = docs.select(*columns_of(docs), key.alias(key_), n_words(F.col("text")).alias(size_))
+    return texts.join(times, [key_, size_]).withColumn(copy_, F.explode(F.sequence(F.lit(1), F.col(times_)))).select(*columns_of(docs))

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import bound_batches, text_bytes
+from .common import bound_batches, map_positions, text_bytes
 
 MIN_WORDS = 50
 #: Words of the window whose repeats the base rule counts, and percent of the words that may lie in them.
@@ -181,4 +181,4 @@ def keep_good(docs: DataFrame, **limits) -> DataFrame:
             for i, j in _slices(texts, 1 << 20):
                 yield b.slice(i, j - i).filter(pa.array(measure(texts[i:j], **limits)["kept"]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_positions(docs, run, docs.schema.fields)

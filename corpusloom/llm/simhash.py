@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import bound_batches, parts_for, staged, text_bytes
+from .common import bound_batches, columns_of, staged, text_bytes, unused
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
 #: Most fingerprints in one tree.
@@ -45,15 +45,17 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): fp holds the 64 bits as a long."""
+    """(doc_id, fp, text_hash): fp holds the 64 bits as a long; text_hash is xxhash64 of the text, null as empty."""
     bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            prints = np.array([fingerprint(t, shingle) for t in text_bytes(b.column(1))], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(prints.view(np.int64))], names=["doc_id", "fp"])
+            texts = text_bytes(b.column(1))
+            prints = np.array([fingerprint(t, shingle) for t in texts], np.uint64)
+            hashes = np.array([xxhash.xxh64_intdigest(t, SEED) for t in texts], np.uint64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(prints.view(np.int64)), pa.array(hashes.view(np.int64))], names=["doc_id", "fp", "text_hash"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long, text_hash long")
 
 
 class BKTree:
@@ -190,13 +192,14 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """(doc_id, fp, component_id) for each row: component_id is the smallest doc_id reachable over links."""
+    """(doc_id, fp, text_hash, root, component_id) for each row: component_id is the smallest doc_id reachable over links, root a
+    fingerprint that names the component."""
     prints = staged(fingerprints(docs, shingle), "simhash-prints")
     each = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
     roots = components(links(each, radius))
     of = each.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     smallest = of.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.join(of.join(smallest, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return prints.join(of.join(smallest, "root").select("fp", "root", "component_id"), "fp").select("doc_id", "fp", "text_hash", "root", "component_id")
 
 
 def hex_print(fp: Column) -> Column:
@@ -205,8 +208,13 @@ def hex_print(fp: Column) -> Column:
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """The rows, with all their columns, of each component's smallest doc_id; of several rows with that id, the one of the least text."""
-    found = near_duplicates(docs, shingle, radius).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).groupBy("_id").agg(F.count("*").alias("_rows"))
-    kept = docs.join(found, F.col("doc_id").eqNullSafe(F.col("_id")))
-    order = W.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
-    return kept.withColumn("_n", F.row_number().over(order)).where("_n = 1").select(*docs.columns)
+    """One row, with all its columns, of each component: that of the smallest doc_id (nulls last), then the smallest text hash."""
+    id_, hash_, place_ = unused(docs, "id", "hash", "place")
+    found = near_duplicates(docs, shingle, radius)
+    least = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("k"))
+    least = least.select(F.col("k.doc_id").alias(id_), F.col("k.text_hash").alias(hash_))
+    here = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    kept = docs.join(least, F.col("doc_id").eqNullSafe(F.col(id_)) & (here == F.col(hash_)))
+    # Rows that repeat both are the same document.
+    order = W.partitionBy(id_, hash_).orderBy(F.lit(0))
+    return kept.withColumn(place_, F.row_number().over(order)).where(F.col(place_) == 1).select(*columns_of(docs))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -40,7 +39,11 @@ def shared_dir(spark: SparkSession) -> str:
         else:
             found = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
             spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/") if "://" in found else "file://" + os.path.abspath(found)
+    # As Hadoop resolves it: a path without a scheme is one of the default file system's.
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(found)
+    whole = path.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+    return whole if "://" in whole else "file://" + whole.removeprefix("file:")
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:

@@ -42,7 +42,7 @@ RECORD = "page_id long, url string, record_type string, refers_to long, payload
 def _open(uri: str):
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri)
+    return fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1) if uri.startswith("s3a://") else uri)
 
 
 def base32_sha1(data: bytes) -> str:

@@ -81,10 +81,12 @@ def depths(edges: DataFrame) -> DataFrame:
     now = edges.join(ids, F.col("after") == F.col("known"), "left").select("id", F.col("known").alias("jump"), F.when(F.col("known").isNull(), 0).otherwise(1).cast("long").alias("depth"))
     now = staged(now, "chat-depth")
     for _ in range(ceil(log2(max(2, now.count()))) + 1):
-        if now.where("jump is not null").isEmpty():
+        waiting = now.where("jump is not null")
+        if waiting.isEmpty():
             break
         ahead = now.select(F.col("id").alias("jump"), F.col("jump").alias("_jump"), F.col("depth").alias("_depth"))
-        now = staged(now.join(ahead, "jump", "left").select("id", F.col("_jump").alias("jump"), (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth")), "chat-depth")
+        moved = waiting.join(ahead, "jump").select("id", F.col("_jump").alias("jump"), (F.col("depth") + F.col("_depth")).alias("depth"))
+        now = staged(moved.unionByName(now.where("jump is null")), "chat-depth")
     return now.select("id", F.when(F.col("jump").isNull(), F.col("depth")).alias("depth"))
 
 

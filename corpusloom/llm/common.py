@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -66,6 +69,25 @@ def bound_batches(spark: SparkSession, size: int = BATCH_BYTES) -> None:
         spark.conf.set(key, str(size))
 
 
+#: What the operator that a worker process runs at present keeps from task to task.
+_kept: dict[str, dict] = {}
+
+
+def worker_state(name: str) -> dict:
+    """A dict that stays in a worker process while it runs tasks of one operator. Another operator's task drops it, as workers
+    serve all of them and their memory is one."""
+    if name not in _kept:
+        had = bool(_kept)
+        _kept.clear()
+        _kept[name] = {}
+        if had:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # only glibc gives freed memory back on request
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+    return _kept[name]
+
+
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """The texts as UTF-8; null as empty."""
     if isinstance(column, pa.ChunkedArray):

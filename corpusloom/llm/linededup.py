@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField
 
-from .common import WORD, bound_batches, columns_of, map_positions, staged, unused
+from .common import WORD, bound_batches, columns_of, map_positions, staged, unused, worker_state
 
 MIN_SITES = 8
 #: Share of the threshold within which estimates are checked, and the sketch's log2 of registers (error 1.6 %).
@@ -71,6 +71,7 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, counts: bool
     chars = docs.columns.index("n_chars") if "n_chars" in docs.columns else -1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("linededup")
         for b in batches:
             texts, keep, held, removed = [], [], [], []
             for text, gone in zip(b.column(at).to_pylist(), b.column(n).to_pylist(), strict=True):

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import bound_batches, text_bytes
+from .common import bound_batches, text_bytes, worker_state
 
 #: Samples in a row of an image that holds a payload.
 WIDTH = 64
@@ -145,6 +145,7 @@ def payload_media(docs: DataFrame, fmt: str = "pgm", width: int = WIDTH) -> Data
     encode = {"pgm": encode_pgm, "bmp": encode_bmp}[fmt]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("media")
         for b in batches:
             texts = text_bytes(b.column(1))
             media = []
@@ -163,6 +164,7 @@ def features(media: DataFrame, keep: list[str], tile: tuple[int, int] = TILE, ti
     bound_batches(media.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("media")
         for b in batches:
             out = []
             for m in b.column(len(keep)).to_pylist():

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import bound_batches, map_positions, text_bytes
+from .common import bound_batches, map_positions, text_bytes, worker_state
 
 MIN_WORDS = 50
 #: Words of the window whose repeats the base rule counts, and percent of the words that may lie in them.
@@ -161,6 +161,7 @@ def judge(docs: DataFrame, **limits) -> DataFrame:
     bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("quality")
         for b in batches:
             texts = text_bytes(b.column(1))
             for i, j in _slices(texts, 1 << 20):
@@ -176,6 +177,7 @@ def keep_good(docs: DataFrame, **limits) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("quality")
         for b in batches:
             texts = text_bytes(b.column(at))
             for i, j in _slices(texts, 1 << 20):

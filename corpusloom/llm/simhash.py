@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import bound_batches, columns_of, staged, text_bytes, unused
+from .common import bound_batches, columns_of, staged, text_bytes, unused, worker_state
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
 #: Most fingerprints in one tree.
@@ -49,6 +49,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("simhash")
         for b in batches:
             texts = text_bytes(b.column(1))
             prints = np.array([fingerprint(t, shingle) for t in texts], np.uint64)
@@ -151,6 +152,7 @@ def links(prints: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFr
 
 def _search(rows: DataFrame, radius: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("simhash")
         now, held = None, []
 
         def flush() -> pa.RecordBatch:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, fresh_path, parts_for, staged
+from .common import bound_batches, fresh_path, parts_for, staged, worker_state
 
 SHARD_BYTES, ROLL_BYTES, MOST_SHARDS = 32 << 20, 16 << 20, 50_000
 #: Ranges of page ids that are weighed; bounds what the driver sees.
@@ -148,6 +148,7 @@ def write(pages: DataFrame, folder: str | None = None, shard_bytes: int = SHARD_
     in_order = dealt.repartition(n, "shard").sortWithinPartitions("shard", "page_id", "digest", "kind", "url").select("shard", "page_id", "digest", "kind", "url", "payload", "first")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("warc")
         files = _Files(folder, roll_bytes)
         key, first, open_ = None, None, False
         for b in batches:
@@ -209,6 +210,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     n = parts_for(manifest.count(), 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("warc")
         fs, root = _open(folder)
         names = [f.split()[0] for f in RECORD.split(", ")]
         kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.int64(), pa.string()]

@@ -8,8 +8,8 @@ With the counts of the training texts, a decision's probability is the mixture a
 No task needs the whole model, which grows with the corpus:
 
 1. Each block of texts (a piece of an input split) counts its distinct byte strings of DEPTH + 1 and its words.
-2. Parts, by a string's last two context bytes or a word's hash, add up the blocks' counts. Levels DEPTH to 2 of the trees
-   lie within parts; the sums for level 1, at most 65,280 nodes, give the two upper levels to all.
+2. Parts, by a string's last TOP context bytes or a word's hash, add up the blocks' counts. Levels DEPTH to TOP of the trees
+   lie within parts; their sums for the level above, at most 256 ** TOP nodes, give the upper levels to all.
 3. Parts answer each block's keys, in the block's order, with code lengths and counts.
 4. Blocks meet their answers, the texts' only shuffle, and add up each text.
 
@@ -32,9 +32,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, staged, text_bytes
+from .common import bound_batches, staged, text_bytes, worker_state
 
 DEPTH = 6
+#: Context bytes that parts go by. 3 keeps common pairs of bytes apart, and bounds the nodes that all share by 2 ** 24; texts have
+#: some 10 ** 5 of them. A depth below it takes its place.
+TOP = 3
 END = b"\n"
 #: Bytes on disk of an input split per block, and bytes of text whose strings are sorted at once.
 BLOCK_BYTES, SLICE = 16 << 20, 1 << 20
@@ -88,38 +91,40 @@ class Trees:
             weighted = np.logaddexp(k, below) - math.log(2)
             self.levels[-1].append(up)
             self.levels.append([node, n0, n1, _leaf(k, below)])
-        parent, up = np.unique(_up(node, top - 1), return_inverse=True)
+        parent, self.to_above = np.unique(_up(node, top - 1), return_inverse=True)
         #: Sums for the level above: nodes, zeros, ones, log Pw.
-        self.above = (parent, *(np.bincount(up, x, len(parent)) for x in (n0, n1, weighted)))
-
-    def code_lengths(self, mass: np.ndarray, rest: np.ndarray) -> np.ndarray:
-        """Log10 probability of each string's byte. mass and rest, by nodes of the level above: the probability of a one mixed
-        so far, and the weight that is left for deeper levels."""
-        up = None
-        for node, n0, n1, leaf, *parent in reversed(self.levels):
-            at = _up(node, 1) if up is None else None
-            m, r = (mass[at], rest[at]) if up is None else (mass[parent[0]], rest[parent[0]])
-            mass, rest, up = m + r * leaf * _one(n0, n1), r * (1 - leaf), True
+        self.above = (parent, *(np.bincount(self.to_above, x, len(parent)) for x in (n0, n1, weighted)))
+
+    def code_lengths(self, upper: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+        """Log10 probability of each string's byte. upper: nodes of the level above in order, the probability of a one that is
+        mixed up to there, and the weight that is left for deeper levels."""
+        known, mass, rest = upper
+        at = np.searchsorted(known, self.above[0])[self.to_above]
+        for _, n0, n1, leaf, *parent in reversed(self.levels):
+            at = parent[0] if parent else at
+            mass, rest = mass[at] + rest[at] * leaf * _one(n0, n1), rest[at] * (1 - leaf)
         p = mass[self.of]
         return np.log10(np.where(self.bit == 1, p, 1 - p)).reshape(8, -1).sum(0)
 
 
-def upper(rows: list[tuple[int, float, float, float]]) -> tuple[np.ndarray, np.ndarray]:
-    """From the sums for level 1 (node, zeros, ones, log Pw below): mass and rest by level 1's nodes."""
-    mass, rest = np.full(1 << 16, 0.5), np.zeros(1 << 16)
-    if not rows:
-        return mass, rest
-    node, n0, n1, below = (np.array(x) for x in zip(*rows, strict=True))
-    node = node.astype(np.int64)
-    k = kt(n0, n1)
-    leaf, weighted = _leaf(k, below), np.logaddexp(k, below) - math.log(2)
-    root, up = np.unique(node & 255, return_inverse=True)
-    r0, r1, rbelow = (np.bincount(up, x, len(root)) for x in (n0, n1, weighted))
-    rleaf = _leaf(kt(r0, r1), rbelow)
-    m, r = rleaf * _one(r0, r1), 1 - rleaf
-    mass[node] = m[up] + r[up] * leaf * _one(n0, n1)
-    rest[node] = r[up] * (1 - leaf)
-    return mass, rest
+def upper(node: np.ndarray, n0: np.ndarray, n1: np.ndarray, below: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """From the sums for a level (distinct nodes, zeros, ones, log Pw below): nodes, mass and rest, as code_lengths() takes them."""
+    order = np.argsort(node)
+    node, n0, n1, below = (x[order] for x in (node.astype(np.int64), n0, n1, below))
+    levels = []
+    for d in range(depth, -1, -1):
+        k = kt(n0, n1)
+        weighted = np.logaddexp(k, below) - math.log(2)
+        parent, up = np.unique(_up(node, d - 1), return_inverse=True) if d else (node, None)
+        levels.append((node, n0, n1, _leaf(k, below), up))
+        if d:
+            node, (n0, n1, below) = parent, (np.bincount(up, x, len(parent)) for x in (n0, n1, weighted))
+    mass, rest = np.zeros(len(node)), np.ones(len(node))
+    up = np.arange(len(node))
+    for k, (_, n0, n1, leaf, _) in enumerate(reversed(levels)):
+        at = up if k == 0 else levels[len(levels) - 1 - k][4]
+        mass, rest = mass[at] + rest[at] * leaf * _one(n0, n1), rest[at] * (1 - leaf)
+    return levels[0][0], mass, rest
 
 
 def _normal(text: bytes) -> tuple[list[bytes], bytes]:
@@ -185,15 +190,15 @@ def _unpack(raw: bytes, size: int) -> np.ndarray:
     return out.reshape(-1).view("<u8")
 
 
-def _parts(kind: int, keys: np.ndarray, parts: int) -> np.ndarray:
-    """Strings go by their last two context bytes, so that levels from 2 on lie within a part; words by their hash."""
-    x = (keys >> np.uint64(8)) & np.uint64(0xFFFF) if kind == GRAM else keys
+def _parts(kind: int, keys: np.ndarray, parts: int, top: int) -> np.ndarray:
+    """Strings go by their last context bytes, so that levels from `top` on lie within a part; words by their hash."""
+    x = (keys >> np.uint64(8)) & np.uint64((1 << 8 * top) - 1) if kind == GRAM else keys
     return ((x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(parts)
 
 
-def _by_part(kind: int, keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+def _by_part(kind: int, keys: np.ndarray, parts: int, top: int) -> tuple[np.ndarray, np.ndarray]:
     """An order of sorted keys by part, and the bounds of the parts in it."""
-    part = _parts(kind, keys, parts)
+    part = _parts(kind, keys, parts, top)
     order = np.argsort(part, kind="stable")
     return order, np.searchsorted(part[order], np.arange(parts + 1, dtype=np.uint64))
 
@@ -232,6 +237,7 @@ def _count_blocks(docs: DataFrame, depth: int, parts: int) -> DataFrame:
     """docs: block, train, text. CHUNK rows: each block's distinct keys by part, with their counts in training texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("ctw")
         tallies: dict[tuple[int, int], Tally] = defaultdict(Tally)
         for b in batches:
             block, train, raw = b.column(0).to_pylist(), b.column(1).to_pylist(), text_bytes(b.column(2))
@@ -247,7 +253,7 @@ def _count_blocks(docs: DataFrame, depth: int, parts: int) -> DataFrame:
                         tallies[at, kind].add(keys, n.astype(np.int64) if trains else np.zeros(len(keys), np.int64))
         for (at, kind), tally in tallies.items():
             keys, n = _added(*tally.total())
-            order, cuts = _by_part(kind, keys, parts)
+            order, cuts = _by_part(kind, keys, parts, min(TOP, depth))
             size = depth + 1 if kind == GRAM else 8
             full = [p for p in range(parts) if cuts[p] < cuts[p + 1]]
             pieces = [order[cuts[p] : cuts[p + 1]] for p in full]
@@ -261,15 +267,16 @@ MODEL = "kind int, part int, keys binary, counts binary, n long, v long, above a
 
 
 def _add_parts(chunks: DataFrame, depth: int) -> DataFrame:
-    """MODEL rows: each part's keys and sums; for words their number and distinct ones, for strings the sums for level 1."""
+    """MODEL rows: each part's keys and sums; for words their number and distinct ones, for strings the sums for the level above."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("ctw")
         now, tally = None, Tally()
 
         def flush() -> pa.RecordBatch:
             kind, part = now
             keys, n = _added(*tally.total())
-            above = [] if kind == TOKEN else [dict(zip(("node", "n0", "n1", "below"), x, strict=True)) for x in zip(*(y.tolist() for y in Trees(keys, n, depth, 2).above), strict=True)]
+            above = [] if kind == TOKEN else [dict(zip(("node", "n0", "n1", "below"), x, strict=True)) for x in zip(*(y.tolist() for y in Trees(keys, n, depth, min(TOP, depth)).above), strict=True)]
             row = {"kind": kind, "part": part, "keys": _pack(keys, 8), "counts": _pack(n, 8), "n": int(n.sum()) if kind == TOKEN else 0, "v": int((n > 0).sum()) if kind == TOKEN else 0, "above": above}
             schema = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("n", pa.int64()), ("v", pa.int64()), ("above", pa.list_(pa.struct([("node", pa.int32()), ("n0", pa.float64()), ("n1", pa.float64()), ("below", pa.float64())])))])
             return pa.RecordBatch.from_pylist([row], schema)
@@ -291,20 +298,22 @@ def _add_parts(chunks: DataFrame, depth: int) -> DataFrame:
 ANSWER = "block long, kind int, part int, answers binary"
 
 
-def _answer(chunks: DataFrame, model: DataFrame, mass: np.ndarray, rest: np.ndarray, depth: int) -> DataFrame:
+def _answer(chunks: DataFrame, model: DataFrame, above: tuple[np.ndarray, np.ndarray, np.ndarray], depth: int) -> DataFrame:
     """ANSWER rows: for each chunk, in its keys' order, log10 probabilities (float32) of strings or counts (4 bytes) of words."""
     none = F.lit(None)
+    shared = chunks.sparkSession.sparkContext.broadcast(above)  # at most 256 ** TOP nodes
     first = model.select("kind", "part", F.lit(0).alias("turn"), none.cast("long").alias("block"), "keys", "counts")
     rows = first.unionByName(chunks.select("kind", "part", F.lit(1).alias("turn"), "block", "keys", F.lit(None).cast("binary").alias("counts")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("ctw")
         known = values = None
         for b in batches:
             out = []
             for kind, part, turn, block, keys, counts in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if turn == 0:
                     known, n = _unpack(keys, 8), _unpack(counts, 8)
-                    values = n if kind == TOKEN else Trees(known, n, depth, 2).code_lengths(mass, rest).astype("<f4")
+                    values = n if kind == TOKEN else Trees(known, n, depth, min(TOP, depth)).code_lengths(shared.value).astype("<f4")
                 else:
                     got = values[np.searchsorted(known, _unpack(keys, depth + 1 if kind == GRAM else 8))]
                     out.append((block, kind, part, _pack(got, 5) if kind == TOKEN else got.tobytes()))
@@ -362,7 +371,7 @@ def _score_blocks(docs: DataFrame, answers: DataFrame, total: int, distinct: int
             tally.add(*_counted(_grams([normal[k] for k in some], depth)))
         tables = {}
         for kind, keys in ((GRAM, _added(*tally.total())[0]), (TOKEN, np.sort(words.hashes()))):
-            order, bounds = _by_part(kind, keys, parts)
+            order, bounds = _by_part(kind, keys, parts, min(TOP, depth))
             got = np.concatenate([np.frombuffer(answers[kind, p], "<f4") if kind == GRAM else _unpack(answers[kind, p], 5).astype(np.float64) for p in range(parts) if bounds[p] < bounds[p + 1]])
             tables[kind] = Table(keys[order], got)
         counts = tables[TOKEN][words.hashes()]
@@ -377,6 +386,7 @@ def _score_blocks(docs: DataFrame, answers: DataFrame, total: int, distinct: int
     id_type: list = [None]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("ctw")
         now, block, answers = None, [], {}
         for b in batches:
             id_type[0] = b.schema.field("doc_id").type
@@ -419,7 +429,8 @@ def score(docs: DataFrame, train: Column, depth: int = DEPTH, scanned: bool = Fa
     chunks = staged(_count_blocks(rows, depth, parts), "ctw-chunks")
     model = staged(_add_parts(chunks, depth), "ctw-model")
     total, distinct = model.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
-    level1 = model.select(F.explode("above").alias("a")).groupBy("a.node").agg(F.sum("a.n0"), F.sum("a.n1"), F.sum("a.below"))
-    mass, rest = upper([tuple(r) for r in level1.collect()])  # at most 255 * 256 rows
-    answers = staged(_answer(chunks, model, mass, rest, depth), "ctw-answers")
+    sums = model.select(F.explode("above").alias("a")).groupBy("a.node").agg(F.sum("a.n0").alias("n0"), F.sum("a.n1").alias("n1"), F.sum("a.below").alias("below"))
+    held = sums.toArrow()  # at most 256 ** TOP rows of 28 bytes
+    above = upper(*(held[c].to_numpy() for c in ("node", "n0", "n1", "below")), depth=min(TOP, depth) - 1)
+    answers = staged(_answer(chunks, model, above, depth), "ctw-answers")
     return _score_blocks(rows, answers, total, distinct, depth, parts)

@@ -23,28 +23,30 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import bound_batches
+from .common import bound_batches, worker_state
 
 LONG = 512
 #: Words kept by a worker: those of the last KEPT and the KEPT before them.
-KEPT = 250_000
+KEPT = 400_000
 #: Rows that one recursive query makes at most (but for one word alone).
 ROWS = 2_000_000
 
+# Rows are ordered by one number, place: the word's number, then 20 bits of its position. A pair of tokens is one number too.
 CONTRACT = """
-WITH RECURSIVE step(word, pos, token, done) AS (
-    SELECT word, pos, token, false FROM start
+WITH RECURSIVE step(place, token, done) AS (
+    SELECT (word::BIGINT << 20) | pos, token, false FROM start
     UNION ALL
     (WITH pairs AS (
-        SELECT word, pos, token, lead(token) OVER ahead AS right_token, lead(pos) OVER ahead AS right_pos
-        FROM step WHERE NOT done WINDOW ahead AS (PARTITION BY word ORDER BY pos)),
+        SELECT place, token, lead(token) OVER ahead AS right_token, lead(place) OVER ahead AS right_place
+        FROM step WHERE NOT done WINDOW ahead AS (ORDER BY place)),
     best AS (
-        SELECT p.word, min((m.rank << 20) | p.pos) AS code, arg_min(p.right_pos, (m.rank << 20) | p.pos) AS gone
-        FROM pairs p JOIN merges m ON m.l = p.token AND m.r = p.right_token GROUP BY p.word)
-    SELECT p.word, p.pos, CASE WHEN p.pos = (b.code & 1048575) THEN (b.code >> 20)::INTEGER ELSE p.token END, b.code IS NULL
-    FROM pairs p LEFT JOIN best b ON b.word = p.word WHERE b.gone IS NULL OR p.pos <> b.gone))
-SELECT s.word, string_agg(s.token::VARCHAR, ' ' ORDER BY s.pos) AS ids, unhex(string_agg(v.bytes, '' ORDER BY s.pos)) AS decoded
-FROM step s JOIN vocabulary v ON v.id = s.token WHERE s.done GROUP BY s.word ORDER BY s.word
+        SELECT p.place >> 20 AS word, min((m.rank << 20) | (p.place & 1048575)) AS code, arg_min(p.right_place, (m.rank << 20) | (p.place & 1048575)) AS gone
+        FROM pairs p JOIN merges m ON m.pair = (p.token::BIGINT << 32 | p.right_token)
+        WHERE p.right_place >> 20 = p.place >> 20 GROUP BY p.place >> 20)
+    SELECT p.place, CASE WHEN (p.place & 1048575) = (b.code & 1048575) THEN (b.code >> 20)::INTEGER ELSE p.token END, b.code IS NULL
+    FROM pairs p LEFT JOIN best b ON b.word = p.place >> 20 WHERE b.gone IS NULL OR p.place <> b.gone))
+SELECT s.place >> 20 AS word, string_agg(s.token::VARCHAR, ' ' ORDER BY s.place) AS ids, unhex(string_agg(v.bytes, '' ORDER BY s.place)) AS decoded
+FROM step s JOIN vocabulary v ON v.id = s.token WHERE s.done GROUP BY s.place >> 20 ORDER BY s.place >> 20
 """
 
 DECODE = """
@@ -71,7 +73,8 @@ class Codec:
         pairs = [(self.ranks[t[:k]], self.ranks[t[k:]], r) for t, r in self.ranks.items() for k in range(1, len(t)) if t[:k] in self.ranks and t[k:] in self.ranks]
         left, right, rank = zip(*pairs, strict=True) if pairs else ((), (), ())
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
-        self._table("merges", l=pa.array(left, pa.int32()), r=pa.array(right, pa.int32()), rank=pa.array(rank, pa.int64()))
+        pair = np.array(left, np.int64) << 32 | np.array(right, np.int64)
+        self._table("merges", pair=pa.array(pair, pa.int64()), rank=pa.array(rank, pa.int64()))
         self._table("vocabulary", id=pa.array(self.ranks.values(), pa.int32()), bytes=pa.array([t.hex() for t in self.ranks]))
         self.token = {r: t for t, r in self.ranks.items()}
         self.new: dict[str, tuple[str, bytes]] = {}
@@ -171,16 +174,13 @@ class Codec:
             self.old, self.new = self.new, {}
 
 
-_codecs: dict[tuple[str, str], Codec] = {}
-
-
 def codec(raw: bytes, pattern: str) -> Codec:
     """The worker's codec for this vocabulary, made once."""
-    key = (hashlib.sha256(raw).hexdigest(), pattern)
-    if key not in _codecs:
-        _codecs.clear()
-        _codecs[key] = Codec(raw, pattern)
-    return _codecs[key]
+    kept, key = worker_state("bpe"), (hashlib.sha256(raw).hexdigest(), pattern)
+    if key not in kept:
+        kept.clear()
+        kept[key] = Codec(raw, pattern)
+    return kept[key]
 
 
 def _slices(column: pa.Array, size: int = 1 << 20) -> Iterator[tuple[int, list[str]]]:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .common import columns_of, n_words, parts_for, staged, unused
 
 #: Rows of one prefix-sum bucket.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 4_000
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2) -> DataFrame:

@@ -38,7 +38,12 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
         return xxhash.xxh64_intdigest(b" ".join(words), SEED)
     digest, join, n = xxhash.xxh64_intdigest, b" ".join, len(words) - shingle + 1
     hashes = np.fromiter((digest(join(x), SEED) for x in zip(*(words[k:] for k in range(shingle)), strict=False)), np.dtype(">u8"), n)
-    ones = np.zeros(64, np.int64)
+    return fingerprint_of(hashes)
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """64-bit SimHash of hashes, big-endian unsigned."""
+    n, ones = len(hashes), np.zeros(64, np.int64)
     for at in range(0, n, 1 << 16):
         ones += np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
@@ -211,8 +216,12 @@ def hex_print(fp: Column) -> Column:
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """One row, with all its columns, of each component: that of the smallest doc_id (nulls last), then the smallest text hash."""
+    return keep_least(docs, near_duplicates(docs, shingle, radius))
+
+
+def keep_least(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """keep_one() for groups found: (doc_id, text_hash, root) for each row."""
     id_, hash_, place_ = unused(docs, "id", "hash", "place")
-    found = near_duplicates(docs, shingle, radius)
     least = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("k"))
     least = least.select(F.col("k.doc_id").alias(id_), F.col("k.text_hash").alias(hash_))
     here = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))

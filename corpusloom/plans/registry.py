@@ -374,7 +374,7 @@ def label_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _triplets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    corpus = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("docid"), F.substring("text", 1, 40).alias("text"))
+    corpus = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("docid"), "text")
     pairs = _pairs(spark, sf_dir).where("cast(docid as long) % 20 < 12 or type <> 'original_pos' or llm_label = 1")
     held = lambda kind: F.array_sort(F.collect_list(F.when(F.col("type") == kind, F.struct("docid", "text"))))
     triplets = pairs.join(corpus, "docid").groupBy("qid").agg(held("original_pos").alias("pos"), held("false_hard_neg").alias("hard_neg"))

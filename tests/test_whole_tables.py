@@ -24,3 +24,13 @@ def test_all_documents_are_paired_and_scored(spark, tmp_path):
         of[k % 40].append((-len(words & set(t.split())) / len(words), k))
     want = {(str(q), str(k), n + 1, -s) for q, found in of.items() for n, (s, k) in enumerate(sorted(found))}
     assert {(r.qid, r.docid, r["rank"], r.score) for r in registry.QUERIES["rerank_scored"](spark, str(tmp_path)).collect()} == want
+
+
+def test_the_new_corpus_has_whole_texts(spark, tmp_path):
+    texts = documents(spark, tmp_path, 30)
+    spark.createDataFrame([(k, k % 2, 0) for k in range(30)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    gone = {k for k in range(30) if k % 3 == 2 and k % 2 and k % 7}
+    got = {(r.docid, r.text) for r in registry.QUERIES["rebuild_corpus"](spark, str(tmp_path)).collect()}
+    assert got == {(str(k), t) for k, t in texts.items() if k not in gone} and min(len(t) for _, t in got) > 40
+    _, _, triplets = registry._triplets(spark, str(tmp_path))
+    assert all(d.text == texts[int(d.docid)] for r in triplets.collect() for d in [*r.pos, *r.hard_neg])

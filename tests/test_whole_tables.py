@@ -34,3 +34,19 @@ def test_the_new_corpus_has_whole_texts(spark, tmp_path):
     assert got == {(str(k), t) for k, t in texts.items() if k not in gone} and min(len(t) for _, t in got) > 40
     _, _, triplets = registry._triplets(spark, str(tmp_path))
     assert all(d.text == texts[int(d.docid)] for r in triplets.collect() for d in [*r.pos, *r.hard_neg])
+
+
+def test_every_query_with_a_bad_original_goes(spark, tmp_path):
+    documents(spark, tmp_path, 120)
+    # Originals (doc_id % 3 = 0) are good but for doc_id 18, of q18; those of doc_id % 7 = 0 have failed and count as bad.
+    spark.createDataFrame([(k, int(k != 18), 0) for k in range(120)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    bad = {f"q{k % 20}" for k in range(0, 120, 3) if k == 18 or k % 7 == 0}
+    gone = {k for k in range(120) if k % 3 == 2 and k % 7}
+    kept = [k for k in range(120) if f"q{k % 20}" not in bad and k not in gone]
+    want = {(f"q{k % 20}", str(k), int(k % 3 < 2)) for k in kept if k % 3 != 1 or k % 7}
+    assert any(int(q[1:]) >= 12 for q in bad) and want
+    got = {(r.qid, r.docid, r.relevance) for r in registry.QUERIES["rebuild_qrels"](spark, str(tmp_path)).collect()}
+    assert got == want
+    ids = lambda q, relevance: ",".join(sorted(d for q2, d, r in want if (q2, r) == (q, relevance)))
+    made = {(r.qid, r.pos, r.hard_neg) for r in registry.QUERIES["rebuild_triplets"](spark, str(tmp_path)).collect()}
+    assert made == {(q, ids(q, 1), ids(q, 0)) for q in {f"q{k % 20}" for k in range(120)} - bad}

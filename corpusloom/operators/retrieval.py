@@ -40,12 +40,19 @@ def search(queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
 
 def search_blocks(queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
     """search() by matrix products in Arrow batches; sums run in another order, so last digits may differ."""
-    spark = queries.sparkSession
-    held = queries.select("qid", "embedding").toArrow() if queries.count() <= QUERY_BLOCK else None
-    if held is None:
-        raise ValueError(f"at most {QUERY_BLOCK} queries at once; use search()")
+    blocks = -(-queries.count() // QUERY_BLOCK)
+    out = None
+    for b in range(max(1, blocks)):
+        some = queries if blocks <= 1 else queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b)
+        hits = _search_block(some, index, k)
+        out = hits if out is None else out.unionByName(hits)
+    return out
+
+
+def _search_block(queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
+    held = queries.select("qid", "embedding").toArrow()
     qids, matrix = held["qid"].to_pylist(), np.array(held["embedding"].to_pylist(), np.float64)
-    shipped = spark.sparkContext.broadcast((qids, matrix))
+    shipped = queries.sparkSession.sparkContext.broadcast((qids, matrix))
     q, d = queries.schema["qid"].dataType, index.schema["docid"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

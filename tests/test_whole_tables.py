@@ -2,6 +2,7 @@
 
 import collections
 
+from corpusloom.operators import retrieval
 from corpusloom.plans import registry
 
 
@@ -50,3 +51,11 @@ def test_every_query_with_a_bad_original_goes(spark, tmp_path):
     ids = lambda q, relevance: ",".join(sorted(d for q2, d, r in want if (q2, r) == (q, relevance)))
     made = {(r.qid, r.pos, r.hard_neg) for r in registry.QUERIES["rebuild_triplets"](spark, str(tmp_path)).collect()}
     assert made == {(q, ids(q, 1), ids(q, 0)) for q in {f"q{k % 20}" for k in range(120)} - bad}
+
+
+def test_more_queries_than_a_block(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 3)
+    index = spark.createDataFrame([(k, [float(k % 5), 1.0]) for k in range(12)], "docid long, embedding array<float>")
+    queries = spark.createDataFrame([(k, [float(k - 4), 0.5]) for k in range(10)], "qid long, embedding array<float>")
+    want = {tuple(r) for r in retrieval.search(queries, index, 4).collect()}
+    assert len(want) == 40 and {tuple(r) for r in retrieval.search_blocks(queries, index, 4).collect()} == want

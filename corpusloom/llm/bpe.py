@@ -1,11 +1,13 @@
 """Byte-level BPE by a DuckDB recursive query, and decoding by ordered aggregation.
 
-A text is split by the tokenizer's pattern; each match is a word of its own. Words are encoded once per worker, as rows
-(word, position, token): the recursive query joins neighbours with the merge table, contracts each word's leftmost pair
-of minimum rank and goes on until no word has a pair. The tokens' bytes, aggregated in order, decode a word again. A
-text's ids and decoded bytes are those of its words, in order. As in the tiktoken library, a word that is a token as a
-whole is that token. The query's rows grow with the square of a word's bytes, so words of more than LONG bytes are
-contracted by the same rule over a heap.
+A text is split by the tokenizer's pattern; each match is a word of its own. Distinct words are encoded as rows (word,
+position, token): the recursive query joins neighbours with the merge table, contracts each word's leftmost pair of minimum
+rank and goes on until no word has a pair. A worker keeps the ids of words it has met, and a text's ids are those of its
+words, in order. As in the tiktoken library, a word that is a token as a whole is that token. A text is decoded from its
+ids alone: rows (block, position, token) meet the vocabulary, and the tokens' bytes are aggregated in order.
+
+The query's rows grow with the square of a word's bytes, so words of more than LONG bytes are contracted by the same rule
+over a heap (the README has figures).
 
 Defined results: a null or empty text has no tokens and decodes to nothing; equal rows give equal results; an empty
 table gives an empty one. Further columns are ignored by tokenize().
@@ -16,7 +18,9 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-from collections.abc import Iterable, Iterator
+from array import array
+from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -25,11 +29,13 @@ from pyspark.sql import DataFrame
 
 from .common import bound_batches, worker_state
 
-LONG = 512
+LONG = 2048
 #: Words kept by a worker: those of the last KEPT and the KEPT before them.
-KEPT = 400_000
-#: Rows that one recursive query makes at most (but for one word alone).
-ROWS = 2_000_000
+KEPT = 150_000
+#: Rows that one recursive query makes at most (but for one word alone), and tokens that one decoding query takes.
+ROWS, TOKENS = 2_000_000, 500_000
+#: Tokens of a text that are aggregated at once, and characters of a text whose words are listed at once.
+BLOCK, CHARS = 4096, 1 << 20
 
 # Rows are ordered by one number, place: the word's number, then 20 bits of its position. A pair of tokens is one number too.
 CONTRACT = """
@@ -45,12 +51,12 @@ WITH RECURSIVE step(place, token, done) AS (
         WHERE p.right_place >> 20 = p.place >> 20 GROUP BY p.place >> 20)
     SELECT p.place, CASE WHEN (p.place & 1048575) = (b.code & 1048575) THEN (b.code >> 20)::INTEGER ELSE p.token END, b.code IS NULL
     FROM pairs p LEFT JOIN best b ON b.word = p.place >> 20 WHERE b.gone IS NULL OR p.place <> b.gone))
-SELECT s.place >> 20 AS word, string_agg(s.token::VARCHAR, ' ' ORDER BY s.place) AS ids, unhex(string_agg(v.bytes, '' ORDER BY s.place)) AS decoded
-FROM step s JOIN vocabulary v ON v.id = s.token WHERE s.done GROUP BY s.place >> 20 ORDER BY s.place >> 20
+SELECT (place >> 20)::INTEGER AS word, token FROM step WHERE done ORDER BY place
 """
 
+# The vocabulary's bytes are held as characters of the same numbers.
 DECODE = """
-SELECT word, unhex(string_agg(v.bytes, '' ORDER BY pos)) AS decoded
+SELECT word, string_agg(v.bytes, '' ORDER BY pos) AS decoded
 FROM start JOIN vocabulary v ON v.id = token GROUP BY word ORDER BY word
 """
 
@@ -61,8 +67,33 @@ def read_ranks(path: str) -> bytes:
         return f.read()
 
 
+class _Words:
+    """The ids of words, one after the other in one array."""
+
+    def __init__(self) -> None:
+        self.number: dict[str, int] = {}
+        self.ids, self.ends = array("i"), array("q", [0])
+
+    def add(self, word: str, ids: bytes) -> None:
+        self.number[word] = len(self.number)
+        self.ids.frombytes(ids)
+        self.ends.append(len(self.ids))
+
+    def __getitem__(self, word: str) -> bytes:
+        k = self.number[word]
+        return self.ids[self.ends[k] : self.ends[k + 1]].tobytes()
+
+    def text(self, words: list[str]) -> np.ndarray:
+        """The ids of these words, all of which are known, in order."""
+        at = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        ends = np.frombuffer(self.ends, np.int64)
+        first, sizes = ends[at], ends[at + 1] - ends[at]
+        shift = np.repeat(first - (np.cumsum(sizes) - sizes), sizes)
+        return np.frombuffer(self.ids, np.int32)[shift + np.arange(len(shift))]
+
+
 class Codec:
-    """Encoder and decoder for one vocabulary; holds a DuckDB database in memory."""
+    """Encoder and decoder for one vocabulary; holds a DuckDB database in memory, which never spills to a local disk."""
 
     def __init__(self, raw: bytes, pattern: str) -> None:
         import duckdb
@@ -70,15 +101,14 @@ class Codec:
         self.ranks = {base64.b64decode(t): int(r) for t, r in map(bytes.split, raw.splitlines()) if t}
         self.pattern = regex.compile(pattern)
         self.byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
+        self.names = list(map(str, range(max(self.ranks.values()) + 1)))
         pairs = [(self.ranks[t[:k]], self.ranks[t[k:]], r) for t, r in self.ranks.items() for k in range(1, len(t)) if t[:k] in self.ranks and t[k:] in self.ranks]
         left, right, rank = zip(*pairs, strict=True) if pairs else ((), (), ())
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         pair = np.array(left, np.int64) << 32 | np.array(right, np.int64)
         self._table("merges", pair=pa.array(pair, pa.int64()), rank=pa.array(rank, pa.int64()))
-        self._table("vocabulary", id=pa.array(self.ranks.values(), pa.int32()), bytes=pa.array([t.hex() for t in self.ranks]))
-        self.token = {r: t for t, r in self.ranks.items()}
-        self.new: dict[str, tuple[str, bytes]] = {}
-        self.old: dict[str, tuple[str, bytes]] = {}
+        self._table("vocabulary", id=pa.array(self.ranks.values(), pa.int32()), bytes=pa.array([t.decode("latin-1") for t in self.ranks]))
+        self.new, self.old = _Words(), _Words()
 
     def _table(self, name: str, **columns: pa.Array) -> None:
         self.db.register("given", pa.table(columns))
@@ -95,83 +125,115 @@ class Codec:
         self.db.unregister("start")
         return found
 
-    def contract(self, words: list[bytes]) -> list[tuple[str, bytes]]:
-        """(ids joined by spaces, decoded bytes) of each non-empty word, by the recursive query."""
+    def contract(self, words: list[bytes]) -> list[list[int]]:
+        """The ids of each non-empty word, by the recursive query."""
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         found = self._rows(self.byte[np.frombuffer(b"".join(words), np.uint8)], lengths, CONTRACT)
-        return list(zip(found["ids"].to_pylist(), found["decoded"].to_pylist(), strict=True))
-
-    def decode(self, ids: list[list[int]]) -> list[bytes]:
-        """The bytes of each list of ids, by ordered aggregation."""
-        out = [b""] * len(ids)
-        full = [k for k, x in enumerate(ids) if len(x)]
-        if full:
-            found = self._rows(np.concatenate([np.asarray(ids[k], np.int32) for k in full]), np.array([len(ids[k]) for k in full]), DECODE)
-            for k, d in zip(full, found["decoded"].to_pylist(), strict=True):
-                out[k] = d
+        ids, ends = found["token"].to_pylist(), np.cumsum(np.bincount(found["word"].to_numpy(), minlength=len(words))).tolist()
+        return [ids[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+    def decode(self, ids: list[np.ndarray]) -> list[list[bytes]]:
+        """The bytes of each text's ids, in blocks of BLOCK tokens, by ordered aggregation."""
+        out: list[list[bytes]] = [[] for _ in ids]
+        pieces = [(k, x[at : at + BLOCK]) for k, x in enumerate(ids) for at in range(0, len(x), BLOCK)]
+        step = max(1, TOKENS // BLOCK)
+        while pieces:
+            # Blocks of short texts are far from full, so many more of them fit into one query.
+            total = np.cumsum([len(x) for _, x in pieces[: step * 64]])
+            n = max(1, int(np.searchsorted(total, TOKENS, "right")))
+            some, pieces = pieces[:n], pieces[n:]
+            found = self._rows(np.concatenate([np.asarray(x, np.int32) for _, x in some]), np.array([len(x) for _, x in some]), DECODE)
+            for (k, _), d in zip(some, found["decoded"].to_pylist(), strict=True):
+                out[k].append(d.encode("latin-1"))
         return out
 
-    def _heap(self, word: bytes) -> tuple[str, bytes]:
+    def _heap(self, word: bytes) -> list[int]:
         """The same contraction for a long word: pairs wait in a heap by (rank, position)."""
-        n, ranks, token = len(word), self.ranks, self.token
-        ids: list[int | None] = [ranks[word[k : k + 1]] for k in range(n)]
+        n, ranks = len(word), self.ranks
+        token = [word[k : k + 1] for k in range(n)]
         after, before, heap = list(range(1, n + 1)), list(range(-1, n - 1)), []
 
         def offer(k: int) -> None:
             if k >= 0 and after[k] < n:
-                rank = ranks.get(token[ids[k]] + token[ids[after[k]]])
+                rank = ranks.get(token[k] + token[after[k]])
                 if rank is not None:
-                    heapq.heappush(heap, (rank, k, ids[k], ids[after[k]]))
+                    heapq.heappush(heap, (rank, k, token[k], token[after[k]]))
 
         for k in range(n - 1):
             offer(k)
         while heap:
-            rank, k, a, b = heapq.heappop(heap)
+            _, k, a, b = heapq.heappop(heap)
             j = after[k]
-            if ids[k] != a or j >= n or ids[j] != b:
+            if token[k] != a or j >= n or token[j] != b:
                 continue
-            ids[k], ids[j], after[k] = rank, None, after[j]
+            token[k], token[j], after[k] = a + b, b"", after[j]
             if after[j] < n:
                 before[after[j]] = k
             offer(k)
             offer(before[k])
-        kept = [x for x in ids if x is not None]
-        return " ".join(map(str, kept)), self.decode([kept])[0]
+        return [ranks[t] for t in token if t]
 
-    def learn(self, words: Iterable[str]) -> None:
+    def learn(self, words: set[str]) -> None:
         """Makes sure that all these words are at hand in self.new."""
-        todo: list[str] = []
+        todo: list[tuple[str, bytes]] = []
         for w in words:
-            if w not in self.new:
-                if w in self.old:
-                    self.new[w] = self.old[w]
+            if w not in self.new.number:
+                if w in self.old.number:
+                    self.new.add(w, self.old[w])
+                    continue
+                raw = w.encode()
+                if raw in self.ranks:
+                    self.new.add(w, array("i", [self.ranks[raw]]).tobytes())
+                elif len(raw) > LONG:
+                    self.new.add(w, array("i", self._heap(raw)).tobytes())
                 else:
-                    raw = w.encode()
-                    if raw in self.ranks:
-                        self.new[w] = (str(self.ranks[raw]), self.token[self.ranks[raw]])
-                    elif len(raw) > LONG:
-                        self.new[w] = self._heap(raw)
-                    else:
-                        todo.append(w)
-        todo.sort(key=len)
+                    todo.append((w, raw))
+        todo.sort(key=lambda x: len(x[1]))
         start = rows = 0
-        for k, w in enumerate([*todo, None]):
-            more = 0 if w is None else (len(w) + 1) ** 2
-            if start < k and (w is None or rows + more > ROWS):
+        for k in range(len(todo) + 1):
+            more = (len(todo[k][1]) + 1) ** 2 if k < len(todo) else 0
+            if start < k and (k == len(todo) or rows + more > ROWS):
                 part = todo[start:k]
-                self.new.update(zip(part, self.contract([x.encode() for x in part]), strict=True))
+                for (w, _), ids in zip(part, self.contract([raw for _, raw in part]), strict=True):
+                    self.new.add(w, array("i", ids).tobytes())
                 start, rows = k, 0
             rows += more
 
-    def texts(self, texts: list[str]) -> Iterator[tuple[list[str], list[bytes]]]:
-        """For each text, its words' ids and decoded bytes."""
-        words = [self.pattern.findall(t) for t in texts]
-        self.learn({w for ws in words for w in ws})
-        for ws in words:
-            got = [self.new[w] for w in ws]
-            yield [x[0] for x in got], [x[1] for x in got]
-        if len(self.new) > KEPT:
-            self.old, self.new = self.new, {}
+    def _split(self, text: str) -> Iterator[list[str]]:
+        """The text's words; those of a long text in pieces."""
+        if len(text) <= CHARS:
+            yield self.pattern.findall(text)
+        else:
+            found = (m[0] for m in self.pattern.finditer(text))
+            while some := list(islice(found, CHARS >> 3)):
+                yield some
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text. Short texts are learnt together."""
+        out: list[np.ndarray] = []
+        if sum(map(len, texts)) <= 2 * CHARS:
+            words = [[w for some in self._split(t) for w in some] for t in texts]
+            self.learn({w for ws in words for w in ws})
+            out = [self.new.text(ws) for ws in words]
+        else:
+            for t in texts:
+                ids = [np.zeros(0, np.int32)]
+                for some in self._split(t):
+                    self.learn(set(some))
+                    ids.append(self.new.text(some))
+                    self._turn()
+                out.append(np.concatenate(ids))
+        self._turn()
+        return out
+
+    def _turn(self) -> None:
+        if len(self.new.number) > KEPT:
+            self.old, self.new = self.new, _Words()
+
+    def texts(self, texts: list[str]) -> Iterator[tuple[np.ndarray, list[bytes]]]:
+        """For each text, its ids and the blocks of bytes that they decode to."""
+        ids = self.encode(texts)
+        yield from zip(ids, self.decode(ids), strict=True)
 
 
 def codec(raw: bytes, pattern: str) -> Codec:
@@ -210,18 +272,19 @@ def tokenize(docs: DataFrame, ranks: bytes, pattern: str, keep: list[str], outpu
         for b in batches:
             for at, texts in _slices(b.column(len(keep))):
                 columns: dict[str, list] = {k: [] for k in outputs}
-                for ids, decoded in c.texts(texts):
-                    joined = " ".join(ids)
-                    whole = b"".join(decoded)
+                ids = c.encode(texts)
+                back = c.decode(ids) if {"decoded", "decoded_sha256"} & set(outputs) else [None] * len(ids)
+                for x, blocks in zip(ids, back, strict=True):
                     for k, out in columns.items():
                         if k == "n_tokens":
-                            out.append(joined.count(" ") + 1 if joined else 0)
+                            out.append(len(x))
                         elif k == "ids":
-                            out.append(np.fromstring(joined, np.int32, sep=" ") if joined else np.zeros(0, np.int32))
-                        elif k == "decoded":
-                            out.append(whole.decode())
+                            out.append(x)
+                        elif k == "ids_sha256":
+                            out.append(hashlib.sha256(" ".join(map(c.names.__getitem__, x.tolist())).encode()).hexdigest())
                         else:
-                            out.append(hashlib.sha256(joined.encode() if k == "ids_sha256" else whole).hexdigest())
+                            whole = b"".join(blocks)
+                            out.append(whole.decode() if k == "decoded" else hashlib.sha256(whole).hexdigest())
                 kinds = {"n_tokens": pa.int64(), "ids": pa.list_(pa.int32())}
                 yield pa.RecordBatch.from_arrays([*(b.column(k).slice(at, len(texts)) for k in range(len(keep))), *(pa.array(v, kinds.get(k, pa.string())) for k, v in columns.items())], names=[*keep, *outputs])
 
@@ -237,8 +300,8 @@ def decode(rows: DataFrame, ranks: bytes, pattern: str, keep: list[str]) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(shipped.value, pattern)
         for b in batches:
-            out = c.decode([x or [] for x in b.column(len(keep)).to_pylist()])
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(out, pa.binary())], names=[*keep, "decoded"])
+            out = c.decode([np.asarray(x or [], np.int32) for x in b.column(len(keep)).to_pylist()])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(map(b"".join, out), pa.binary())], names=[*keep, "decoded"])
 
     kept = [f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep]
     return rows.select(*keep, "ids").mapInArrow(run, ", ".join([*kept, "decoded binary"]))

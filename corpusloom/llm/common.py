@@ -10,6 +10,7 @@ import uuid
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
@@ -33,12 +34,14 @@ def n_words(c: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where none is set (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Without it only a local master has one, a temporary folder."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             found = held.get()
+        elif not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         else:
             found = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
             spark.sparkContext.setCheckpointDir(found)
@@ -102,6 +105,26 @@ def parts_for(rows: int, per: int, least: int = 1) -> int:
     return max(least, -(-rows // per))
 
 
+#: Rows of one range of a running sum.
+RANGE_ROWS = 500_000
+
+
+def running(df: DataFrame, keys: list[str], order: list[str], value: str, out: str, rows: int) -> DataFrame:
+    """Adds the running sum of value along order within keys. df: staged, some `rows` rows; keys aren't null; order is total.
+
+    Rows are dealt to ranges of (keys, order) by Spark's range sort, whatever a key's share of them. A range's sum per key is
+    one row, so that the sums before it are those of at most as many rows as there are ranges.
+    """
+    part_, sum_, before_, inside_ = unused(df, "part", "sum", "before", "inside")
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), parts_for(rows, RANGE_ROWS))
+    ranged = staged(df.repartitionByRange(n, *keys, *order).withColumn(part_, F.spark_partition_id()), "ranges")
+    sums = ranged.groupBy(*keys, part_).agg(F.sum(value).alias(sum_))
+    ahead = W.partitionBy(*keys).orderBy(part_).rowsBetween(W.unboundedPreceding, -1)
+    before = sums.withColumn(before_, F.coalesce(F.sum(sum_).over(ahead), F.lit(0))).drop(sum_)
+    inside = F.sum(value).over(W.partitionBy(*keys, part_).orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+    return ranged.withColumn(inside_, inside).join(before, [*keys, part_]).withColumn(out, F.col(before_) + F.col(inside_)).drop(part_, before_, inside_)
+
+
 def columns_of(df: DataFrame) -> list[Column]:
     """All columns by quoted names, so that dots in names are just that."""
     return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]

@@ -5,7 +5,8 @@ time is the number of its source's words up to and including it, divided by the
 sorted by that time, whatever their source, and taken until the total budget is used.
 
 Defined results: a null or empty text has size 0 and is never taken; a null source is a source of its own and comes
-last; repeated rows are queued one by one; an empty table gives an empty one. Further columns of the input are ignored.
+last; repeated rows are queued one by one, and each is given what it takes itself; rows with one id are queued by size and text;
+an empty table gives an empty one. Further columns of the input are ignored by mixed() and kept by take_mix().
 """
 
 from __future__ import annotations
@@ -14,10 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import columns_of, n_words, parts_for, staged, unused
-
-#: Rows of one prefix-sum bucket.
-BUCKET_ROWS = 4_000
+from .common import columns_of, n_words, running, staged, unused
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2) -> DataFrame:
@@ -44,26 +42,16 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share
     return rows.select("source", "source_size", target.alias("target"), F.col("_all").alias("budget"))
 
 
-def running(df: DataFrame, keys: list[str], bucket: str, order: list[str | Column], value: str, out: str) -> DataFrame:
-    """Running sum of value over (bucket, order) within keys, by bucket sums and offsets: no task holds a whole key.
-
-    bucket must not decrease along the order.
-    """
-    sums = df.groupBy(*keys, bucket).agg(F.sum(value).alias("_sum"))
-    before = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(W.partitionBy(*keys).orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_sum")
-    inside = F.sum(value).over(W.partitionBy(*keys, bucket).orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
-    return df.withColumn("_inside", inside).join(before, [*keys, bucket]).withColumn(out, F.col("_before") + F.col("_inside")).drop("_before", "_inside")
-
-
-def sized(docs: DataFrame, seed: str = "") -> DataFrame:
-    """(row, doc_id, source, skey, size, turn): turn is the place in the source's shuffled queue, from the id alone."""
+def sized(docs: DataFrame, row: Column | None = None, seed: str = "") -> DataFrame:
+    """(row, doc_id, source, skey, size, turn, hash): turn is the place in the source's shuffled queue, from the id alone."""
     return docs.select(
-        F.monotonically_increasing_id().alias("row"),
+        (F.monotonically_increasing_id() if row is None else row).alias("row"),
         F.col("doc_id"),
         F.col("source"),
         F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")).alias("skey"),
         n_words(F.col("text")).alias("size"),
         F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(seed))), 1, 15), 16, 10).cast("long").alias("turn"),
+        F.xxhash64("text").alias("hash"),
     )
 
 
@@ -75,17 +63,13 @@ def fair_queue(rows: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: flo
     """
     sources = rows.groupBy("skey", "source").agg(F.sum("size").alias("source_size"))
     targets = staged(source_targets(sources, weights, share, most).withColumn("skey", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))), "mix-targets")
-    n = parts_for(rows.count(), BUCKET_ROWS)
-    queue = rows.where("size > 0").withColumn("_bucket", F.expr(f"turn div {2**60 // n + 1}"))
-    queue = running(queue, ["skey"], "_bucket", ["turn", "doc_id", "size", "row"], "size", "_served").drop("_bucket")
+    queue = rows.where("size > 0")
+    n = queue.count()
+    place = ["turn", "doc_id", "size", "hash", "row"]
+    queue = running(queue, ["skey"], place, "size", "_served", n)
     queue = queue.join(targets.select("skey", "source_size", "target", "budget"), "skey").where("target > 0")
-    entries = (
-        queue.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(most - 1))))
-        .withColumn("finish", (F.col("pass") * F.col("source_size") + F.col("_served")) / F.col("target"))
-        .withColumn("_slot", F.floor(F.col("finish") * n))
-    )
-    order = ["finish", "skey", "pass", "turn", "doc_id", "size", "row"]
-    mix = running(entries, [], "_slot", order, "size", "ends").where("ends <= budget")
+    entries = queue.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(most - 1)))).withColumn("finish", (F.col("pass") * F.col("source_size") + F.col("_served")) / F.col("target"))
+    mix = running(staged(entries, "mix-entries"), [], ["finish", "skey", "pass", *place], "size", "ends", most * n).where("ends <= budget")
     return mix.select("row", "doc_id", "source", "pass", "size", "finish", "ends"), targets
 
 
@@ -102,10 +86,9 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float =
 
 
 def take_mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2) -> DataFrame:
-    """The mix itself: the documents' own rows, each as often as it is taken. Rows equal in id, source and size share what they are given."""
-    key_, size_, times_, copy_ = unused(docs, "key", "words", "times", "copy")
-    key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))
-    got = mixed(docs, weights, share, most).where("taken > 0")
-    times = got.groupBy(key.alias(key_), F.col("size").alias(size_)).agg(F.expr("cast(round(sum(taken) / sum(size)) as int)").alias(times_)).where(F.col(times_) > 0)
-    texts = docs.select(*columns_of(docs), key.alias(key_), n_words(F.col("text")).alias(size_))
-    return texts.join(times, [key_, size_]).withColumn(copy_, F.explode(F.sequence(F.lit(1), F.col(times_)))).select(*columns_of(docs))
+    """The mix itself: the documents' own rows, with all their columns, each as often as it is taken."""
+    row_, times_, copy_ = unused(docs, "row", "times", "copy")
+    held = staged(docs.select(*columns_of(docs), F.monotonically_increasing_id().alias(row_)), "mix-texts")
+    mix, _ = fair_queue(staged(sized(held, F.col(row_)), "mix-sizes"), weights, share, most)
+    times = mix.groupBy(F.col("row").alias(row_)).agg(F.count("*").cast("int").alias(times_))
+    return held.join(times, row_).withColumn(copy_, F.explode(F.sequence(F.lit(1), F.col(times_)))).select(*columns_of(docs))

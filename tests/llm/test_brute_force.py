@@ -205,7 +205,7 @@ def test_tool_calls(spark):
     schema = {"type": "object", "required": ["a"], "properties": {"a": {"type": "integer", "minimum": 0}, "b": {"type": "integer", "maximum": 5}}}
     out = toolchat.tool_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), {"add": schema}).collect()
     by = {(r.conv_id, r.turn, r.call_id): r for r in out}
-    assert by[2, 0, "c1"].status == "linked" and by[1, 1, "c1"].status == "duplicate", "the smallest turn makes the call"
+    assert by[2, 0, "c1"].status == "unanswered" and by[1, 1, "c1"].status == "linked", "identifiers count within a conversation"
     assert by[1, 1, "c2"].status == by[1, 2, "c2"].status == by[1, 3, "c1"].status == "linked"
     assert by[1, 4, "c1"].status == "duplicate" and by[1, 5, "none"].status == "orphan" and by[2, 0, "c9"].status == "unanswered"
     assert by[1, 1, "c1"].valid is True and by[1, 1, "c2"].valid is False and by[2, 0, "c1"].valid is False and by[2, 0, "c9"].valid is False
@@ -215,6 +215,35 @@ def test_tool_calls(spark):
     assert sorted(place.values()) == list(range(7)) and place[2, "c2"] > place[1, "c2"] and place[3, "c1"] > place[1, "c1"]
 
 
+def test_calls_of_conversations_that_share_identifiers(spark):
+    rows = []
+    for conv in (1, 2, 3, None):
+        calls = {"tool_calls": [{"id": "call_0", "name": "f", "arguments": "{}"}, {"id": "call_0", "name": "g", "arguments": "{}"}]}
+        rows += [(conv, 0, "system", "x"), (conv, 1, "assistant", json.dumps(calls)), (conv, 2, "tool", json.dumps({"tool_call_id": "call_0", "content": "1"})), (conv, 3, "user", "more"), (conv, 4, "assistant", "so")]
+    out = toolchat.tool_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), {}).collect()
+    assert len(out) == 4 * 6
+    for conv in (1, 2, 3, None):
+        mine = sorted((r for r in out if r.conv_id == conv), key=lambda r: r.position)
+        assert [r.position for r in mine] == list(range(6)) and [r.turn for r in mine] == [0, 1, 1, 2, 3, 4]
+        assert [r.depth for r in mine] == [0, 1, 1, 2, 3, 4]
+        assert sorted(r.status for r in mine) == ["duplicate", "linked", "linked", "linked", "linked", "message"]
+
+
+def test_canonical_numbers(spark):
+    alike = [["1", "1.0", "1e0", "10E-1", "0.1e1", "100e-2"], ["0", "-0", "0.0", "-0.0e5", "0e99999"], ["100", "1e2", "1E+2", "100.00"], ["0.00000015", "1.5e-7", "15E-8"], ["1e300", "10e299"], ["-2.5", "-25e-1", "-2.50"]]
+    rows = [(k, j, '{"b":[%s,"%s 1.0"],"a":{"x":%s}}' % (x, x, x), x) for k, xs in enumerate(alike) for j, x in enumerate(xs)]
+    found = spark.createDataFrame(rows, "k long, j long, v string, x string").select("k", "j", "x", F.to_json(F.try_parse_json(toolchat.canonical_numbers(F.col("v")))).alias("json")).collect()
+    by = collections.defaultdict(set)
+    for r in found:
+        made = json.loads(r.json)
+        assert made["b"][1] == f"{r.x} 1.0" and made["b"][0] == made["a"]["x"] == float(r.x)
+        by[r.k].add(r.json.split(",")[0])
+    assert {k: len(v) for k, v in by.items()} == dict.fromkeys(range(len(alike)), 1)
+    odd = spark.createDataFrame([('{"a":1e400}',), ('{"a":"1e400"}',), ('{"a":01e2}',), ('{"a":1.e5}',), ('{"a\\"1.0":[1.0]}',)], "v string")
+    got = [r[0] for r in odd.select(F.to_json(F.try_parse_json(toolchat.canonical_numbers(F.col("v"))))).collect()]
+    assert got == [None, '{"a":"1e400"}', None, None, '{"a\\"1.0":[1]}']
+
+
 @pytest.mark.parametrize("n", [1, 2, 300])
 def test_depths(spark, n):
     edges = [(f"e{k}", f"e{k - 1}" if k else None) for k in range(n)] + [("x", "y"), ("y", "x"), ("z", "x"), ("own", "own"), ("stray", "gone")]
@@ -324,6 +353,21 @@ def test_mixing(spark, seed):
     assert {r.doc_id: r["count"] for r in mix} == {r.doc_id: r.taken // r.size for r in out if r.taken}
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 7])
+def test_the_mix_of_repeated_rows_is_what_was_taken(spark, n):
+    rows = [(None if k % 2 else 5, "w " * 10, "a", k) for k in range(n)] + [(100 + k, "w " * (3 + k), "b", k) for k in range(2)] + [(9, "x " * 10, "a", 50), (9, "y " * 10, "a", 51)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n long")
+    taken = collections.Counter()
+    for r in mixing.mixed(docs).collect():
+        taken[r.doc_id, r.source] += r.taken
+    got, times = collections.Counter(), collections.Counter()
+    for r in mixing.take_mix(docs).collect():
+        got[r.doc_id, r.source] += len(r.text.split())
+        times[r.source, r.n] += 1
+    assert got == +taken and max(times.values()) <= 2
+    assert mixing.take_mix(docs.repartition(3)).count() == sum(times.values())
+
+
 def test_mix_order(spark):
     docs = docs_of(spark, ["w " * 10] * 60, ["a", "b", "c"])
     rows = mixing.staged(mixing.sized(docs), "t")

@@ -1,7 +1,9 @@
 """WARC archives: a deterministic sharded writer, and a reader that goes by the manifest.
 
-Records are sorted by page id and dealt to shards of about equal payload by ranges of it; the ranges come from exact
-byte counts, so the same pages always give the same files. Of records with equal payloads that with the smallest page id
+Records are range-sorted by page id and payload digest. Shards are ranges of that order, cut where a running sum of the exact
+bytes passes a multiple of the shard size, so the same pages always give the same files, and a shard is bounded however the ids
+are spread: it is at most the shard size and one key's rows. Beyond MOST_SHARDS shards, 1.6 TB of payload, shards grow instead;
+each is still written as a stream, in files of the rolling size. Of records with equal payloads that with the smallest page id
 is the response and the others revisit it. Each record is a gzip member; a file that has reached the rolling size is
 closed and the next begun. A file is written under a temporary name of its attempt's own and moved to its final name when
 whole; a task that runs again makes the same bytes under the same name. The manifest, a table that Spark commits as a whole,
@@ -20,17 +22,18 @@ import base64
 import hashlib
 import uuid
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, fresh_path, parts_for, staged, worker_state
+from .common import bound_batches, fresh_path, parts_for, running, staged, worker_state
 
 SHARD_BYTES, ROLL_BYTES, MOST_SHARDS = 32 << 20, 16 << 20, 50_000
-#: Ranges of page ids that are weighed; bounds what the driver sees.
-RANGES = 4096
+#: What a record weighs besides its payload.
+HEADERS = 512
 LEVEL = 6
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -109,22 +112,28 @@ class _Files:
         self.number += 1
 
 
-def _shards(sizes: DataFrame, shard_bytes: int) -> tuple[int, int, list[tuple[int, int]]]:
-    """(lowest id, width of a range, [(range, shard)]) from exact byte counts of at most RANGES + 1 ranges of page ids."""
-    low, high, total = sizes.agg(F.min("page_id"), F.max("page_id"), F.sum("n")).first()
-    if low is None:
-        return 0, 1, [(0, 0)]
-    width = -(-(high - low + 1) // RANGES)
-    rows = sizes.groupBy(_range(low, width)).agg(F.sum("n").alias("n")).collect()  # at most RANGES + 1 rows
-    each, before, out = max(shard_bytes, (total or 0) // MOST_SHARDS), 0, []
-    for r in sorted(rows, key=lambda r: r["range"]):
-        out.append((r["range"], before // each))
-        before += r["n"]
-    return low, width, out
+def _shards(seen: DataFrame, shard_bytes: int) -> tuple[DataFrame, list[tuple]]:
+    """seen with its shards, and the first key of each shard but the first: at most MOST_SHARDS small rows, for the driver."""
+    rows, total = seen.agg(F.count("*"), F.coalesce(F.sum("weight"), F.lit(0))).first()
+    each = max(shard_bytes, -(-total // MOST_SHARDS))
+    # Nulls come first, as in the order of records.
+    dealt = running(seen, [], ["page_id", "digest"], "weight", "_ends", rows)
+    dealt = staged(dealt.withColumn("shard", F.expr(f"cast((_ends - weight) div {each} as int)")).drop("_ends", "weight"), "warc-shards")
+    firsts = dealt.groupBy("shard").agg(F.min(F.struct(F.col("page_id").isNotNull().alias("known"), "page_id", "digest")).alias("k")).select("shard", "k.*").collect()
+    # A key that is larger than a shard leaves shard numbers out.
+    return dealt, sorted((r.known, r.page_id or 0, r.digest, r.shard) for r in firsts)
 
 
-def _range(low: int, width: int):
-    return F.coalesce(F.floor((F.col("page_id") - F.lit(low)) / F.lit(width)), F.lit(0)).cast("long").alias("range")
+def _shard_of(firsts: list[tuple]):
+    """The shard of (page_id, digest), from the shards' first keys."""
+    keys, numbers = [f[:3] for f in firsts], [f[3] for f in firsts]
+
+    @F.arrow_udf("int")
+    def shard(page_id: pa.Array, digest: pa.Array) -> pa.Array:
+        each = zip(page_id.to_pylist(), digest.to_pylist(), strict=True)
+        return pa.array([numbers[bisect_right(keys, (p is not None, p or 0, d)) - 1] for p, d in each], pa.int32())
+
+    return shard(F.col("page_id"), F.col("digest"))
 
 
 def write(pages: DataFrame, folder: str | None = None, shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES, least_revisit: int = 0) -> str:
@@ -137,15 +146,15 @@ def write(pages: DataFrame, folder: str | None = None, shard_bytes: int = SHARD_
     html = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.cast("binary").alias("payload"), F.sha1(html.cast("binary")).alias("digest"))
     # The digests alone, to find each payload's first page; the payloads are read again when they are written.
-    seen = staged(rows.select("page_id", "digest", F.octet_length("payload").cast("long").alias("n")).groupBy("page_id", "digest").agg(F.sum("n").alias("n"), F.max("n").alias("most")), "warc-digests")
-    firsts = seen.where(F.col("most") >= least_revisit).groupBy("digest").agg(F.min("page_id").alias("first"))
-    said = seen.join(firsts, "digest").select("page_id", "digest", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "first")
-    low, width, shards = _shards(seen, shard_bytes)
-    to = spark.createDataFrame(shards, "range long, shard long")  # at most RANGES + 1 rows
-    both = rows.select("page_id", "digest", F.lit(1).alias("kind"), "url", "payload", F.lit(None).cast("long").alias("first")).unionByName(said)
-    dealt = both.withColumn("range", _range(low, width)).join(F.broadcast(to), "range").drop("range")
-    n = len({s for _, s in shards})
-    in_order = dealt.repartition(n, "shard").sortWithinPartitions("shard", "page_id", "digest", "kind", "url").select("shard", "page_id", "digest", "kind", "url", "payload", "first")
+    size = F.octet_length("payload").cast("long")
+    seen = staged(rows.select("page_id", "digest", size.alias("n")).groupBy("page_id", "digest").agg(F.sum(F.col("n") + HEADERS).alias("weight"), F.max("n").alias("most")), "warc-digests")
+    dealt, keys = _shards(seen, shard_bytes)
+    firsts = dealt.where(F.col("most") >= least_revisit).groupBy("digest").agg(F.min("page_id").alias("first"))
+    said = dealt.join(firsts, "digest").select("shard", "page_id", "digest", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "first")
+    shard = _shard_of(keys) if keys else F.lit(0)
+    both = rows.select(shard.alias("shard"), "page_id", "digest", F.lit(1).alias("kind"), "url", "payload", F.lit(None).cast("long").alias("first")).unionByName(said)
+    n = 1 + max((k[3] for k in keys), default=0)
+    in_order = both.repartitionById(n, "shard").sortWithinPartitions("shard", "page_id", "digest", "kind", "url")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_state("warc")

@@ -139,6 +139,24 @@ def test_warc_round_trip_and_determinism(spark, tmp_path):
     assert kept[0] == kept[1], "the same pages give the same files, whatever their partitions"
 
 
+@pytest.mark.parametrize("far", [[], [2**40], [-(2**62), None]])
+def test_warc_shards_are_bounded_for_any_ids(spark, tmp_path, far):
+    rows = [(k, f"http://h.com/{k}", f"{k} " * 500) for k in [*range(400), *far]]
+    folder = warc.write(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5), f"file://{tmp_path}/w", shard_bytes=40_000, roll_bytes=10_000_000)
+    files = spark.read.parquet(f"{folder}/manifest").orderBy("shard").collect()
+    assert 16 <= len(files) <= 30 and max(f.records for f in files) <= 40 and sum(f.records for f in files) == len(rows)
+    assert [f.first_id for f in files] == sorted((f.first_id for f in files), key=lambda x: (x is not None, x))
+    assert warc.read(spark, folder).count() == len(rows)
+
+
+def test_one_page_id_fills_many_shards(spark, tmp_path):
+    rows = [(7, "http://h.com/", f"{k} " * 500) for k in range(300)] + [(7, "http://h.com/", "same")] * 5
+    folder = warc.write(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3), f"file://{tmp_path}/w", shard_bytes=40_000)
+    files = spark.read.parquet(f"{folder}/manifest").collect()
+    assert len(files) > 10 and max(f.records for f in files) <= 45
+    assert collections.Counter(r.record_type for r in warc.read(spark, folder).collect()) == {"response": 301, "revisit": 4}
+
+
 def test_warc_finds_changed_files(spark, tmp_path):
     pages = spark.createDataFrame([(1, "http://a.b/", "x" * 500)], "page_id long, url string, html string")
     folder = warc.write(pages, f"file://{tmp_path}/w")

@@ -43,9 +43,9 @@ def op4_toolchat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = media.payload_media(_table(spark, sf_dir, "documents"))
-    found = media.features(stored, ["doc_id", "n_bytes"], tiles=False)
-    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    stored = media.store(media.payload_media(_table(spark, sf_dir, "documents")))
+    tiles = media.store(media.features(stored, ["doc_id", "n_bytes"]), "tiles")
+    return tiles.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", F.octet_length("tile").cast("long").alias("tile_bytes"), F.sha2("tile", 256).alias("tile_sha256"))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

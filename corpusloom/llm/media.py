@@ -4,7 +4,8 @@ A media column holds a whole image file per row. `features` decodes it, resizes
 mean of the source area under it, from an integral image), and gives the samples, an NPY tile and a difference hash.
 
 Defined results: a null medium has null features; a medium that cannot be decoded has null features and its reason in
-`error`; an empty text becomes one row of zeros. Equal media give equal values. Further columns are ignored.
+`error`; a null or empty text becomes one row of zeros; repeated rows give equal rows, as equal media give equal values; an
+empty table gives an empty one. Further columns are ignored. Long media are resized by blocks of rows.
 """
 
 from __future__ import annotations
@@ -20,11 +21,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import bound_batches, text_bytes, worker_state
+from .common import bound_batches, staged, text_bytes, worker_state
 
 #: Samples in a row of an image that holds a payload.
 WIDTH = 64
 TILE = (8, 9)
+#: Samples whose sums are held at once.
+BLOCK = 1 << 18
 
 _TOKEN = re.compile(rb"\s*(?:#[^\n]*\n\s*)*(\S+)")
 
@@ -112,18 +115,25 @@ def decode(data: bytes) -> np.ndarray:
 
 
 def area_resize(samples: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
-    """Means of the areas under each target pixel, by an integral image read at fractional corners."""
-    grey = samples if samples.ndim == 2 else (samples.astype(np.uint32) * np.array([299, 587, 114], np.uint32)).sum(2) / 1000.0
-    h, w = grey.shape
-    whole = np.zeros((h + 1, w + 1))
-    # Only the integral image's rows and columns at the areas' corners are read, so rows are summed first.
+    """Means of the areas under each target pixel, by an integral image read at fractional corners.
+
+    Only the integral image's rows at the areas' corners are kept; it is summed block by block of rows.
+    """
+    h, w = samples.shape[:2]
     rows_at, cols_at = np.linspace(0, h, shape[0] + 1), np.linspace(0, w, shape[1] + 1)
-    np.cumsum(grey, axis=0, out=whole[1:, 1:], dtype=np.float64)
-    r0 = np.minimum(rows_at.astype(int), h - 1)
-    at_rows = whole[r0] + (whole[r0 + 1] - whole[r0]) * (rows_at - r0)[:, None]
-    at_rows = np.cumsum(at_rows, axis=1)
-    c0 = np.minimum(cols_at.astype(int), w - 1)
-    corner = at_rows[:, c0] + (at_rows[:, c0 + 1] - at_rows[:, c0]) * (cols_at - c0)
+    r0, c0 = np.minimum(rows_at.astype(int), h - 1), np.minimum(cols_at.astype(int), w - 1)
+    at_rows, above = np.zeros((shape[0] + 1, w)), np.zeros(w)
+    step = max(1, BLOCK // w)
+    for top in range(0, h, step):
+        some = samples[top : top + step]
+        grey = some if some.ndim == 2 else (some.astype(np.uint32) * np.array([299, 587, 114], np.uint32)).sum(2) / 1000.0
+        sums = np.vstack([above, grey]).cumsum(axis=0)
+        for k in np.flatnonzero((r0 >= top) & (r0 < top + len(grey))):
+            r = r0[k] - top
+            at_rows[k] = sums[r] + (sums[r + 1] - sums[r]) * (rows_at[k] - r0[k])
+        above = sums[-1]
+    across = np.concatenate([np.zeros((shape[0] + 1, 1)), np.cumsum(at_rows, axis=1)], axis=1)
+    corner = across[:, c0] + (across[:, c0 + 1] - across[:, c0]) * (cols_at - c0)
     return np.diff(np.diff(corner, axis=0), axis=1) / ((h / shape[0]) * (w / shape[1]))
 
 
@@ -158,9 +168,14 @@ def payload_media(docs: DataFrame, fmt: str = "pgm", width: int = WIDTH) -> Data
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_bytes long, media binary")
 
 
-def features(media: DataFrame, keep: list[str], tile: tuple[int, int] = TILE, tiles: bool = True) -> DataFrame:
+def store(media: DataFrame, name: str = "media") -> DataFrame:
+    """media written as a table in the shared folder, and read back from there."""
+    return staged(media, name)
+
+
+def features(media: DataFrame, keep: list[str], tile: tuple[int, int] = TILE) -> DataFrame:
     """media: a binary column `media` and the columns to keep. Adds payload_bytes, payload_sha256, tail_crc32 (of the last 64
-    samples), media_bytes, media_sha256, feature (difference hash), tile (NPY; unless tiles is false) and error."""
+    samples), media_bytes, media_sha256, feature (difference hash), tile (NPY) and error."""
     bound_batches(media.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,9 +192,9 @@ def features(media: DataFrame, keep: list[str], tile: tuple[int, int] = TILE, ti
                 if samples is None:
                     out.append((None, None, None, *stored, None, None, why))
                     continue
-                raw = samples.tobytes()
+                raw = memoryview(np.ascontiguousarray(samples)).cast("B")
                 small = area_resize(samples, tile)
-                out.append((len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-64:]), *stored, difference_hash(small), npy(small.astype(np.float32)) if tiles else None, why))
+                out.append((len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-64:]), *stored, difference_hash(small), npy(small.astype(np.float32)), why))
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.string()]
             columns = list(zip(*out, strict=True)) or [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=[*keep, "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "tile", "error"])

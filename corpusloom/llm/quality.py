@@ -1,7 +1,8 @@
 """Quality rules, with repetition measured by a suffix array over a text's words.
 
 The suffixes of a batch's texts are sorted by prefix doubling, each text apart from the others; only suffixes that still
-tie are sorted again. The longest common prefix of neighbours comes from the ranks kept of each doubling. A suffix's
+tie are sorted again. Neighbours that a doubling from h to 2h words tells apart share h words and what the suffixes h words on
+share, which is the least prefix between those in the order so far; memory is linear in a text's words. A suffix's
 deepest longest-common-prefix interval is the greater of its two neighbours' prefixes; the repeat that starts there is
 maximal unless the suffix one word to the left has a longer one that ends at the same place. The maximal repeats of at
 least MIN_REPEAT words are marked, and the share of the text's words under their union and the longest are limited.
@@ -12,6 +13,7 @@ judged one by one; an empty table gives an empty one. Further columns of the inp
 
 from __future__ import annotations
 
+import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -36,48 +38,76 @@ _WORD_START = np.array([not (0x80 <= b < 0xC0 or b == 32 or 9 <= b <= 13) for b
 _SYMBOL = np.array([b in SYMBOLS for b in range(256)])
 
 
+#: Bytes of a text whose words or lines are listed at once, and entries under one minimum.
+PIECE, UNDER = 1 << 20, 16
+_OPEN = np.iinfo(np.int32).max
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+
+
+class _Least:
+    """Minima of ranges of an array: a sparse table over blocks of UNDER entries."""
+
+    def __init__(self, values: np.ndarray) -> None:
+        self.blocks = -(-len(values) // UNDER)
+        self.values = np.full((self.blocks + 1) * UNDER, _OPEN, np.int32)
+        self.values[: len(values)] = values
+        self.levels = [self.values.reshape(-1, UNDER).min(1)]
+        while 2 << (len(self.levels) - 1) <= self.blocks:
+            half = 1 << (len(self.levels) - 1)
+            self.levels.append(np.minimum(self.levels[-1][:-half], self.levels[-1][half:]))
+
+    def __call__(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Minima over low to high, both included."""
+        out = np.full(len(low), _OPEN, np.int32)
+        first, last = low // UNDER, high // UNDER
+        for k in range(UNDER):
+            for edge in (first, last):
+                at = edge * UNDER + k
+                inside = (at >= low) & (at <= high)
+                out[inside] = np.minimum(out[inside], self.values[at[inside]])
+        a, n = first + 1, last - first - 1
+        level = np.where(n > 0, np.frexp(np.maximum(n, 1).astype(np.float64))[1] - 1, -1)
+        for k, held in enumerate(self.levels):
+            here = np.flatnonzero(level == k)
+            out[here] = np.minimum(out[here], np.minimum(held[a[here]], held[last[here] - (1 << k)]))
+        return out
+
+
 def longest_repeats(words: np.ndarray, text_of: np.ndarray) -> np.ndarray:
     """For each position: the most words that the suffix there shares with another suffix of its own text.
 
     words: word numbers of all texts, one after the other; text_of: the text of each position, not decreasing.
     """
     n = len(words)
-    best = np.zeros(n, np.int64)
+    best = np.zeros(n, np.int32)
     if n < 2:
         return best
     key = text_of.astype(np.int64) * (int(words.max()) + 1) + words
-    sa = np.argsort(key)
-    ordered = key[sa]
-    first = np.concatenate(([True], ordered[1:] != ordered[:-1]))
-    start = np.maximum.accumulate(np.where(first, np.arange(n), 0))
-    rank = np.full(n + 1, -1, np.int64)
-    rank[sa] = start
-    levels = [rank.copy()]
+    sa = np.argsort(key, kind="stable").astype(np.int32)
+    key = key[sa]
+    first = np.concatenate(([True], key[1:] != key[:-1]))
+    rank = np.full(n + 1, -1, np.int32)
+    rank[sa] = np.maximum.accumulate(np.where(first, np.arange(n, dtype=np.int32), 0))
+    shared = np.where(first, 0, _OPEN).astype(np.int32)  # words that the suffix at each place shares with its left neighbour's
     tied = ~first
     tied[:-1] |= ~first[1:]
-    at = np.flatnonzero(tied)  # places in sa whose suffixes tie with a neighbour's
-    pairs = np.flatnonzero(~first)  # places that begin alike their left neighbours
+    at = np.flatnonzero(tied).astype(np.int32)  # places in sa whose suffixes tie with a neighbour's
     step = 1
     while len(at):
         suffix = sa[at]
-        key = rank[suffix] * (n + 2) + rank[np.minimum(suffix + step, n)] + 1
-        order = np.argsort(key)
+        key = rank[suffix].astype(np.int64) * (n + 2) + rank[np.minimum(suffix + step, n)] + 1
+        order = np.argsort(key, kind="stable")
         sa[at], key = suffix[order], key[order]
         new = np.concatenate(([True], key[1:] != key[:-1]))
+        apart = at[new & (shared[at] == _OPEN)]
+        if len(apart):
+            i, j = rank[sa[apart - 1] + step], rank[sa[apart] + step]
+            shared[apart] = step + _Least(shared)(np.minimum(i, j) + 1, np.maximum(i, j))
         rank[sa[at]] = np.maximum.accumulate(np.where(new, at, 0))
-        levels.append(rank.copy())
         same = ~new
         same[:-1] |= ~new[1:]
         at, step = at[same], step * 2
-    left, right = sa[pairs - 1], sa[pairs]
-    i, j = left.copy(), right.copy()
-    shared = np.zeros(len(pairs), np.int64)
-    for k in range(len(levels) - 1, -1, -1):
-        alike = levels[k][i] == levels[k][j]
-        for x in (i, j, shared):
-            x[alike] += 1 << k
-    np.maximum.at(best, left, shared)
-    np.maximum.at(best, right, shared)
+    best[sa] = np.maximum(shared, np.append(shared[1:], 0))
     return best
 
 
@@ -87,59 +117,84 @@ def covered(best: np.ndarray, text_of: np.ndarray, least: int) -> np.ndarray:
     inner = np.zeros(len(best), bool)
     inner[1:] = (text_of[1:] == text_of[:-1]) & (best[:-1] == best[1:] + 1)
     starts = np.flatnonzero(long & ~inner)
-    edges = np.zeros(len(best) + 1, np.int64)
+    edges = np.zeros(len(best) + 1, np.int32)
     np.add.at(edges, starts, 1)
     np.add.at(edges, starts + best[starts], -1)
-    return np.cumsum(edges[:-1]) > 0
+    return np.cumsum(edges[:-1], dtype=np.int32) > 0
 
 
 def _sums(flags: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Sums of flags over runs of these lengths."""
     ends = np.cumsum(lengths)
-    total = np.concatenate(([0], np.cumsum(flags, dtype=np.int64)))
-    return total[ends] - total[ends - lengths]
+    total = np.concatenate(([0], np.cumsum(flags, dtype=np.int32)))
+    return (total[ends] - total[ends - lengths]).astype(np.int64)
+
+
+def _pieces(text: bytes, cut: re.Pattern[bytes]) -> Iterator[bytes]:
+    """The text in pieces of about PIECE bytes, cut behind a match."""
+    start = 0
+    while len(text) - start > 2 * PIECE:
+        found = cut.search(text, start + PIECE)
+        if not found:
+            break
+        yield text[start : found.end()]
+        start = found.end()
+    yield text[start:] if start else text
+
+
+_LINE_END = re.compile(rb"\n")
 
 
 def _dup_lines(text: bytes) -> int:
-    lines = text.split(b"\n")
-    if len(set(lines)) == len(lines):
-        return 0
-    return sum(n - 1 for line, n in Counter(lines).items() if n > 1 and line.split())
+    if len(text) <= PIECE:
+        lines = text.split(b"\n")
+        if len(set(lines)) == len(lines):
+            return 0
+        times = Counter(lines)
+    else:
+        times = Counter()
+        for piece in _pieces(text + b"\n", _LINE_END):
+            times.update(piece[:-1].split(b"\n") if piece else [])
+    return sum(n - 1 for line, n in times.items() if n > 1 and line.split())
+
+
+def _of(table: np.ndarray, text: bytes) -> int:
+    """How many of the text's bytes the table marks."""
+    return sum(int(np.count_nonzero(table[np.frombuffer(text, np.uint8, min(PIECE, len(text) - at), at)])) for at in range(0, len(text), PIECE))
 
 
 def measure(texts: list[bytes], min_repeat: int = MIN_REPEAT, most_covered: float = MOST_COVERED, most_longest: int = MOST_LONGEST) -> dict[str, np.ndarray]:
     """The columns of COLUMNS for these texts."""
     number: dict[bytes, int] = defaultdict()
     number.default_factory = number.__len__
-    ids, counts = [], np.zeros(len(texts), np.int64)
+    ids, counts = [np.zeros(0, np.int32)], np.zeros(len(texts), np.int64)
     for k, t in enumerate(texts):
-        words = t.split()
-        counts[k] = len(words)
-        ids.append(np.fromiter(map(number.__getitem__, words), np.int64, len(words)))
-    text_of = np.repeat(np.arange(len(texts)), counts)
-    best = longest_repeats(np.concatenate(ids) if ids else np.zeros(0, np.int64), text_of)
-    raw = np.frombuffer(b"".join(texts), np.uint8)
-    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        for piece in _pieces(t, _SPACE):
+            words = piece.split()
+            counts[k] += len(words)
+            ids.append(np.fromiter(map(number.__getitem__, words), np.int32, len(words)))
+    text_of = np.repeat(np.arange(len(texts), dtype=np.int32), counts)
+    best = longest_repeats(np.concatenate(ids), text_of)
     longest = np.zeros(len(texts), np.int64)
     np.maximum.at(longest, text_of, best)
     # A window that occurs twice starts where a repeat of at least its words does.
-    window = (best >= WINDOW).astype(np.int64)
+    window = best >= WINDOW
     inside = np.zeros(len(best), bool)
     for k in range(WINDOW):
-        inside[k:] |= window[: len(best) - k] > 0
+        inside[k:] |= window[: len(best) - k]
     repeated = _sums(inside, counts)
     under = _sums(covered(best, text_of, min_repeat), counts)
     failed = (counts < MIN_WORDS) | (100 * repeated > MOST_WINDOW_PERCENT * counts)
     fine = (under <= most_covered * counts) & (longest <= most_longest)
     return {
         "n_words": counts,
-        "word_chars": _sums(_WORD_START[raw], sizes),
-        "n_symbols": _sums(_SYMBOL[raw], sizes),
+        "word_chars": np.fromiter((_of(_WORD_START, t) for t in texts), np.int64, len(texts)),
+        "n_symbols": np.fromiter((_of(_SYMBOL, t) for t in texts), np.int64, len(texts)),
         "n_dup_lines": np.fromiter(map(_dup_lines, texts), np.int64, len(texts)),
         "n_repeat_words": repeated,
         "base_failed": failed,
         "covered_words": under,
-        "longest_repeat": longest,
+        "longest_repeat": longest.astype(np.int64),
         "kept": ~failed & fine,
     }
 

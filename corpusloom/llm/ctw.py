@@ -8,11 +8,16 @@ With the counts of the training texts, a decision's probability is the mixture a
 No task needs the whole model, which grows with the corpus:
 
 1. Each block of texts (a piece of an input split) counts its distinct byte strings of DEPTH + 1 and its words.
-2. Parts, by a string's last TOP context bytes or a word's hash, add up the blocks' counts. Levels DEPTH to TOP of the trees
-   lie within parts; their sums for the level above, at most 256 ** TOP nodes, give the upper levels to all.
+2. Parts, by a string's last TOP context bytes or a word's hash, add up the blocks' counts. Their number grows with the text.
+   Levels DEPTH to TOP of the trees lie within parts; their sums for the level above, at most 256 ** TOP nodes, give the upper
+   levels to all. A part of more than KEYS strings, that of a common context, is worked through by its next older byte, and
+   so on, so that the trees in memory are bounded; only its strings and counts, 16 bytes each, are held as a whole.
 3. Parts answer each block's keys, in the block's order, with code lengths and counts.
 4. Blocks meet their answers, the texts' only shuffle, and add up each text.
 
+A string of DEPTH + 1 bytes is one 64-bit key, so contexts have 7 bytes at most. Columns bytes_scored and bits_per_byte are of the
+form above: the words joined by single spaces, with the end byte.
+
 Words are keyed by 64-bit hashes: below 2**32 distinct words, less than one pair is expected to collide.
 
 Defined results: a null or empty text is its end token alone; a null doc_id is hashed as the empty string; repeated rows
@@ -30,11 +35,12 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import bound_batches, staged, text_bytes, worker_state
+from .common import bound_batches, parts_for, staged, text_bytes, worker_state
 
-DEPTH = 6
+DEPTH = 7
 #: Context bytes that parts go by. 3 keeps common pairs of bytes apart, and bounds the nodes that all share by 2 ** 24; texts have
 #: some 10 ** 5 of them. A depth below it takes its place.
 TOP = 3
@@ -42,6 +48,11 @@ END = b"\n"
 #: Bytes on disk of an input split per block, and bytes of text whose strings are sorted at once.
 BLOCK_BYTES, SLICE = 16 << 20, 1 << 20
 GRAM, TOKEN = 0, 1
+#: Bytes of text per part, the most parts (distinct strings grow slower than text), strings whose trees are held at once,
+#: and keys in a row of the model.
+PART_BYTES, MOST_PARTS, KEYS, ROW_KEYS = 4 << 20, 1 << 16, 1 << 17, 1 << 20
+#: Blocks that are numbered by a broadcast table, 16 bytes each; beyond, they are dealt by hash.
+NUMBERED = 1_000_000
 
 
 def _lgamma(x: np.ndarray) -> np.ndarray:
@@ -107,6 +118,44 @@ class Trees:
         return np.log10(np.where(self.bit == 1, p, 1 - p)).reshape(8, -1).sum(0)
 
 
+def _by_older(grams: np.ndarray, top: int) -> list[np.ndarray]:
+    """Places of the strings by the context byte before the last `top`."""
+    older = (grams >> np.uint64(8 * (top + 1))).astype(np.uint8)
+    order = np.argsort(older, kind="stable")
+    return np.split(order, np.flatnonzero(np.diff(older[order])) + 1)
+
+
+def _level(grams: np.ndarray, counts: np.ndarray, depth: int, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Nodes of level `top` over many strings, in order: zeros, ones, and the sum of their children's log Pw."""
+    sums = [above(grams[at], counts[at], depth, top + 1) for at in _by_older(grams, top)]
+    node, of = np.unique(np.concatenate([x[0] for x in sums]), return_inverse=True)
+    return (node, *(np.bincount(of, np.concatenate([x[k] for x in sums]), len(node)) for k in (1, 2, 3)))
+
+
+def above(grams: np.ndarray, counts: np.ndarray, depth: int, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Trees(...).above, with at most some KEYS strings' trees at a time."""
+    if len(grams) <= KEYS or top >= depth:
+        return Trees(grams, counts, depth, top).above
+    node, n0, n1, below = _level(grams, counts, depth, top)
+    weighted = np.logaddexp(kt(n0, n1), below) - math.log(2)
+    parent, of = np.unique(_up(node, top - 1), return_inverse=True)
+    return (parent, *(np.bincount(of, x, len(parent)) for x in (n0, n1, weighted)))
+
+
+def code_lengths(grams: np.ndarray, counts: np.ndarray, depth: int, top: int, upper: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    """Trees(...).code_lengths(upper), with at most some KEYS strings' trees at a time."""
+    if len(grams) <= KEYS or top >= depth:
+        return Trees(grams, counts, depth, top).code_lengths(upper)
+    node, n0, n1, below = _level(grams, counts, depth, top)
+    known, mass, rest = upper
+    at, leaf = np.searchsorted(known, _up(node, top - 1)), _leaf(kt(n0, n1), below)
+    here = node, mass[at] + rest[at] * leaf * _one(n0, n1), rest[at] * (1 - leaf)
+    out = np.zeros(len(grams))
+    for some in _by_older(grams, top):
+        out[some] = code_lengths(grams[some], counts[some], depth, top + 1, here)
+    return out
+
+
 def upper(node: np.ndarray, n0: np.ndarray, n1: np.ndarray, below: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """From the sums for a level (distinct nodes, zeros, ones, log Pw below): nodes, mass and rest, as code_lengths() takes them."""
     order = np.argsort(node)
@@ -263,33 +312,36 @@ def _count_blocks(docs: DataFrame, depth: int, parts: int) -> DataFrame:
     return docs.select("block", "train", "text").mapInArrow(run, CHUNK)
 
 
-MODEL = "kind int, part int, keys binary, counts binary, n long, v long, above array<struct<node:int,n0:double,n1:double,below:double>>"
+MODEL = "kind int, part int, piece int, keys binary, counts binary, n long, v long, above array<struct<node:int,n0:double,n1:double,below:double>>"
 
 
 def _add_parts(chunks: DataFrame, depth: int) -> DataFrame:
-    """MODEL rows: each part's keys and sums; for words their number and distinct ones, for strings the sums for the level above."""
+    """MODEL rows: each part's keys and sums, in pieces; for words their number and distinct ones, for strings the sums for the level above."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_state("ctw")
         now, tally = None, Tally()
 
-        def flush() -> pa.RecordBatch:
+        def flush() -> Iterator[pa.RecordBatch]:
             kind, part = now
             keys, n = _added(*tally.total())
-            above = [] if kind == TOKEN else [dict(zip(("node", "n0", "n1", "below"), x, strict=True)) for x in zip(*(y.tolist() for y in Trees(keys, n, depth, min(TOP, depth)).above), strict=True)]
-            row = {"kind": kind, "part": part, "keys": _pack(keys, 8), "counts": _pack(n, 8), "n": int(n.sum()) if kind == TOKEN else 0, "v": int((n > 0).sum()) if kind == TOKEN else 0, "above": above}
-            schema = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("n", pa.int64()), ("v", pa.int64()), ("above", pa.list_(pa.struct([("node", pa.int32()), ("n0", pa.float64()), ("n1", pa.float64()), ("below", pa.float64())])))])
-            return pa.RecordBatch.from_pylist([row], schema)
+            sums = above(keys, n, depth, min(TOP, depth)) if kind == GRAM else [np.zeros(0)] * 4
+            for piece, at in enumerate(range(0, len(keys), ROW_KEYS)):
+                k, c = keys[at : at + ROW_KEYS], n[at : at + ROW_KEYS]
+                own = pa.StructArray.from_arrays([pa.array(x if piece == 0 else x[:0], t) for x, t in zip(sums, (pa.int32(), pa.float64(), pa.float64(), pa.float64()), strict=True)], names=["node", "n0", "n1", "below"])
+                words = (int(c.sum()), int((c > 0).sum())) if kind == TOKEN else (0, 0)
+                columns = [pa.array([kind], pa.int32()), pa.array([part], pa.int32()), pa.array([piece], pa.int32()), pa.array([_pack(k, 8)], pa.binary()), pa.array([_pack(c, 8)], pa.binary()), *(pa.array([w], pa.int64()) for w in words), pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own)]
+                yield pa.RecordBatch.from_arrays(columns, names=["kind", "part", "piece", "keys", "counts", "n", "v", "above"])
 
         for b in batches:
             for kind, part, keys, counts in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if now is not None and (kind, part) != now:
-                    yield flush()
+                    yield from flush()
                     tally = Tally()
                 now = (kind, part)
                 tally.add(_unpack(keys, depth + 1 if kind == GRAM else 8), _unpack(counts, 4).astype(np.int64))
         if now is not None:
-            yield flush()
+            yield from flush()
 
     rows = chunks.select("kind", "part", "keys", "counts").repartition("kind", "part").sortWithinPartitions("kind", "part")
     return rows.mapInArrow(run, MODEL)
@@ -302,19 +354,22 @@ def _answer(chunks: DataFrame, model: DataFrame, above: tuple[np.ndarray, np.nda
     """ANSWER rows: for each chunk, in its keys' order, log10 probabilities (float32) of strings or counts (4 bytes) of words."""
     none = F.lit(None)
     shared = chunks.sparkSession.sparkContext.broadcast(above)  # at most 256 ** TOP nodes
-    first = model.select("kind", "part", F.lit(0).alias("turn"), none.cast("long").alias("block"), "keys", "counts")
-    rows = first.unionByName(chunks.select("kind", "part", F.lit(1).alias("turn"), "block", "keys", F.lit(None).cast("binary").alias("counts")))
+    first = model.select("kind", "part", F.col("piece").alias("turn"), none.cast("long").alias("block"), "keys", "counts")
+    rows = first.unionByName(chunks.select("kind", "part", F.lit(2**31 - 1).alias("turn"), "block", "keys", F.lit(None).cast("binary").alias("counts")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_state("ctw")
-        known = values = None
+        known, values, pieces = None, None, []
         for b in batches:
             out = []
             for kind, part, turn, block, keys, counts in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if turn == 0:
-                    known, n = _unpack(keys, 8), _unpack(counts, 8)
-                    values = n if kind == TOKEN else Trees(known, n, depth, min(TOP, depth)).code_lengths(shared.value).astype("<f4")
+                if block is None:
+                    pieces = [*pieces, (_unpack(keys, 8), _unpack(counts, 8))] if turn else [(_unpack(keys, 8), _unpack(counts, 8))]
                 else:
+                    if pieces:
+                        known, n = (np.concatenate([x[k] for x in pieces]) for k in (0, 1))
+                        values = n if kind == TOKEN else code_lengths(known, n, depth, min(TOP, depth), shared.value).astype("<f4")
+                        pieces = []
                     got = values[np.searchsorted(known, _unpack(keys, depth + 1 if kind == GRAM else 8))]
                     out.append((block, kind, part, _pack(got, 5) if kind == TOKEN else got.tobytes()))
             if out:
@@ -354,11 +409,13 @@ class Table:
 
 
 def _score_blocks(docs: DataFrame, answers: DataFrame, total: int, distinct: int, depth: int, parts: int) -> DataFrame:
+    blocks = staged(answers.select("block").distinct(), "ctw-blocks")
+    n = max(1, blocks.count())
     kind_of = docs.schema["doc_id"].dataType
     texts = docs.select("block", F.lit(1).alias("turn"), F.lit(0).alias("kind"), F.lit(0).alias("part"), F.lit(None).cast("binary").alias("answers"), "doc_id", "train", "text")
     told = answers.select("block", F.lit(0).alias("turn"), "kind", "part", "answers", F.lit(None).cast(kind_of).alias("doc_id"), F.lit(None).cast("boolean").alias("train"), F.lit(None).cast("string").alias("text"))
     unit = math.log10(total + distinct + 1)
-    out_schema = f"doc_id {kind_of.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
+    out_schema = f"doc_id {kind_of.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bytes_scored long, bits_per_byte double"
 
     def scores(block: list, answers: dict) -> Iterator[pa.RecordBatch]:
         words, tally, codes, normal = _Words(), Tally(), [], []
@@ -380,8 +437,8 @@ def _score_blocks(docs: DataFrame, answers: DataFrame, total: int, distinct: int
             parts_of = [normal[k] for k in some]
             sizes = np.array([len(t) for t in parts_of])
             lengths = np.add.reduceat(tables[GRAM][_grams(parts_of, depth)].astype(np.float64), np.cumsum(sizes) - sizes)
-            rows = [(block[k][0], not block[k][1], len(codes[k]), int(seen[codes[k]].sum()), total, float(base[codes[k]].sum()), float(s), -float(s) / math.log10(2) / n) for k, s, n in zip(some, lengths, sizes, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (id_type[0], pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()), strict=True)], names=[f.split()[0] for f in out_schema.split(", ")])
+            rows = [(block[k][0], not block[k][1], len(codes[k]), int(seen[codes[k]].sum()), total, float(base[codes[k]].sum()), float(s), int(n), -float(s) / math.log10(2) / n) for k, s, n in zip(some, lengths, sizes, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (id_type[0], pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.float64()), strict=True)], names=[f.split()[0] for f in out_schema.split(", ")])
 
     id_type: list = [None]
 
@@ -404,7 +461,13 @@ def _score_blocks(docs: DataFrame, answers: DataFrame, total: int, distinct: int
         if block:
             yield from scores(block, answers)
 
-    return texts.unionByName(told).repartition("block").sortWithinPartitions("block", "turn").mapInArrow(run, out_schema)
+    both = texts.unionByName(told)
+    if n <= NUMBERED:  # a task for each block
+        number = blocks.select("block", (F.row_number().over(W.orderBy("block")) - 1).alias("number"))
+        both = both.join(F.broadcast(number), "block", "left").repartitionById(n, "number").drop("number")
+    else:
+        both = both.repartition(n, "block")
+    return both.sortWithinPartitions("block", "turn").mapInArrow(run, out_schema)
 
 
 def _bytes_of(size: str) -> int:
@@ -425,7 +488,8 @@ def score(docs: DataFrame, train: Column, depth: int = DEPTH, scanned: bool = Fa
     per_split = -(-_bytes_of(spark.conf.get("spark.sql.files.maxPartitionBytes")) // BLOCK_BYTES)
     block = F.xxhash64(F.input_file_name(), F.input_file_block_start(), F.pmod(F.xxhash64("doc_id"), F.lit(per_split)))
     rows = rows.select("doc_id", "text", "train", block.alias("block"))
-    parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    parts = min(MOST_PARTS, parts_for(size, PART_BYTES, 8))
     chunks = staged(_count_blocks(rows, depth, parts), "ctw-chunks")
     model = staged(_add_parts(chunks, depth), "ctw-model")
     total, distinct = model.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()

@@ -99,6 +99,35 @@ def test_ctw(spark):
         assert got[k + 5].score == r.score
 
 
+@pytest.mark.parametrize("keys", [1 << 17, 20])
+def test_ctw_at_its_own_depth(spark, monkeypatch, keys):
+    """Levels within parts too, whose trees are held at once or byte by byte."""
+    texts = some_texts(30, 14, words=12, vocabulary=9) + ["abra cadabra abra abra cadabra", ""]
+    normal = [" ".join(WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t))).encode() + b"\n" for t in texts]
+    train = [k for k in range(len(texts)) if k % 4]
+    grams, counts = ctw._counted(np.sort(ctw._grams([normal[k] for k in train], ctw.DEPTH)))
+    untrained = np.setdiff1d(ctw._grams(normal, ctw.DEPTH), grams)
+    grams, counts = ctw._added(np.concatenate([grams, untrained]), np.concatenate([counts, np.zeros(len(untrained), np.int64)]))
+    monkeypatch.setattr(ctw, "KEYS", keys)
+    top = ctw.upper(*ctw.above(grams, counts, ctw.DEPTH, ctw.TOP), depth=ctw.TOP - 1)
+    found = dict(zip(grams.tolist(), ctw.code_lengths(grams, counts, ctw.DEPTH, ctw.TOP, top).tolist(), strict=True))
+    for k in range(len(texts)):
+        got = sum(found[g] for g in ctw._grams([normal[k]], ctw.DEPTH).tolist())
+        assert got == pytest.approx(plain_ctw([normal[j] for j in train], normal[k], ctw.DEPTH) * math.log10(2), rel=1e-7)
+    if keys > 20:
+        out = {r.doc_id: r.score for r in ctw.score(docs_of(spark, texts).repartition(3), F.col("doc_id") % 4 != 0).collect()}
+        for k in range(len(texts)):
+            assert out[k] == pytest.approx(sum(found[g] for g in ctw._grams([normal[k]], ctw.DEPTH).tolist()), rel=1e-5)
+
+
+def test_pieces_of_a_part(spark, monkeypatch):
+    texts = some_texts(31, 30, words=40, vocabulary=300)
+    score = lambda: {r.doc_id: (r.score, r.base_score, r.n_known) for r in ctw.score(docs_of(spark, texts), F.col("doc_id") % 3 != 0).collect()}
+    want = score()
+    monkeypatch.setattr(ctw, "ROW_KEYS", 50)
+    assert score() == want
+
+
 def test_ctw_without_training(spark):
     row = ctw.score(docs_of(spark, ["ab"]), F.lit(False)).first()
     assert row.score == pytest.approx(3 * 8 * math.log10(0.5)) and row.train_tokens == 0 and row.base_score == 0

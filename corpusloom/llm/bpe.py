@@ -20,7 +20,7 @@ import hashlib
 import heapq
 from array import array
 from collections.abc import Iterator
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -31,11 +31,11 @@ from .common import bound_batches, worker_state
 
 LONG = 2048
 #: Words kept by a worker: those of the last KEPT and the KEPT before them.
-KEPT = 150_000
+KEPT = 250_000
 #: Rows that one recursive query makes at most (but for one word alone), and tokens that one decoding query takes.
-ROWS, TOKENS = 2_000_000, 500_000
-#: Tokens of a text that are aggregated at once, and characters of a text whose words are listed at once.
-BLOCK, CHARS = 4096, 1 << 20
+ROWS, TOKENS = 4_000_000, 500_000
+#: Tokens that are aggregated to one string, and characters of a text whose words are listed at once.
+BLOCK, CHARS = 16_384, 1 << 20
 
 # Rows are ordered by one number, place: the word's number, then 20 bits of its position. A pair of tokens is one number too.
 CONTRACT = """
@@ -56,7 +56,7 @@ SELECT (place >> 20)::INTEGER AS word, token FROM step WHERE done ORDER BY place
 
 # The vocabulary's bytes are held as characters of the same numbers.
 DECODE = """
-SELECT word, string_agg(v.bytes, '' ORDER BY pos) AS decoded
+SELECT word, array_to_string(list(v.bytes ORDER BY pos), '') AS decoded
 FROM start JOIN vocabulary v ON v.id = token GROUP BY word ORDER BY word
 """
 
@@ -74,22 +74,20 @@ class _Words:
         self.number: dict[str, int] = {}
         self.ids, self.ends = array("i"), array("q", [0])
 
-    def add(self, word: str, ids: bytes) -> None:
-        self.number[word] = len(self.number)
-        self.ids.frombytes(ids)
-        self.ends.append(len(self.ids))
+    def add(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        """New words, their ids one after the other, and how many each has."""
+        n, end = len(self.number), self.ends[-1]
+        self.number.update(zip(words, range(n, n + len(words)), strict=True))
+        self.ids.frombytes(ids.astype(np.int32).tobytes())
+        self.ends.frombytes((end + np.cumsum(sizes, dtype=np.int64)).tobytes())
 
-    def __getitem__(self, word: str) -> bytes:
-        k = self.number[word]
-        return self.ids[self.ends[k] : self.ends[k + 1]].tobytes()
-
-    def text(self, words: list[str]) -> np.ndarray:
-        """The ids of these words, all of which are known, in order."""
+    def of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of these words, all of which are known, in order, and how many each has."""
         at = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
         ends = np.frombuffer(self.ends, np.int64)
         first, sizes = ends[at], ends[at + 1] - ends[at]
         shift = np.repeat(first - (np.cumsum(sizes) - sizes), sizes)
-        return np.frombuffer(self.ids, np.int32)[shift + np.arange(len(shift))]
+        return np.frombuffer(self.ids, np.int32)[shift + np.arange(len(shift))], sizes
 
 
 class Codec:
@@ -102,6 +100,8 @@ class Codec:
         self.pattern = regex.compile(pattern)
         self.byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         self.names = list(map(str, range(max(self.ranks.values()) + 1)))
+        self.sizes = np.zeros(len(self.names), np.int64)
+        self.sizes[list(self.ranks.values())] = list(map(len, self.ranks))
         pairs = [(self.ranks[t[:k]], self.ranks[t[k:]], r) for t, r in self.ranks.items() for k in range(1, len(t)) if t[:k] in self.ranks and t[k:] in self.ranks]
         left, right, rank = zip(*pairs, strict=True) if pairs else ((), (), ())
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
@@ -125,27 +125,29 @@ class Codec:
         self.db.unregister("start")
         return found
 
-    def contract(self, words: list[bytes]) -> list[list[int]]:
-        """The ids of each non-empty word, by the recursive query."""
+    def _contracted(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         found = self._rows(self.byte[np.frombuffer(b"".join(words), np.uint8)], lengths, CONTRACT)
-        ids, ends = found["token"].to_pylist(), np.cumsum(np.bincount(found["word"].to_numpy(), minlength=len(words))).tolist()
-        return [ids[a:b] for a, b in zip([0, *ends], ends, strict=False)]
-
-    def decode(self, ids: list[np.ndarray]) -> list[list[bytes]]:
-        """The bytes of each text's ids, in blocks of BLOCK tokens, by ordered aggregation."""
-        out: list[list[bytes]] = [[] for _ in ids]
-        pieces = [(k, x[at : at + BLOCK]) for k, x in enumerate(ids) for at in range(0, len(x), BLOCK)]
-        step = max(1, TOKENS // BLOCK)
-        while pieces:
-            # Blocks of short texts are far from full, so many more of them fit into one query.
-            total = np.cumsum([len(x) for _, x in pieces[: step * 64]])
-            n = max(1, int(np.searchsorted(total, TOKENS, "right")))
-            some, pieces = pieces[:n], pieces[n:]
-            found = self._rows(np.concatenate([np.asarray(x, np.int32) for _, x in some]), np.array([len(x) for _, x in some]), DECODE)
-            for (k, _), d in zip(some, found["decoded"].to_pylist(), strict=True):
-                out[k].append(d.encode("latin-1"))
-        return out
+        return found["token"].to_numpy(), np.bincount(found["word"].to_numpy(), minlength=len(words))
+
+    def contract(self, words: list[bytes]) -> list[list[int]]:
+        """The ids of each non-empty word, by the recursive query."""
+        ids, sizes = self._contracted(words)
+        return [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])]
+
+    def decode(self, ids: list[np.ndarray]) -> list[bytes]:
+        """The bytes of each text's ids, by ordered aggregation in blocks of BLOCK tokens, which may go on from text to text."""
+        every = np.concatenate([np.zeros(0, np.int32), *(np.asarray(x, np.int32) for x in ids)])
+        held = []
+        for at in range(0, len(every), TOKENS):
+            some = every[at : at + TOKENS]
+            found = self._rows(some, np.diff([*range(0, len(some), BLOCK), len(some)]), DECODE)
+            held.extend(d.encode("latin-1") for d in found["decoded"].to_pylist())
+        whole = b"".join(held)
+        known = (every >= 0) & (every < len(self.sizes))
+        ends = np.concatenate([[0], np.cumsum(np.where(known, self.sizes[np.where(known, every, 0)], 0))])
+        ends = ends[np.cumsum([0, *map(len, ids)])].tolist()
+        return [whole[i:j] for i, j in zip(ends, ends[1:], strict=False)]
 
     def _heap(self, word: bytes) -> list[int]:
         """The same contraction for a long word: pairs wait in a heap by (rank, position)."""
@@ -175,29 +177,24 @@ class Codec:
 
     def learn(self, words: set[str]) -> None:
         """Makes sure that all these words are at hand in self.new."""
-        todo: list[tuple[str, bytes]] = []
-        for w in words:
-            if w not in self.new.number:
-                if w in self.old.number:
-                    self.new.add(w, self.old[w])
-                    continue
-                raw = w.encode()
-                if raw in self.ranks:
-                    self.new.add(w, array("i", [self.ranks[raw]]).tobytes())
-                elif len(raw) > LONG:
-                    self.new.add(w, array("i", self._heap(raw)).tobytes())
-                else:
-                    todo.append((w, raw))
-        todo.sort(key=lambda x: len(x[1]))
-        start = rows = 0
-        for k in range(len(todo) + 1):
-            more = (len(todo[k][1]) + 1) ** 2 if k < len(todo) else 0
-            if start < k and (k == len(todo) or rows + more > ROWS):
-                part = todo[start:k]
-                for (w, _), ids in zip(part, self.contract([raw for _, raw in part]), strict=True):
-                    self.new.add(w, array("i", ids).tobytes())
-                start, rows = k, 0
-            rows += more
+        words = words - self.new.number.keys()
+        again = list(words & self.old.number.keys())
+        if again:
+            self.new.add(again, *self.old.of(again))
+        fresh = [(w, w.encode()) for w in words.difference(again)]
+        whole = [(w, self.ranks[raw]) for w, raw in fresh if raw in self.ranks]
+        self.new.add([w for w, _ in whole], np.array([r for _, r in whole], np.int32), np.ones(len(whole), np.int64))
+        todo = sorted(((w, raw) for w, raw in fresh if raw not in self.ranks), key=lambda x: len(x[1]))
+        while todo and len(todo[-1][1]) > LONG:
+            w, raw = todo.pop()
+            ids = self._heap(raw)
+            self.new.add([w], np.array(ids), np.array([len(ids)]))
+        rows = np.cumsum([(len(raw) + 1) ** 2 for _, raw in todo])
+        at = 0
+        while at < len(todo):
+            end = max(at + 1, int(np.searchsorted(rows, (rows[at - 1] if at else 0) + ROWS, "right")))
+            self.new.add([w for w, _ in todo[at:end]], *self._contracted([raw for _, raw in todo[at:end]]))
+            at = end
 
     def _split(self, text: str) -> Iterator[list[str]]:
         """The text's words; those of a long text in pieces."""
@@ -211,16 +208,19 @@ class Codec:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text. Short texts are learnt together."""
         out: list[np.ndarray] = []
-        if sum(map(len, texts)) <= 2 * CHARS:
-            words = [[w for some in self._split(t) for w in some] for t in texts]
-            self.learn({w for ws in words for w in ws})
-            out = [self.new.text(ws) for ws in words]
+        if sum(map(len, texts)) <= 4 * CHARS:
+            words = [[w for some in self._split(t) for w in some] if len(t) > CHARS else self.pattern.findall(t) for t in texts]
+            every = list(chain.from_iterable(words))
+            self.learn(set(every))
+            ids, sizes = self.new.of(every)
+            ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))]
+            out = np.split(ids, ends[:-1]) if texts else []
         else:
             for t in texts:
                 ids = [np.zeros(0, np.int32)]
                 for some in self._split(t):
                     self.learn(set(some))
-                    ids.append(self.new.text(some))
+                    ids.append(self.new.of(some)[0])
                     self._turn()
                 out.append(np.concatenate(ids))
         self._turn()
@@ -231,9 +231,9 @@ class Codec:
             self.old, self.new = self.new, _Words()
 
     def texts(self, texts: list[str]) -> Iterator[tuple[np.ndarray, list[bytes]]]:
-        """For each text, its ids and the blocks of bytes that they decode to."""
+        """For each text, its ids and what they decode to, as a list of pieces."""
         ids = self.encode(texts)
-        yield from zip(ids, self.decode(ids), strict=True)
+        yield from zip(ids, ([d] for d in self.decode(ids)), strict=True)
 
 
 def codec(raw: bytes, pattern: str) -> Codec:
@@ -245,7 +245,7 @@ def codec(raw: bytes, pattern: str) -> Codec:
     return kept[key]
 
 
-def _slices(column: pa.Array, size: int = 1 << 20) -> Iterator[tuple[int, list[str]]]:
+def _slices(column: pa.Array, size: int = 2 << 20) -> Iterator[tuple[int, list[str]]]:
     start, held, total = 0, [], 0
     for k, t in enumerate(column.to_pylist()):
         held.append(t or "")
@@ -274,7 +274,7 @@ def tokenize(docs: DataFrame, ranks: bytes, pattern: str, keep: list[str], outpu
                 columns: dict[str, list] = {k: [] for k in outputs}
                 ids = c.encode(texts)
                 back = c.decode(ids) if {"decoded", "decoded_sha256"} & set(outputs) else [None] * len(ids)
-                for x, blocks in zip(ids, back, strict=True):
+                for x, whole in zip(ids, back, strict=True):
                     for k, out in columns.items():
                         if k == "n_tokens":
                             out.append(len(x))
@@ -283,7 +283,6 @@ def tokenize(docs: DataFrame, ranks: bytes, pattern: str, keep: list[str], outpu
                         elif k == "ids_sha256":
                             out.append(hashlib.sha256(" ".join(map(c.names.__getitem__, x.tolist())).encode()).hexdigest())
                         else:
-                            whole = b"".join(blocks)
                             out.append(whole.decode() if k == "decoded" else hashlib.sha256(whole).hexdigest())
                 kinds = {"n_tokens": pa.int64(), "ids": pa.list_(pa.int32())}
                 yield pa.RecordBatch.from_arrays([*(b.column(k).slice(at, len(texts)) for k in range(len(keep))), *(pa.array(v, kinds.get(k, pa.string())) for k, v in columns.items())], names=[*keep, *outputs])
@@ -293,7 +292,7 @@ def tokenize(docs: DataFrame, ranks: bytes, pattern: str, keep: list[str], outpu
 
 
 def decode(rows: DataFrame, ranks: bytes, pattern: str, keep: list[str]) -> DataFrame:
-    """rows: the columns to keep and ids, an array<int>. Adds decoded (binary); null ids decode to nothing."""
+    """rows: the columns to keep and ids, an array<int>. Adds decoded (binary); null lists and ids that are no token decode to nothing."""
     shipped = rows.sparkSession.sparkContext.broadcast(ranks)
     bound_batches(rows.sparkSession)
 
@@ -301,7 +300,7 @@ def decode(rows: DataFrame, ranks: bytes, pattern: str, keep: list[str]) -> Data
         c = codec(shipped.value, pattern)
         for b in batches:
             out = c.decode([np.asarray(x or [], np.int32) for x in b.column(len(keep)).to_pylist()])
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(map(b"".join, out), pa.binary())], names=[*keep, "decoded"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(out, pa.binary())], names=[*keep, "decoded"])
 
     kept = [f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep]
     return rows.select(*keep, "ids").mapInArrow(run, ", ".join([*kept, "decoded binary"]))

@@ -50,7 +50,9 @@ BLOCK_BYTES, SLICE = 16 << 20, 1 << 20
 GRAM, TOKEN = 0, 1
 #: Bytes of text per part, the most parts (distinct strings grow slower than text), strings whose trees are held at once,
 #: and keys in a row of the model.
-PART_BYTES, MOST_PARTS, KEYS, ROW_KEYS = 4 << 20, 1 << 16, 1 << 17, 1 << 20
+PART_BYTES, MOST_PARTS, KEYS, ROW_KEYS = 4 << 20, 1 << 16, 1 << 18, 1 << 20
+#: Code lengths travel as whole numbers of 1 / UNIT decimal digits in three bytes; one of 32 digits or more would count as 32.
+UNIT = 1 << 19
 #: Blocks that are numbered by a broadcast table, 16 bytes each; beyond, they are dealt by hash.
 NUMBERED = 1_000_000
 
@@ -63,9 +65,21 @@ def _lgamma(x: np.ndarray) -> np.ndarray:
     return out
 
 
+_SMALL = np.arange(1 << 16, dtype=np.float64)
+_HALVES, _WHOLES = _lgamma(_SMALL + 0.5), _lgamma(_SMALL + 1.0)
+
+
+def _looked_up(known: np.ndarray, n: np.ndarray, more: float) -> np.ndarray:
+    """Log gamma of whole numbers n and more; known has those of small ones."""
+    out = known[np.minimum(n, len(known) - 1).astype(np.int64)]
+    large = np.flatnonzero(n >= len(known))
+    out[large] = _lgamma(n[large] + more)
+    return out
+
+
 def kt(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
     """Log of the Krichevsky-Trofimov probability of n0 zeros and n1 ones."""
-    return _lgamma(n0 + 0.5) + _lgamma(n1 + 0.5) - _lgamma(n0 + n1 + 1.0) - math.log(math.pi)
+    return _looked_up(_HALVES, n0, 0.5) + _looked_up(_HALVES, n1, 0.5) - _looked_up(_WHOLES, n0 + n1, 1.0) - math.log(math.pi)
 
 
 def _leaf(k: np.ndarray, below: np.ndarray) -> np.ndarray:
@@ -83,14 +97,16 @@ def _up(nodes: np.ndarray, depth: int) -> np.ndarray:
 
 
 class Trees:
-    """Levels depth to `top` of the trees over byte strings (context and byte, as integers) with their counts."""
+    """Levels depth to `top` of the trees over byte strings (context and byte, as integers, in order) with their counts."""
 
     def __init__(self, grams: np.ndarray, counts: np.ndarray, depth: int, top: int) -> None:
         byte, context = (grams & np.uint64(255)).astype(np.int64), (grams >> np.uint64(8)).astype(np.int64)
         self.bit = np.concatenate([(byte >> (7 - i)) & 1 for i in range(8)])
-        nodes = np.concatenate([context << 8 | 1 << i | byte >> (8 - i) for i in range(8)])
+        # Strings are in order, so those of a deepest node stand together.
+        nodes = [context << 8 | 1 << i | byte >> (8 - i) for i in range(8)]
+        first = [np.concatenate(([True], x[1:] != x[:-1]))[: len(x)] for x in nodes]
+        node, self.of = np.concatenate([x[f] for x, f in zip(nodes, first, strict=True)]), np.cumsum(np.concatenate(first)) - 1
         n = np.tile(counts.astype(np.float64), 8)
-        node, self.of = np.unique(nodes, return_inverse=True)
         n1, n0 = np.bincount(self.of, n * self.bit, len(node)), np.bincount(self.of, n * (1 - self.bit), len(node))
         weighted = kt(n0, n1)
         #: From the deepest level: nodes, counts, leaf weights, and each node's parent in the next.
@@ -196,7 +212,7 @@ def _added(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     """Distinct keys in order, with the sums of their counts."""
     if not len(keys):
         return keys, counts
-    order = np.argsort(keys)
+    order = np.argsort(keys, kind="stable")  # what is added are runs in order
     keys, counts = keys[order], counts[order]
     first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
     return keys[first], np.add.reduceat(counts, first)
@@ -351,7 +367,7 @@ ANSWER = "block long, kind int, part int, answers binary"
 
 
 def _answer(chunks: DataFrame, model: DataFrame, above: tuple[np.ndarray, np.ndarray, np.ndarray], depth: int) -> DataFrame:
-    """ANSWER rows: for each chunk, in its keys' order, log10 probabilities (float32) of strings or counts (4 bytes) of words."""
+    """ANSWER rows: for each chunk, in its keys' order, code lengths of strings (units, 3 bytes) or counts (5 bytes) of words."""
     none = F.lit(None)
     shared = chunks.sparkSession.sparkContext.broadcast(above)  # at most 256 ** TOP nodes
     first = model.select("kind", "part", F.col("piece").alias("turn"), none.cast("long").alias("block"), "keys", "counts")
@@ -368,10 +384,10 @@ def _answer(chunks: DataFrame, model: DataFrame, above: tuple[np.ndarray, np.nda
                 else:
                     if pieces:
                         known, n = (np.concatenate([x[k] for x in pieces]) for k in (0, 1))
-                        values = n if kind == TOKEN else code_lengths(known, n, depth, min(TOP, depth), shared.value).astype("<f4")
+                        values = n if kind == TOKEN else np.minimum(np.rint(-UNIT * code_lengths(known, n, depth, min(TOP, depth), shared.value)), (1 << 24) - 1).astype(np.int64)
                         pieces = []
                     got = values[np.searchsorted(known, _unpack(keys, depth + 1 if kind == GRAM else 8))]
-                    out.append((block, kind, part, _pack(got, 5) if kind == TOKEN else got.tobytes()))
+                    out.append((block, kind, part, _pack(got, 5 if kind == TOKEN else 3)))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["block", "kind", "part", "answers"])
 
@@ -382,11 +398,11 @@ class Table:
     """Values by key: open addressing in arrays, looked up many at a time."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
-        bits = max(4, int(2 * max(1, len(keys)) - 1).bit_length())
+        bits = max(4, int(1.4 * len(keys)).bit_length())
         self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
         slot = self._slots(keys)
-        held = np.full(1 << bits, -1, np.int64)
-        todo = np.arange(len(keys))
+        held = np.full(1 << bits, -1, np.int32)
+        todo = np.arange(len(keys), dtype=np.int32)
         while len(todo):
             free = todo[held[slot[todo]] < 0]
             held[slot[free]] = free
@@ -408,8 +424,8 @@ class Table:
         return self.values[slot]
 
 
-def _score_blocks(docs: DataFrame, answers: DataFrame, total: int, distinct: int, depth: int, parts: int) -> DataFrame:
-    blocks = staged(answers.select("block").distinct(), "ctw-blocks")
+def _score_blocks(docs: DataFrame, answers: DataFrame, blocks: DataFrame, total: int, distinct: int, depth: int, parts: int) -> DataFrame:
+    """blocks: those of docs, staged."""
     n = max(1, blocks.count())
     kind_of = docs.schema["doc_id"].dataType
     texts = docs.select("block", F.lit(1).alias("turn"), F.lit(0).alias("kind"), F.lit(0).alias("part"), F.lit(None).cast("binary").alias("answers"), "doc_id", "train", "text")
@@ -429,14 +445,14 @@ def _score_blocks(docs: DataFrame, answers: DataFrame, total: int, distinct: int
         tables = {}
         for kind, keys in ((GRAM, _added(*tally.total())[0]), (TOKEN, np.sort(words.hashes()))):
             order, bounds = _by_part(kind, keys, parts, min(TOP, depth))
-            got = np.concatenate([np.frombuffer(answers[kind, p], "<f4") if kind == GRAM else _unpack(answers[kind, p], 5).astype(np.float64) for p in range(parts) if bounds[p] < bounds[p + 1]])
-            tables[kind] = Table(keys[order], got)
+            got = np.concatenate([_unpack(answers.pop((kind, p)), 3 if kind == GRAM else 5) for p in range(parts) if bounds[p] < bounds[p + 1]])
+            tables[kind] = Table(keys[order], got.astype(np.int32 if kind == GRAM else np.float64))
         counts = tables[TOKEN][words.hashes()]
         base, seen = np.log10(counts + 1) - unit, counts > 0
         for some in cuts:
             parts_of = [normal[k] for k in some]
             sizes = np.array([len(t) for t in parts_of])
-            lengths = np.add.reduceat(tables[GRAM][_grams(parts_of, depth)].astype(np.float64), np.cumsum(sizes) - sizes)
+            lengths = np.add.reduceat(tables[GRAM][_grams(parts_of, depth)].astype(np.int64), np.cumsum(sizes) - sizes) / -UNIT
             rows = [(block[k][0], not block[k][1], len(codes[k]), int(seen[codes[k]].sum()), total, float(base[codes[k]].sum()), float(s), int(n), -float(s) / math.log10(2) / n) for k, s, n in zip(some, lengths, sizes, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (id_type[0], pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.float64()), strict=True)], names=[f.split()[0] for f in out_schema.split(", ")])
 
@@ -496,5 +512,5 @@ def score(docs: DataFrame, train: Column, depth: int = DEPTH, scanned: bool = Fa
     sums = model.select(F.explode("above").alias("a")).groupBy("a.node").agg(F.sum("a.n0").alias("n0"), F.sum("a.n1").alias("n1"), F.sum("a.below").alias("below"))
     held = sums.toArrow()  # at most 256 ** TOP rows of 28 bytes
     above = upper(*(held[c].to_numpy() for c in ("node", "n0", "n1", "below")), depth=min(TOP, depth) - 1)
-    answers = staged(_answer(chunks, model, above, depth), "ctw-answers")
-    return _score_blocks(rows, answers, total, distinct, depth, parts)
+    blocks = staged(chunks.select("block").distinct(), "ctw-blocks")
+    return _score_blocks(rows, _answer(chunks, model, above, depth), blocks, total, distinct, depth, parts)

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from .common import bound_batches, parts_for, staged, text_bytes, worker_state
 
-DEPTH = 7
+DEPTH = 6
 #: Context bytes that parts go by. 3 keeps common pairs of bytes apart, and bounds the nodes that all share by 2 ** 24; texts have
 #: some 10 ** 5 of them. A depth below it takes its place.
 TOP = 3

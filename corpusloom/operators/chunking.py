@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 
-#: Documents of one bucket of the numbering's prefix sum.
-BUCKET_ROWS = 100_000
+from .staging import bound_batches, running, staged
 
 
 def explode_chunks(docs: DataFrame, chunks: Column, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -30,6 +29,7 @@ def mark_chunks(docs: DataFrame, size: int, keep_title: bool = False, keep: tupl
     if size < 2:
         raise ValueError("the window is too small")
     n = len(keep)
+    bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -46,22 +46,31 @@ def mark_chunks(docs: DataFrame, size: int, keep_title: bool = False, keep: tupl
     return docs.select(*keep, "text").mapInArrow(run, f"{kept}pos int, content string")
 
 
+def firsts(counts: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """counts (doc, n), a row per document with ids of any type that has an order. Adds first: the chunks of all documents before it."""
+    rows = staged(counts, "chunk-counts")
+    return running(rows, [], [doc], "n", "_ends", rows.count()).withColumn("first", F.col("_ends") - F.col("n")).drop("_ends")
+
+
+def chunk_name(lang: Column, number: Column) -> Column:
+    return F.concat(F.lit("doc-"), lang, F.lit("-"), number.cast("string"))
+
+
 def numbered(chunks: DataFrame, lang: Column, doc: str = "doc_id") -> DataFrame:
     """Adds chunk_id `doc-{lang}-{n}`, n counting all chunks by document and position.
 
-    Only a row per document is numbered. Ranges of documents are summed first, so no task holds all of them.
+    Only a row per document is numbered, by ranges of documents, so no task holds all of them.
     """
-    counts = chunks.groupBy(doc).agg(F.count("*").alias("_n"))
-    n = -(-counts.count() // BUCKET_ROWS)
-    bounds = counts.approxQuantile(doc, [k / n for k in range(1, n)], 0.001) if n > 1 else []
-    bucket = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda x: x < F.col(doc))) if bounds else F.lit(0)
-    counts = counts.withColumn("_b", bucket)
-    sums = counts.groupBy("_b").agg(F.sum("_n").alias("_s"))
-    before = sums.withColumn("_before", F.coalesce(F.sum("_s").over(W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_s")
-    inside = F.coalesce(F.sum("_n").over(W.partitionBy("_b").orderBy(doc).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    first = counts.withColumn("_in", inside).join(before, "_b").select(doc, (F.col("_before") + F.col("_in")).alias("_first"))
+    first = firsts(chunks.groupBy(doc).agg(F.count("*").alias("n")), doc).select(doc, F.col("first").alias("_first"))
     number = F.col("_first") + F.row_number().over(W.partitionBy(doc).orderBy("pos")) - 1
-    return chunks.join(first, doc).withColumn("chunk_id", F.concat(F.lit("doc-"), lang, F.lit("-"), number.cast("string"))).drop("_first")
+    return chunks.join(first, doc).withColumn("chunk_id", chunk_name(lang, number)).drop("_first")
+
+
+def numbered_docs(docs: DataFrame, chunks: Column, lang: Column, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """explode_chunks() of documents with distinct doc_ids, and numbered()'s chunk_id: documents meet their first number, not chunks."""
+    first = firsts(docs.select("doc_id", F.size(chunks).cast("long").alias("n")).where("n > 0")).select("doc_id", "first")
+    each = docs.join(first, "doc_id").select(*keep, lang.alias("_lang"), "first", F.explode(chunks).alias("_c"))
+    return each.select(*keep, F.col("_c.pos").alias("pos"), F.col("_c.content").alias("content"), chunk_name(F.col("_lang"), F.col("first") + F.col("_c.pos")).alias("chunk_id"))
 
 
 def spans(chunks: DataFrame) -> DataFrame:

@@ -24,28 +24,30 @@ def _gain(relevance: Column, place: Column) -> Column:
     return relevance / F.log2(place + F.lit(1.0))
 
 
+def all_per_query(run: DataFrame, qrels: DataFrame, metrics: list[str]) -> DataFrame:
+    """(qid, metric, score) for each query with a relevant document, 0 for one that the run lacks. The run is ranked once for all metrics."""
+    wanted = [(m, *parse_metric(m)) for m in ([metrics] if isinstance(metrics, str) else metrics)]
+    deepest = max(k for _, _, k in wanted)
+    relevant = qrels.where("relevance > 0").select("qid", "docid", F.col("relevance").cast("double").alias("relevance"))
+    found = by_score(run.select("qid", "docid", "score")).where(F.col("place") <= deepest).join(relevant, ["qid", "docid"])
+    ideal = relevant.withColumn("place", F.row_number().over(W.partitionBy("qid").orderBy(F.col("relevance").desc(), "docid")))
+    within = lambda value, k: F.sum(F.when(F.col("place") <= k, value))
+    gain = _gain(F.col("relevance"), F.col("place"))
+    best = ideal.groupBy("qid").agg(F.count("*").alias("n"), *(within(gain, k).alias(f"_best{i}") for i, (_, _, k) in enumerate(wanted)))
+    got = found.groupBy("qid").agg(*(F.coalesce(within(gain if kind == "ndcg" else F.lit(1.0), k), F.lit(0.0)).alias(f"_got{i}") for i, (_, kind, k) in enumerate(wanted)))
+    ratio = lambda i, kind: F.coalesce(f"_got{i}", F.lit(0.0)) / F.col("n" if kind == "recall" else f"_best{i}")
+    each = F.array(*(F.struct(F.lit(m).alias("metric"), ratio(i, kind).alias("score")) for i, (m, kind, _) in enumerate(wanted)))
+    return best.join(got, "qid", "left").select("qid", F.explode(each).alias("e")).select("qid", "e.metric", "e.score")
+
+
 def per_query(run: DataFrame, qrels: DataFrame, metric: str) -> DataFrame:
     """(qid, score) for each query with a relevant document; one that the run lacks scores 0."""
-    kind, k = parse_metric(metric)
-    relevant = qrels.where("relevance > 0").select("qid", "docid", F.col("relevance").cast("double").alias("relevance"))
-    found = by_score(run.select("qid", "docid", "score")).where(F.col("place") <= k).join(relevant, ["qid", "docid"])
-    queries = relevant.groupBy("qid").agg(F.count("*").alias("n"))
-    if kind == "recall":
-        got = found.groupBy("qid").agg(F.count("*").alias("got"))
-        return queries.join(got, "qid", "left").select("qid", (F.coalesce("got", F.lit(0)) / F.col("n")).alias("score"))
-    ideal = relevant.withColumn("place", F.row_number().over(W.partitionBy("qid").orderBy(F.col("relevance").desc(), "docid"))).where(F.col("place") <= k)
-    best = ideal.groupBy("qid").agg(F.sum(_gain(F.col("relevance"), F.col("place"))).alias("best"))
-    got = found.groupBy("qid").agg(F.sum(_gain(F.col("relevance"), F.col("place"))).alias("got"))
-    return best.join(got, "qid", "left").select("qid", (F.coalesce("got", F.lit(0.0)) / F.col("best")).alias("score"))
+    return all_per_query(run, qrels, [metric]).select("qid", "score")
 
 
 def evaluate(run: DataFrame, qrels: DataFrame, metrics: list[str]) -> DataFrame:
     """(metric, score): means over the queries."""
-    out = None
-    for m in [metrics] if isinstance(metrics, str) else metrics:
-        row = per_query(run, qrels, m).agg(F.avg("score").alias("score")).select(F.lit(m).alias("metric"), "score")
-        out = row if out is None else out.unionByName(row)
-    return out
+    return all_per_query(run, qrels, metrics).groupBy("metric").agg(F.avg("score").alias("score"))
 
 
 def macro(scores: DataFrame) -> DataFrame:

@@ -10,10 +10,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corpusloom.functions import vector as V
+from .staging import bound_batches, running, staged
 
-#: Queries that are sent to all tasks at once, a few hundred bytes each; more are searched block by block.
-QUERY_BLOCK = 10_000
+#: Queries that are sent to all tasks at once, at most; more are searched block by block. A block's vectors and the hits that a
+#: task holds for it are bounded too, in numbers.
+QUERY_BLOCK, BLOCK_VALUES, BLOCK_HITS = 10_000, 4_000_000, 4_000_000
+#: Share by which a product of matrices may differ from the sum in order of dimensions.
+ROUNDING = 1e-9
 
 
 def ranked(hits: DataFrame, k: int | None = None, ties: str = "docid") -> DataFrame:
@@ -26,49 +29,76 @@ def ranked(hits: DataFrame, k: int | None = None, ties: str = "docid") -> DataFr
 def search(queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
     """queries (qid, embedding) against all of index (docid, embedding) by inner product: the best k of each.
 
-    Exact. Queries go to the tasks that hold the index, in blocks of a counted size; a task keeps k of each before the shuffle.
+    Exact: a matrix product finds the rows that can be among a batch's best, and their products are summed in double precision in
+    the order of dimensions. Equal scores go by docid, in the batch already. Queries go to the tasks that hold the index, in blocks
+    of a counted size; a task keeps k of each before the shuffle. Null vectors are not searched, and queries with one find nothing.
     """
-    blocks = -(-queries.count() // QUERY_BLOCK)
+    if k < 1:
+        raise ValueError("k must be positive")
+    bound_batches(index.sparkSession)
+    asked = queries.where("embedding is not null")
+    n, width = asked.agg(F.count("*"), F.coalesce(F.max(F.size("embedding")), F.lit(1))).first()
+    blocks = -(-n // max(1, min(QUERY_BLOCK, BLOCK_VALUES // max(1, width), BLOCK_HITS // k)))
     out = None
     for b in range(max(1, blocks)):
-        some = queries if blocks <= 1 else queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b)
-        pairs = F.broadcast(some.select("qid", F.col("embedding").alias("_q"))).crossJoin(index.select("docid", "embedding"))
-        hits = ranked(pairs.select("qid", "docid", V.dot(F.col("_q"), F.col("embedding")).alias("score")), k)
+        some = asked if blocks <= 1 else asked.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b)
+        hits = _search_block(some, index, k)
         out = hits if out is None else out.unionByName(hits)
     return out
 
 
-def search_blocks(queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
-    """search() by matrix products in Arrow batches; sums run in another order, so last digits may differ."""
-    blocks = -(-queries.count() // QUERY_BLOCK)
-    out = None
-    for b in range(max(1, blocks)):
-        some = queries if blocks <= 1 else queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b)
-        hits = _search_block(some, index, k)
-        out = hits if out is None else out.unionByName(hits)
+#: The same: blocks are how search() works.
+search_blocks = search
+
+
+def _in_order(query: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """Inner products, summed in the order of dimensions."""
+    out = np.zeros(len(vectors))
+    for x, column in zip(query.tolist(), vectors.T, strict=True):
+        out += x * column
     return out
 
 
+def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best by score, then by id."""
+    return np.lexsort((ids, -scores))[:k]
+
+
 def _search_block(queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
-    held = queries.select("qid", "embedding").toArrow()
+    held = queries.select("qid", "embedding").toArrow()  # a block of queries, its size is bounded
     qids, matrix = held["qid"].to_pylist(), np.array(held["embedding"].to_pylist(), np.float64)
     shipped = queries.sparkSession.sparkContext.broadcast((qids, matrix))
     q, d = queries.schema["qid"].dataType, index.schema["docid"].dataType
+    asked = held.schema.field("qid").type
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, m = shipped.value
+        best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), None)] * len(names)
+        kind = None
         for b in batches:
             if not b.num_rows or not len(names):
                 continue
+            kind = b.schema.field(0).type
+            ids = b.column(0).to_numpy(zero_copy_only=False)
             vectors = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1).astype(np.float64)
-            scores = m @ vectors.T
-            top = np.argpartition(-scores, min(k, b.num_rows) - 1, axis=1)[:, :k]
-            # Ties with the k-th are kept too; the last ranking decides among them by id.
-            least = np.take_along_axis(scores, top, 1).min(1, keepdims=True)
-            row, col = np.nonzero(scores >= least)
-            yield pa.RecordBatch.from_arrays([pa.array([names[r] for r in row]), b.column(0).take(pa.array(col)), pa.array(scores[row, col])], names=["qid", "docid", "score"])
-
-    hits = index.select("docid", "embedding").mapInArrow(run, f"qid {q.simpleString()}, docid {d.simpleString()}, score double")
+            rough = m @ vectors.T
+            slack = ROUNDING * (1 + np.abs(rough).max())
+            least = np.partition(rough, -min(k, b.num_rows), axis=1)[:, -min(k, b.num_rows)] - slack
+            for r in range(len(names)):
+                had, known = best[r]
+                at = np.flatnonzero(rough[r] >= max(least[r], had[-1] - slack if len(had) == k else -np.inf))
+                if not len(at):
+                    continue
+                scores, docs = _in_order(m[r], vectors[at]), ids[at]
+                if known is not None:
+                    scores, docs = np.concatenate([had, scores]), np.concatenate([known, docs])
+                keep = _best(scores, docs, k)
+                best[r] = scores[keep], docs[keep]
+        for r, (scores, docs) in enumerate(best):
+            if len(scores):
+                yield pa.RecordBatch.from_arrays([pa.array([names[r]] * len(scores), asked), pa.array(docs, kind), pa.array(scores)], names=["qid", "docid", "score"])
+
+    hits = index.where("embedding is not null").select("docid", "embedding").mapInArrow(run, f"qid {q.simpleString()}, docid {d.simpleString()}, score double")
     return ranked(hits, k)
 
 
@@ -97,6 +127,7 @@ def pairs(run: DataFrame, queries: DataFrame, corpus: DataFrame) -> DataFrame:
 def scored(candidates: DataFrame, scorer: Callable[[], Callable[[list[str], list[str]], np.ndarray]], normalise: bool = False) -> DataFrame:
     """Replaces score by the scorer's for (query, passage); normalise maps it to 0 to 1. The model is made once per task."""
     names = candidates.columns
+    bound_batches(candidates.sparkSession)
     q, p, s = (names.index(c) for c in ("query", "passage", "score"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,10 +157,12 @@ def reranked(candidates: DataFrame) -> DataFrame:
 
 
 def sharded(queries: DataFrame, n: int) -> DataFrame:
-    """Adds shard: sorted qids in n runs of equal length, the last of which takes what is over."""
-    each = F.floor(F.count("*").over(W.partitionBy()) / n)
-    place = F.row_number().over(W.orderBy("qid")) - 1
-    return queries.withColumn("shard", F.when(each == 0, F.lit(n - 1)).otherwise(F.least(F.floor(place / each), F.lit(n - 1))).cast("int"))
+    """Adds shard: sorted qids in n runs of equal length, the last of which takes what is over. No task holds all queries."""
+    rows = staged(queries.withColumns({"_one": F.lit(1), "_row": F.monotonically_increasing_id()}), "queries")
+    total = rows.count()
+    place = running(rows, [], ["qid", "_row"], "_one", "_place", total)
+    shard = F.lit(n - 1) if total < n else F.least(F.floor((F.col("_place") - 1) / (total // n)), F.lit(n - 1)).cast("int")
+    return place.withColumn("shard", shard.cast("int")).select(*queries.columns, "shard")
 
 
 def prefixed(queries: DataFrame, instruction: str | None) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Generator, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as T
 from corpusloom.functions import vector as V
 
+from .staging import bound_batches
+
 #: Texts to unit vectors. The default needs no model and no file.
 Encoder = Callable[[list[str]], np.ndarray]
 
@@ -40,6 +42,7 @@ def encoded(df: DataFrame, column: str, out: str = "embedding", encoder: Callabl
     """Adds the column's vectors (array<float>). encoder makes the model, once per task."""
     names = df.columns
     at = names.index(column)
+    bound_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = encoder()
@@ -94,23 +97,12 @@ def greedy_segments(parts: Column, sims: Column, window: int, threshold: Column)
     return T.packed(parts, window, links=sims, least=threshold)
 
 
-def merge_neighbours(pieces: list[str], encoder: Encoder, max_length: int, compat: bool = False) -> list[str]:
-    """Inner segments join the neighbour that is more like them, if the two together are shorter than max_length.
-
-    Merged texts are encoded anew, so this goes step by step; vectors are kept by text. compat skips the segment after one
-    that joined its left neighbour.
-    """
-    known: dict[str, np.ndarray] = {}
-
-    def vector(t: str) -> np.ndarray:
-        if t not in known:
-            known[t] = encoder([t])[0]
-        return known[t]
-
+def _merging(pieces: list[str], max_length: int, compat: bool = False) -> Generator[list[str], list[np.ndarray], list[str]]:
+    """merge_neighbours() in steps: yields the three texts whose vectors it needs, and returns the result."""
     out, i = list(pieces), 1
     while i < len(out) - 1:
-        here = vector(out[i])
-        left = float(vector(out[i - 1]) @ here) > float(vector(out[i + 1]) @ here)
+        before, here, after = yield out[i - 1 : i + 2]
+        left = float(before @ here) > float(after @ here)
         a = i - 1 if left else i
         if len(out[a]) + len(out[a + 1]) < max_length:
             out[a : a + 2] = [out[a] + out[a + 1]]
@@ -120,32 +112,95 @@ def merge_neighbours(pieces: list[str], encoder: Encoder, max_length: int, compa
     return out
 
 
+def merge_all(documents: list[list[str]], encoder: Encoder, max_length: int, compat: bool = False) -> list[list[str]]:
+    """merge_neighbours() of many documents: each round encodes what all of them need next, at once."""
+    out: list[list[str]] = [[] for _ in documents]
+    steps, known, asks = {}, [{} for _ in documents], {}
+
+    def go(k: int, answer: list[np.ndarray] | None) -> None:
+        try:
+            asks[k] = steps[k].send(answer)
+        except StopIteration as e:
+            out[k] = e.value
+            steps.pop(k), asks.pop(k, None)
+
+    for k, pieces in enumerate(documents):
+        steps[k] = _merging(pieces, max_length, compat)
+        go(k, None)
+    while steps:
+        new = [(k, t) for k, texts in asks.items() for t in dict.fromkeys(texts) if t not in known[k]]
+        if new:
+            for (k, t), v in zip(new, encoder([t for _, t in new]), strict=True):
+                known[k][t] = v
+        for k, texts in list(asks.items()):
+            # Only the neighbours of the place are needed again.
+            known[k] = {t: known[k][t] for t in texts}
+            go(k, [known[k][t] for t in texts])
+    return out
+
+
+def merge_neighbours(pieces: list[str], encoder: Encoder, max_length: int, compat: bool = False) -> list[str]:
+    """Inner segments join the neighbour that is more like them, if the two together are shorter than max_length.
+
+    Merged texts are encoded anew, so this goes step by step. compat skips the segment after one that joined its left neighbour.
+    """
+    return merge_all([pieces], encoder, max_length, compat)[0]
+
+
+def _folded(parts: list[str], sims: np.ndarray, join: Callable[[str, str, float], bool]) -> list[str]:
+    """Parts joined to the one before where join says so."""
+    out = list(parts[:1])
+    for part, sim in zip(parts[1:], sims.tolist(), strict=True):
+        if join(out[-1], part, sim):
+            out[-1] += part
+        else:
+            out.append(part)
+    return out
+
+
+#: Sentences that are encoded at once.
+ENCODED = 20_000
+
+
 def semantic_chunks(docs: DataFrame, kind: str = "threshold", window: int = 512, k: int | None = None, threshold: float | None = None, cluster: bool = True, max_length: int = 512, chunk_length: int = 50, encoder: Callable[[], Encoder] = lambda: hashed_ngrams, ends: str = T.SENTENCE_END) -> DataFrame:
     """(doc_id, pos, content) for documents (doc_id, text): kind is threshold, slide_window or k; the mean similarity of each
-    document is its threshold unless one is given. One document of one sentence stays whole."""
+    document is its threshold unless one is given. One document of one sentence stays whole; a null or empty one has no chunks.
+
+    A document stays in its row, so nothing is shuffled; the sentences of a batch of documents are encoded together.
+    """
     if kind not in ("threshold", "slide_window", "k"):
         raise ValueError(f"unknown kind {kind}")
-    rows = encoded(sentence_table(docs, ends), "sentence", encoder=encoder)
-    seq = sequences(rows, "doc_id", "pos", "sentence")
-    limit = F.lit(threshold) if threshold is not None else V.mean(F.col("sims"))
-    if kind == "k":
-        total = F.aggregate(F.transform("parts", F.length), F.lit(0), lambda s, x: s + x)
-        limit = V.kth_smallest(F.col("sims"), F.lit(k) if k else F.floor(total / chunk_length).cast("int") + 1)
-    if kind != "slide_window":
-        window = 2**31 - 1
-        # A cut where sim < limit: neighbours stay together unless below it.
-        keep = F.transform("sims", lambda s: F.when(s < limit, F.lit(-1.0)).otherwise(F.lit(1.0)))
-        made = greedy_segments(F.col("parts"), keep, window, F.lit(0.0))
-    else:
-        made = greedy_segments(F.col("parts"), F.col("sims"), window, limit)
-    held = seq.select("doc_id", F.transform(made, lambda c: c["content"]).alias("chunks"))
-    if cluster:
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            model = encoder()
-            for b in batches:
-                out = [merge_neighbours(x or [], model, max_length) for x in b.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.string()))], names=["doc_id", "chunks"])
-
-        held = held.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, chunks array<string>")
+    bound_batches(docs.sparkSession)
+    found = T.sentences(F.col("text"), ends)
+
+    def limit_of(parts: list[str], sims: np.ndarray) -> float:
+        if kind != "k":
+            return threshold if threshold is not None else float(sims.mean())
+        n = k or sum(map(len, parts)) // chunk_length + 1
+        return float(np.sort(sims)[min(max(n, 1), len(sims)) - 1])
+
+    def fold(parts: list[str], vectors: np.ndarray) -> list[str]:
+        if len(parts) < 2:
+            return parts
+        sims = np.einsum("ij,ij->i", vectors[:-1], vectors[1:])
+        limit = limit_of(parts, sims)
+        if kind == "slide_window":
+            return _folded(parts, sims, lambda a, b, s: len(a) + len(b) <= window and s > limit)
+        return _folded(parts, sims, lambda a, b, s: s >= limit)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = encoder()
+        for b in batches:
+            documents = [[p for p in x or [] if p] for x in b.column(1).to_pylist()]
+            flat = [p for x in documents for p in x]
+            vectors = [np.asarray(model(flat[i : i + ENCODED]), np.float32).astype(np.float64) for i in range(0, len(flat), ENCODED)]
+            whole = np.concatenate(vectors) if vectors else np.zeros((0, 1))
+            ends_at = np.cumsum([len(x) for x in documents])
+            made = [fold(x, whole[e - len(x) : e]) for x, e in zip(documents, ends_at.tolist(), strict=True)]
+            if cluster:
+                made = merge_all(made, model, max_length)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.list_(pa.string()))], names=["doc_id", "chunks"])
+
+    rows = docs.select("doc_id", F.when(F.size(found) > 0, found).otherwise(F.array("text")).alias("parts"))
+    held = rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, chunks array<string>")
     return held.select("doc_id", F.posexplode("chunks").alias("pos", "content"))

@@ -79,8 +79,5 @@ def relabel(positives: DataFrame, hard_negatives: DataFrame, runs: list[DataFram
 def evaluate_languages(runs: DataFrame, qrels: DataFrame, metrics: list[str]) -> DataFrame:
     """(lang, metric, score) with averages, for runs and qrels with a column lang. Query ids are unique over languages."""
     lang = qrels.select("qid", "lang").distinct()
-    out = None
-    for m in [metrics] if isinstance(metrics, str) else metrics:
-        each = evaluation.per_query(runs, qrels, m).join(lang, "qid").groupBy("lang").agg(F.avg("score").alias("score")).select("lang", F.lit(m).alias("metric"), "score")
-        out = each if out is None else out.unionByName(each)
-    return evaluation.macro(out)
+    each = evaluation.all_per_query(runs, qrels, metrics).join(lang, "qid").groupBy("lang", "metric").agg(F.avg("score").alias("score"))
+    return evaluation.macro(each)

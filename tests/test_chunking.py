@@ -117,3 +117,22 @@ def test_numbering_ignores_partitions(spark):
     one = {(r.doc_id, r.pos): r.chunk_id for r in chunking.numbered(made.repartition(7), F.col("lang")).collect()}
     ids = sorted(one.items())
     assert [v for _, v in ids] == [f"doc-en-{n}" for n in range(len(ids))]
+
+
+@pytest.mark.parametrize("kind", ["string", "long"])
+def test_numbering_of_any_ids_over_many_ranges(spark, monkeypatch, kind):
+    from corpusloom.operators import staging
+
+    monkeypatch.setattr(staging, "RANGE_ROWS", 7)
+    ids = [f"d{(k * 37) % 101:03d}é" if kind == "string" else (k * 37) % 101 - 50 for k in range(101)]
+    docs = spark.createDataFrame([(i, "x" * (n % 5), "en") for n, i in enumerate(ids)], f"doc_id {kind}, text string, lang string")
+    want, n = {}, 0
+    for i, text, _ in sorted(map(tuple, docs.collect())):
+        for pos in range(-(-len(text) // 2)):
+            want[i, pos] = f"doc-en-{n}"
+            n += 1
+    made = chunking.explode_chunks(docs, T.windows(F.col("text"), 2), keep=("doc_id", "lang"))
+    assert {(r.doc_id, r.pos): r.chunk_id for r in chunking.numbered(made, F.col("lang")).collect()} == want
+    whole = chunking.numbered_docs(docs, T.windows(F.col("text"), 2), F.col("lang")).collect()
+    assert {(r.doc_id, r.pos): r.chunk_id for r in whole} == want and all(r.content in ("x", "xx") for r in whole)
+    assert chunking.numbered_docs(docs.limit(0), T.windows(F.col("text"), 2), F.col("lang")).count() == 0

@@ -185,3 +185,47 @@ def test_stream_equals_table(spark, tmp_path):
     made = stream.chunk_stream(spark.readStream.schema("doc_id long, text string").parquet(f"{tmp_path}/in"), 10, 2)
     stream.write_stream(made, f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination()
     assert tuples(spark.read.parquet(f"{tmp_path}/out"), "chunk_id", "content") == tuples(stream.chunk_stream(docs, 10, 2), "chunk_id", "content")
+
+
+def test_search_with_nulls_and_ties(spark):
+    rows = [(f"d{k:04d}", [1.0, 2.0]) for k in range(3000)] + [("a", None), ("best", [5.0, 5.0]), ("z", [-1.0, 0.0])]
+    index = spark.createDataFrame(rows, "docid string, embedding array<float>").repartition(3)
+    queries = spark.createDataFrame([(1, [1.0, 1.0]), (2, None), (3, [0.0, 0.0])], "qid int, embedding array<float>")
+    got = [(r.qid, r.docid, r["rank"], r.score) for r in retrieval.search(queries, index, 3).orderBy("qid", "rank").collect()]
+    assert got == [(1, "best", 1, 10.0), (1, "d0000", 2, 3.0), (1, "d0001", 3, 3.0), (3, "best", 1, 0.0), (3, "d0000", 2, 0.0), (3, "d0001", 3, 0.0)]
+    assert retrieval.search(queries, index.limit(0), 3).count() == 0 and retrieval.search(queries.limit(0), index, 3).count() == 0
+    with pytest.raises(ValueError):
+        retrieval.search(queries, index, 0)
+
+
+def test_search_against_all_pairs(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    vectors = rng.normal(size=(400, 16)).astype(np.float32)
+    vectors[50:60] = vectors[40]
+    index = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)], "docid long, embedding array<float>").repartition(5)
+    queries = spark.createDataFrame([(k, vectors[k].tolist()) for k in range(0, 400, 9)] + [(40, vectors[40].tolist())], "qid long, embedding array<float>")
+
+    def score(a, b):
+        total = 0.0
+        for x, y in zip(a.tolist(), b.tolist(), strict=True):
+            total += x * y
+        return total
+
+    want = {}
+    for q in [*range(0, 400, 9), 40]:
+        want[q] = sorted((-score(vectors[q], v), k) for k, v in enumerate(vectors))[:12]
+    got = {}
+    for r in retrieval.search(queries, index, 12).orderBy("qid", "rank").collect():
+        got.setdefault(r.qid, []).append((-r.score, r.docid))
+    assert got == want
+
+
+def test_paths():
+    from corpusloom.plans import config
+
+    assert config.chunk_folder("chunk_with_title", 512, True, 50) == "chunk_with_title_512_True_50"
+    assert config.label_path("qa", "wiki", "en", "d1") == "qa/wiki/en/d1"
+    with pytest.raises(ValueError):
+        config.label_path("qa", "nowhere", "en", "d1")

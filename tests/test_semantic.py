@@ -69,3 +69,17 @@ def test_encoder_is_deterministic(spark):
     df = spark.createDataFrame([("abc",), ("abc",), (None,)], "t string")
     a, b, c = [r.embedding for r in semantic.encoded(df, "t").collect()]
     assert a == b and len(a) == len(c) == 64 and abs(sum(x * x for x in a) - 1) < 1e-5
+
+
+def test_merging_many_documents_encodes_together():
+    calls = []
+
+    def encoder(texts):
+        calls.append(len(texts))
+        return semantic.hashed_ngrams(texts)
+
+    documents = [[f"w{k} {j} {'x' * (j * k % 7)}." for j in range(k % 6)] for k in range(40)]
+    together = semantic.merge_all(documents, encoder, 30)
+    rounds = len(calls)
+    assert together == [semantic.merge_neighbours(d, encoder, 30) for d in documents]
+    assert rounds <= 6 < max(calls) and any(len(a) < len(b) for a, b in zip(together, documents, strict=True))

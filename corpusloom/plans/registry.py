@@ -1,9 +1,10 @@
 """The queries over the driver's tables, each with DuckDB SQL for the same rows.
 
-Stand-ins: `documents` is the corpus, `benchmark` the queries, `embeddings` an index whose label says what is relevant (and,
-in order of vec_id within a label, a document's sentence vectors); a chunk is a vector and its document vec_id div 5.
+Stand-ins: `documents` is the corpus, `benchmark` the queries, `embeddings` an index whose label says what is relevant; a chunk
+is a vector and its document vec_id div 5; a document's sentence vectors are the twenty of one vec_id div 20, in order.
 `labels` gives judgements: qid is doc_id mod 20, the type goes by doc_id mod 3, the label is quality, and those of doc_id mod 7
-= 0 have failed. Queries of searches are the vectors whose vec_id is divisible by 50.
+= 0 have failed. Queries of searches are the vectors whose vec_id is divisible by 50. Queries of files write whole tables to the
+shared folder and read them back.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as T
 from corpusloom.functions import vector as V
 from corpusloom.operators import chunking, evaluation, labels, retrieval, semantic
+from corpusloom.operators.staging import fresh_path
 from corpusloom.sources import files
 
 from . import experiments
@@ -106,8 +108,8 @@ k AS (SELECT doc_id, count(*) AS n FROM c GROUP BY doc_id),
 f AS (SELECT doc_id, n, coalesce(sum(n) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first FROM k)
 SELECT c.doc_id, c.pos::INT AS pos, 'doc-' || lang || '-' || (first + pos)::BIGINT AS chunk_id FROM c JOIN f USING (doc_id) JOIN documents USING (doc_id)""")
 def chunk_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = chunking.explode_chunks(table(spark, sf_dir, "documents"), T.windows(F.col("text"), 512), keep=("doc_id", "lang"))
-    return chunking.numbered(made, F.col("lang")).select("doc_id", "pos", "chunk_id")
+    docs = table(spark, sf_dir, "documents")
+    return chunking.numbered_docs(docs, T.windows(F.col("text"), 512), F.col("lang")).select("doc_id", "pos", "chunk_id")
 
 
 @query(f"SELECT doc_id, min(pos)::INT AS first, count(*) AS n FROM ({windows_sql(512, 462)}) GROUP BY doc_id")
@@ -115,7 +117,18 @@ def doc_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.spans(chunk_fixed_512_50(spark, sf_dir))
 
 
-@query()
+MARKS, TITLES = "[.?! 。？！\n]", "[。？ ！.?!\n]"
+CUT_SQL = f"""CASE WHEN {{start}} + {{room}} >= n THEN n WHEN regexp_matches(substr(text, {{start}} + 2, {{room}}), '{MARKS}')
+THEN {{start}} + 1 + length(regexp_extract(substr(text, {{start}} + 2, {{room}}), '(?s)^(.*){MARKS}', 1)) ELSE {{start}} + {{room}} END"""
+
+
+@query(f"""
+WITH RECURSIVE t AS (SELECT doc_id, text, length(text) AS n, regexp_extract(text, '^([^{TITLES[1:]}*){TITLES}', 1) || ' ' AS title, regexp_matches(text, '{TITLES}') AS has FROM documents),
+d AS (SELECT doc_id, text, n, CASE WHEN has AND length(title) <= 512 / 5 THEN title ELSE '' END AS lead FROM t WHERE n > 0),
+c(doc_id, pos, start, cut) AS (
+    SELECT doc_id, 0, 0::BIGINT, {CUT_SQL.format(start='0', room='512')} FROM d
+    UNION ALL SELECT c.doc_id, pos + 1, cut, {CUT_SQL.format(start='cut', room='(512 - length(lead))')} FROM c JOIN d USING (doc_id) WHERE cut < n)
+SELECT doc_id, pos::INT AS pos, lead || substr(text, start + 1, cut - start) AS content FROM c JOIN d USING (doc_id)""")
 def chunk_at_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.mark_chunks(table(spark, sf_dir, "documents"), 512, keep_title=True)
 
@@ -198,7 +211,7 @@ def _passages_run(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
 
 
 @query("""SELECT b.item_id::VARCHAR AS qid, d.doc_id::VARCHAR AS docid, (d.doc_id // 40 + 1)::INT AS rank, b.text AS query, d.text AS passage
-FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40 WHERE d.doc_id // 40 < 5""")
+FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40""")
 def query_passage_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     run, docs = _passages_run(spark, sf_dir)
     return retrieval.pairs(run, _asked(spark, sf_dir), docs).drop("score")
@@ -206,7 +219,7 @@ def query_passage_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(r"""
 WITH p AS (SELECT b.item_id, d.doc_id, list_distinct(regexp_extract_all(lower(b.text), '\S+')) AS q, regexp_extract_all(lower(d.text), '\S+') AS t
-           FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40 WHERE d.doc_id // 40 < 5),
+           FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40),
 s AS (SELECT item_id, doc_id, CASE WHEN len(q) > 0 THEN len(list_intersect(q, t)) / len(q) ELSE 0 END AS score FROM p)
 SELECT item_id::VARCHAR AS qid, doc_id::VARCHAR AS docid, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, score::DOUBLE AS score FROM s""")
 def rerank_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -225,29 +238,29 @@ def shard_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").select("label", "vec_id", "embedding", F.concat(F.lit("s"), F.col("vec_id").cast("string"), F.lit(".")).alias("part"))
+    return table(spark, sf_dir, "embeddings").select(F.expr("vec_id div 20").alias("doc"), "vec_id", "embedding", F.concat(F.lit("s"), F.col("vec_id").cast("string"), F.lit(".")).alias("part"))
 
 
-SIMS_SQL = """SELECT label, vec_id, list_sum(list_transform(list_zip(embedding, lead(embedding) OVER (PARTITION BY label ORDER BY vec_id)), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)) AS raw,
-lead(vec_id) OVER (PARTITION BY label ORDER BY vec_id) AS next FROM embeddings"""
-SIM_SQL = f"SELECT label, vec_id, CASE WHEN next IS NOT NULL THEN raw END AS sim FROM ({SIMS_SQL})"
+SIMS_SQL = """SELECT doc, vec_id, list_sum(list_transform(list_zip(embedding, lead(embedding) OVER (PARTITION BY doc ORDER BY vec_id)), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)) AS raw,
+lead(vec_id) OVER (PARTITION BY doc ORDER BY vec_id) AS next FROM (SELECT *, vec_id // 20 AS doc FROM embeddings)"""
+SIM_SQL = f"SELECT doc, vec_id, CASE WHEN next IS NOT NULL THEN raw END AS sim FROM ({SIMS_SQL})"
 
 
 @query(SIM_SQL)
 def adjacent_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return semantic.neighbour_similarity(_sentences(spark, sf_dir), "label", "vec_id").select("label", "vec_id", "sim")
+    return semantic.neighbour_similarity(_sentences(spark, sf_dir), "doc", "vec_id").select("doc", "vec_id", "sim")
 
 
-@query("""WITH e AS (SELECT label, vec_id, embedding, lead(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS n FROM embeddings)
-SELECT label, vec_id, round(list_cosine_similarity(embedding::DOUBLE[], n::DOUBLE[]), 9) AS sim FROM e""")
+@query("""WITH e AS (SELECT doc, vec_id, embedding, lead(embedding) OVER (PARTITION BY doc ORDER BY vec_id) AS n FROM (SELECT *, vec_id // 20 AS doc FROM embeddings))
+SELECT doc, vec_id, round(list_cosine_similarity(embedding::DOUBLE[], n::DOUBLE[]), 9) AS sim FROM e""")
 def adjacent_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return semantic.neighbour_similarity(_sentences(spark, sf_dir), "label", "vec_id", measure=V.cosine).select("label", "vec_id", F.round("sim", 9).alias("sim"))
+    return semantic.neighbour_similarity(_sentences(spark, sf_dir), "doc", "vec_id", measure=V.cosine).select("doc", "vec_id", F.round("sim", 9).alias("sim"))
 
 
-@query(f"SELECT label, round(avg(sim), 9) AS mean, round(quantile_cont(sim, 0.05), 9) AS p05 FROM ({SIM_SQL}) GROUP BY label")
+@query(f"SELECT doc, round(avg(sim), 9) AS mean, round(quantile_cont(sim, 0.05), 9) AS p05 FROM ({SIM_SQL}) GROUP BY doc")
 def similarity_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
     sims = adjacent_similarity(spark, sf_dir)
-    return sims.groupBy("label").agg(F.round(F.avg("sim"), 9).alias("mean"), F.round(F.percentile("sim", F.lit(0.05)), 9).alias("p05"))
+    return sims.groupBy("doc").agg(F.round(F.avg("sim"), 9).alias("mean"), F.round(F.percentile("sim", F.lit(0.05)), 9).alias("p05"))
 
 
 @query(f"SELECT t.threshold, count(*) FILTER (WHERE sim < t.threshold) AS cuts FROM ({SIM_SQL}), (VALUES (0.0::DOUBLE), (0.1::DOUBLE), (0.45::DOUBLE), (0.7::DOUBLE), (0.8::DOUBLE), (0.87::DOUBLE)) t(threshold) GROUP BY ALL")
@@ -258,47 +271,47 @@ def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cut_sql(limit: str, compat: bool = False) -> str:
     low = "coalesce((sim < limit_)::INT, 0)"
-    cut = low if compat else f"coalesce(lag({low}) OVER (PARTITION BY label ORDER BY vec_id), 0)"
+    cut = low if compat else f"coalesce(lag({low}) OVER (PARTITION BY doc ORDER BY vec_id), 0)"
     return f"""
-WITH s AS ({SIM_SQL}), t AS (SELECT label, {limit} AS limit_ FROM s GROUP BY label),
-c AS (SELECT label, vec_id, {cut} AS cut FROM s JOIN t USING (label)),
-g AS (SELECT label, vec_id, sum(cut) OVER (PARTITION BY label ORDER BY vec_id ROWS UNBOUNDED PRECEDING)::BIGINT AS segment FROM c)
-SELECT label, segment, string_agg('s' || vec_id || '.', '' ORDER BY vec_id) AS content FROM g GROUP BY label, segment"""
+WITH s AS ({SIM_SQL}), t AS (SELECT doc, {limit} AS limit_ FROM s GROUP BY doc),
+c AS (SELECT doc, vec_id, {cut} AS cut FROM s JOIN t USING (doc)),
+g AS (SELECT doc, vec_id, sum(cut) OVER (PARTITION BY doc ORDER BY vec_id ROWS UNBOUNDED PRECEDING)::BIGINT AS segment FROM c)
+SELECT doc, segment, string_agg('s' || vec_id || '.', '' ORDER BY vec_id) AS content FROM g GROUP BY doc, segment"""
 
 
 def _cut(spark: SparkSession, sf_dir: str, limits: DataFrame, compat: bool = False) -> DataFrame:
-    rows = semantic.neighbour_similarity(_sentences(spark, sf_dir), "label", "vec_id").join(limits, "label")
-    return semantic.segments(semantic.cut_below(rows, "label", "vec_id", F.col("limit"), compat), "label", "vec_id", "part")
+    rows = semantic.neighbour_similarity(_sentences(spark, sf_dir), "doc", "vec_id").join(limits, "doc")
+    return semantic.segments(semantic.cut_below(rows, "doc", "vec_id", F.col("limit"), compat), "doc", "vec_id", "part")
 
 
 @query(cut_sql("round(avg(sim), 9)"))
 def segment_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _cut(spark, sf_dir, similarity_thresholds(spark, sf_dir).select("label", F.col("mean").alias("limit")))
+    return _cut(spark, sf_dir, similarity_thresholds(spark, sf_dir).select("doc", F.col("mean").alias("limit")))
 
 
 @query(cut_sql("round(avg(sim), 9)", compat=True))
 def segment_threshold_compat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _cut(spark, sf_dir, similarity_thresholds(spark, sf_dir).select("label", F.col("mean").alias("limit")), compat=True)
+    return _cut(spark, sf_dir, similarity_thresholds(spark, sf_dir).select("doc", F.col("mean").alias("limit")), compat=True)
 
 
 @query(cut_sql("list_sort(list(sim) FILTER (WHERE sim IS NOT NULL))[5]"))
 def segment_kmins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seq = semantic.sequences(_sentences(spark, sf_dir), "label", "vec_id", "part")
-    return _cut(spark, sf_dir, seq.select("label", V.kth_smallest(F.col("sims"), F.lit(5)).alias("limit")))
+    seq = semantic.sequences(_sentences(spark, sf_dir), "doc", "vec_id", "part")
+    return _cut(spark, sf_dir, seq.select("doc", V.kth_smallest(F.col("sims"), F.lit(5)).alias("limit")))
 
 
 @query(f"""
-WITH s AS ({SIM_SQL}), t AS (SELECT label, round(avg(sim), 9) AS limit_ FROM s GROUP BY label),
-r AS (SELECT label, list({{'x': 's' || vec_id || '.', 'near': before > limit_, 'o': []::VARCHAR[], 'c': ''}} ORDER BY vec_id) AS l
-      FROM (SELECT *, lag(sim) OVER (PARTITION BY label ORDER BY vec_id) AS before FROM s) JOIN t USING (label) GROUP BY label),
-f AS (SELECT label, list_reduce(l, lambda a, x: CASE WHEN a.c = '' THEN {{'x': '', 'near': false, 'o': a.o, 'c': x.x}}
+WITH s AS ({SIM_SQL}), t AS (SELECT doc, round(avg(sim), 9) AS limit_ FROM s GROUP BY doc),
+r AS (SELECT doc, list({{'x': 's' || vec_id || '.', 'near': before > limit_, 'o': []::VARCHAR[], 'c': ''}} ORDER BY vec_id) AS l
+      FROM (SELECT *, lag(sim) OVER (PARTITION BY doc ORDER BY vec_id) AS before FROM s) JOIN t USING (doc) GROUP BY doc),
+f AS (SELECT doc, list_reduce(l, lambda a, x: CASE WHEN a.c = '' THEN {{'x': '', 'near': false, 'o': a.o, 'c': x.x}}
       WHEN length(a.c) + length(x.x) <= 30 AND x.near THEN {{'x': '', 'near': false, 'o': a.o, 'c': a.c || x.x}}
       ELSE {{'x': '', 'near': false, 'o': list_append(a.o, a.c), 'c': x.x}} END, {{'x': '', 'near': false, 'o': []::VARCHAR[], 'c': ''}}) AS r FROM r)
-SELECT label, z[1]::INT AS pos, z[2] AS content FROM (SELECT label, unnest(list_zip(range(len(r.o) + 1), list_append(r.o, r.c))) AS z FROM f)""")
+SELECT doc, z[1]::INT AS pos, z[2] AS content FROM (SELECT doc, unnest(list_zip(range(len(r.o) + 1), list_append(r.o, r.c))) AS z FROM f)""")
 def segment_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seq = semantic.sequences(_sentences(spark, sf_dir), "label", "vec_id", "part")
+    seq = semantic.sequences(_sentences(spark, sf_dir), "doc", "vec_id", "part")
     made = semantic.greedy_segments(F.col("parts"), F.col("sims"), 30, F.round(V.mean(F.col("sims")), 9))
-    return seq.select("label", F.explode(made).alias("c")).select("label", F.col("c.pos").alias("pos"), F.col("c.content").alias("content"))
+    return seq.select("doc", F.explode(made).alias("c")).select("doc", F.col("c.pos").alias("pos"), F.col("c.content").alias("content"))
 
 
 def _qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -382,7 +395,7 @@ def _triplets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, D
 
 
 TRIPLETS_SQL = f"""
-WITH pairs AS (SELECT * FROM ({PAIRS_SQL}) WHERE docid::BIGINT % 20 < 12 OR type <> 'original_pos' OR llm_label = 1),
+WITH pairs AS ({PAIRS_SQL}),
 bad AS (SELECT DISTINCT qid FROM pairs WHERE type = 'original_pos' AND llm_label = 0), gone AS (SELECT DISTINCT docid FROM pairs WHERE type = 'false_hard_neg' AND llm_label = 1),
 held AS (SELECT qid, docid, type FROM pairs JOIN documents d ON d.doc_id = docid::BIGINT WHERE qid NOT IN (FROM bad)),
 rel AS (SELECT qid, docid, 1 AS relevance FROM held WHERE type = 'original_pos'
@@ -391,7 +404,7 @@ rel AS (SELECT qid, docid, 1 AS relevance FROM held WHERE type = 'original_pos'
 qids AS (SELECT DISTINCT qid FROM held)"""
 
 
-@query(f"SELECT doc_id::VARCHAR AS docid, substr(text, 1, 40) AS text FROM documents WHERE doc_id::VARCHAR NOT IN (SELECT docid FROM ({PAIRS_SQL}) WHERE type = 'false_hard_neg' AND llm_label = 1)")
+@query(f"SELECT doc_id::VARCHAR AS docid, text FROM documents WHERE doc_id::VARCHAR NOT IN (SELECT docid FROM ({PAIRS_SQL}) WHERE type = 'false_hard_neg' AND llm_label = 1)")
 def rebuild_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     corpus, pairs, _ = _triplets(spark, sf_dir)
     return labels.new_corpus(corpus, pairs)
@@ -442,3 +455,179 @@ def retrieval_experiment(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = experiments.chunk(table(spark, sf_dir, "documents"), "easy_chunk")
     _, docs = experiments.embed_and_search(chunks, _asked(spark, sf_dir), hits=100)
     return retrieval.cut(docs, 10)
+
+
+# Files: what is written is read back.
+
+
+def _written(spark: SparkSession, name: str, write: Callable[[str], None]) -> str:
+    path = fresh_path(spark, name)
+    write(path)
+    return path
+
+
+@query("SELECT doc_id::VARCHAR AS id, text AS content FROM documents")
+def hub_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("docid"), "text", "lang")
+    return files.read_hub(spark, _written(spark, "hub-corpus", lambda path: docs.write.parquet(path)))
+
+
+@query("SELECT item_id::VARCHAR AS qid, 'Find: ' || text AS query FROM benchmark")
+def hub_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = _asked(spark, sf_dir).withColumnRenamed("qid", "query_id")
+    return files.read_queries(spark, _written(spark, "hub-queries", lambda path: asked.write.parquet(path)), instruction="Find: ")
+
+
+@query("SELECT doc_id::VARCHAR AS id, text AS content FROM documents")
+def json_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.read_json(spark, _written(spark, "json-corpus", lambda path: rename_corpus(spark, sf_dir).write.json(path)))
+
+
+@query("SELECT CASE WHEN doc_id % 9 <> 0 THEN text END AS text FROM documents")
+def gz_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose id is divisible by 9 have no passage; the others their text first."""
+    docs = table(spark, sf_dir, "documents")
+    one = lambda text: F.struct(F.col("doc_id").cast("string").alias("docid"), text.alias("text"))
+    held = F.when(F.col("doc_id") % 9 != 0, F.array(one(F.col("text")), one(F.lit("second")))).otherwise(F.array_repeat(one(F.lit("")), 0))
+    return files.read_passages(spark, _written(spark, "passages", lambda path: docs.select("lang", held.alias("positive_passages")).write.option("compression", "gzip").json(path)))
+
+
+@query(f"SELECT doc_id || '-' || pos AS chunk_id, doc_id, pos, content, lang FROM ({windows_sql(512, 462)}) JOIN documents USING (doc_id)")
+def chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = chunking.with_ids(chunking.explode_chunks(table(spark, sf_dir, "documents"), T.windows(F.col("text"), 512, 50), keep=("doc_id", "lang")))
+    return spark.read.parquet(_written(spark, "chunks", lambda path: files.write_chunks(made, path, partition=("lang",)))).select("chunk_id", "doc_id", "pos", "content", "lang")
+
+
+@query("SELECT 'c' || vec_id AS chunk_id, len(embedding)::INT AS width, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)), 6) AS norm FROM embeddings")
+def index_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select(F.concat(F.lit("c"), F.col("vec_id").cast("string")).alias("chunk_id"), "embedding", "label")
+    back = spark.read.parquet(_written(spark, "index", lambda path: files.write_index(vectors, path)))
+    return back.select("chunk_id", F.size("embedding").alias("width"), F.round(V.dot(F.col("embedding"), F.col("embedding")), 6).alias("norm"))
+
+
+@query(f"SELECT qid::VARCHAR AS qid, docid::VARCHAR AS docid, rank, round(score, 6) AS score FROM ({run_sql(10)}) WHERE rank <= 8")
+def run_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run of ten hits, cut at nine when it is written and at eight when it is read."""
+    path = _written(spark, "run", lambda path: files.write_run(dense_topk(spark, sf_dir), path, max_hits=9, decimals=6))
+    return files.read_run(spark, path, top_k=8).withColumn("score", F.round("score", 6))
+
+
+RERANKED_SQL = ORACLES["rerank_scored"]
+
+
+@query(f"SELECT r.qid, r.docid, r.rank, round(r.score, 9) AS score, b.text AS query, d.text AS passage FROM ({RERANKED_SQL}) r JOIN benchmark b ON b.item_id::VARCHAR = r.qid JOIN documents d ON d.doc_id::VARCHAR = r.docid")
+def reranked_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    run, docs = _passages_run(spark, sf_dir)
+    pairs = retrieval.scored(retrieval.pairs(run, _asked(spark, sf_dir), docs), lambda: retrieval.shared_words)
+    again = retrieval.pairs(retrieval.reranked(pairs), _asked(spark, sf_dir), docs)
+    path = _written(spark, "reranked", lambda path: files.write_reranked(again, path))
+    return files.read_json(spark, path, "qid string, docid string, rank int, score double, query string, passage string").withColumn("score", F.round("score", 9))
+
+
+@query(f"SELECT qid, docid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, prior)::INT AS rank, round(1 / (1 + exp(-score)), 9) AS score FROM (SELECT *, docid::BIGINT // 40 AS prior FROM ({RERANKED_SQL}))")
+def rerank_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The experiment of reranking, over documents as their own chunks, with scores from 0 to 1: every prior hit is scored."""
+    run, docs = _passages_run(spark, sf_dir)
+    chunks = docs.select(F.col("docid").alias("chunk_id"), F.col("docid").alias("doc_id"), "content")
+    _, by_document = experiments.rerank(run, _asked(spark, sf_dir), chunks, top_k=2**31 - 1, normalise=True)
+    return by_document.withColumn("score", F.round("score", 9))
+
+
+@query(PAIRS_SQL)
+def pairs_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.read_json(spark, _written(spark, "pairs", lambda path: files.write_pairs(_pairs(spark, sf_dir), path)), files.PAIRS)
+
+
+def _benchmark_files(spark: SparkSession, sf_dir: str) -> str:
+    corpus, pairs, triplets = _triplets(spark, sf_dir)
+    made = labels.new_triplets(triplets, pairs, corpus)
+    return _written(spark, "benchmark", lambda path: files.write_benchmark(labels.new_corpus(corpus, pairs), made, labels.new_qrels(made), path))
+
+
+@query(ORACLES["rebuild_corpus"])
+def benchmark_corpus_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.read_json(spark, f"{_benchmark_files(spark, sf_dir)}/corpus", files.HUB_CORPUS)
+
+
+@query(ORACLES["rebuild_qrels"])
+def benchmark_qrels_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.read_qrels(spark, f"{_benchmark_files(spark, sf_dir)}/qrels")
+
+
+@query(ORACLES["macro_average"])
+def metrics_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _written(spark, "metrics", lambda path: files.write_metrics(macro_average(spark, sf_dir), path))
+    back = files.read_json(spark, path, "lang string, scores map<string, double>")
+    return back.select("lang", F.explode("scores").alias("metric", "score"))
+
+
+@query("SELECT 'first' AS written, item_id FROM benchmark UNION ALL SELECT 'kept', item_id FROM benchmark UNION ALL SELECT 'replaced', item_id + 1000 FROM benchmark")
+def kept_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An output that exists stays unless it is to be replaced."""
+    rows = table(spark, sf_dir, "benchmark").select("item_id")
+    other = rows.select((F.col("item_id") + 1000).alias("item_id"))
+    out = None
+    path = fresh_path(spark, "kept")
+    for name, given, overwrite in (("first", rows, False), ("kept", other, False), ("replaced", other, True)):
+        files.write_pairs(given, path, overwrite)
+        # Read into a table of its own, as the output is replaced.
+        copy = _written(spark, "kept-copy", lambda to: spark.read.schema("item_id long").json(path).write.parquet(to))
+        now = spark.read.parquet(copy).select(F.lit(name).alias("written"), "item_id")
+        out = now if out is None else out.unionByName(now)
+    return out
+
+
+@query(f"SELECT qid::VARCHAR AS qid, docid::VARCHAR AS docid, rank, round(score, 6) AS score FROM ({run_sql(10)})")
+def merged_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Searched by shards of the queries, each with a file of its own, and read together."""
+    asked, index = _index(spark, sf_dir)
+    shards = retrieval.sharded(asked, 3)
+    if not files.complete(shards, 3):
+        raise ValueError("a shard has no query")
+    paths = [_written(spark, f"shard-{k}", lambda path, k=k: files.write_run(retrieval.search(shards.where(F.col("shard") == k), index, 10), path, decimals=6)) for k in range(3)]
+    return files.read_shards(spark, paths).withColumn("score", F.round("score", 6))
+
+
+# Dispatch, judges and levels.
+
+TITLED_SQL = ORACLES["chunk_titled"]
+
+
+@query(f"""SELECT doc_id || '-' || 0 AS chunk_id, doc_id, 0 AS pos, text AS content FROM documents WHERE length(text) < 512
+UNION ALL SELECT doc_id || '-' || pos, doc_id, pos, content FROM ({TITLED_SQL}) JOIN documents USING (doc_id) WHERE length(text) >= 512""")
+def air_chunk_titled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return experiments.air_chunk(table(spark, sf_dir, "documents"), "chunk_with_title", 512, 50, at_marks=False)
+
+
+@query(f"""SELECT doc_id || '-' || 0 AS chunk_id, doc_id, 0 AS pos, text AS content FROM documents WHERE length(text) < 512
+UNION ALL SELECT doc_id || '-' || pos, doc_id, pos, content FROM ({ORACLES['chunk_at_marks']}) JOIN documents USING (doc_id) WHERE length(text) >= 512""")
+def air_chunk_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return experiments.air_chunk(table(spark, sf_dir, "documents"), "chunk_with_title", 512)
+
+
+@query(f"SELECT doc_id || '-' || pos AS chunk_id, doc_id, pos, content FROM ({ORACLES['chunk_greedy_512']}) JOIN documents USING (doc_id) WHERE length(text) >= 512 UNION ALL SELECT doc_id || '-' || 0, doc_id, 0, text FROM documents WHERE length(text) < 512")
+def chunk_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return experiments.chunk(table(spark, sf_dir, "documents"), "chunk")
+
+
+def _judge() -> Callable:
+    """A judge for tests of the surface: an odd docid is good, one divisible by 7 fails."""
+
+    def judged(pairs):
+        n = pairs["docid"].astype("int64")
+        raw = (n % 2).where(n % 7 != 0, labels.FAILED).astype("int32")
+        return pairs[["qid", "docid", "type"]].assign(llm_label=raw.clip(lower=0), llm_raw_label=raw)
+
+    return judged
+
+
+@query("SELECT 'q' || (doc_id % 20) AS qid, doc_id::VARCHAR AS docid, ['original_pos', 'potential_pos', 'false_hard_neg'][doc_id % 3 + 1] AS type, CASE WHEN doc_id % 7 = 0 THEN 0 ELSE doc_id % 2 END::INT AS llm_label, CASE WHEN doc_id % 7 = 0 THEN -1 ELSE doc_id % 2 END::INT AS llm_raw_label FROM labels")
+def judged_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return labels.labelled(_pairs(spark, sf_dir), _judge, files.PAIRS)
+
+
+@query(f"SELECT 'chunk' AS level, qid, docid, rank FROM ({run_sql(100)}) UNION ALL SELECT 'document', qid, docid, rank FROM ({ORACLES['maxp_lift']})")
+def level_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    run = retrieval.search(*_index(spark, sf_dir), 100)
+    at = lambda name, doc_run: evaluation.at_level(run, doc_run).select(F.lit(name).alias("level"), "qid", "docid", "rank")
+    return at("chunk", None).unionByName(at("document", maxp_lift(spark, sf_dir)))

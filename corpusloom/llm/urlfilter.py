@@ -22,6 +22,9 @@ DAMPING, ROUNDS, THRESHOLD = 0.85, 30, 0.5
 #: Rounds whose scores have moved less than this in sum are the last.
 SETTLED = 1e-9
 
+#: Hosts that are broadcast to the pages at most; more meet them by a shuffle, each in SALTS places.
+BROADCAST_ROWS, SALTS = 100_000, 16
+
 #: Absolute links' hosts.
 LINK = r"""(?i)href\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s>]+)"""
 
@@ -44,10 +47,18 @@ def host_rules(hosts: DataFrame, rules: DataFrame) -> DataFrame:
     return suffixes.distinct().join(each, "suffix").groupBy("host").agg(F.collect_list("r").alias("rules"))
 
 
+def meet(rows: DataFrame, hosts: DataFrame) -> DataFrame:
+    """rows (page_id, host) with hosts, a staged row per host, from the left; a host with a third of all pages isn't one task."""
+    if hosts.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(hosts), "host", "left")
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("page_id", F.monotonically_increasing_id()), F.lit(SALTS)).cast("int"))
+    return salted.join(hosts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["host", "_salt"], "left").drop("_salt")
+
+
 def ruled(pages: DataFrame, rules: DataFrame) -> DataFrame:
     """(page_id, host, path, rule, verdict): rule and verdict of the longest rule that fits, else null."""
     rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    found = rows.join(host_rules(rows.select("host").distinct(), rules), "host", "left")
+    found = meet(rows, staged(host_rules(rows.select("host").distinct(), rules), "host-rules"))
     best = F.array_max(F.filter("rules", lambda r: F.startswith(F.col("path"), r["path"])))
     return found.select("page_id", "host", "path", best["rule"].alias("rule"), best["verdict"].alias("verdict"))
 
@@ -92,4 +103,4 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], threshold: float
     seeds = rows.where("host <> ''").groupBy("host").agg(share("allow").alias("trust"), share("block").alias("distrust"))
     scores = propagate(seeds, staged(host_edges(pages), "edges"))
     bad = scores.where(F.col("distrust") - F.col("trust") > threshold).select("host", F.lit("block").alias("_by_host"))
-    return rows.join(bad, "host", "left").select("page_id", "host", "path", "rule", F.coalesce("verdict", "_by_host", F.lit("allow")).alias("verdict"))
+    return meet(rows, staged(bad, "bad-hosts")).select("page_id", "host", "path", "rule", F.coalesce("verdict", "_by_host", F.lit("allow")).alias("verdict"))

@@ -588,7 +588,9 @@ def plain_scores(seeds, edges, rounds=urlfilter.ROUNDS, damping=urlfilter.DAMPIN
     return now
 
 
-def test_link_graph(spark):
+@pytest.mark.parametrize("most", [100_000, 0])
+def test_link_graph(spark, monkeypatch, most):
+    monkeypatch.setattr(urlfilter, "BROADCAST_ROWS", most)
     rng = random.Random(16)
     hosts = ["good.com", "www.Good.com", "bad.net", "near-bad.org", "a.org", "b.org", "c.org"]
     rows = []

@@ -33,11 +33,15 @@ def checked_window(size: int, overlap: int) -> None:
         raise ValueError(f"a window of {size} can't overlap by {overlap}")
 
 
-def _cut(text: Column, size: Column, step: Column, lead: Column | None = None) -> Column:
-    """Full windows every step, then what is left from the next start on."""
+def _count(text: Column, size: Column, step: Column) -> Column:
     n = F.length(text)
     full = F.when(n < size, F.lit(0)).otherwise(F.floor((n - size) / step) + 1).cast("int")
-    total = full + F.when(full * step < n, 1).otherwise(0)
+    return full + F.when(full * step < n, 1).otherwise(0)
+
+
+def _cut(text: Column, size: Column, step: Column, lead: Column | None = None) -> Column:
+    """Full windows every step, then what is left from the next start on."""
+    total = _count(text, size, step)
     prefix = (lambda c: c) if lead is None else (lambda c: F.concat(lead, c))
     pieces = F.transform(F.sequence(F.lit(0), total - 1), lambda i: F.struct(i.cast("int").alias("pos"), prefix(F.substring(text, i * step + 1, size)).alias("content")))
     return F.when(total > 0, pieces).otherwise(F.expr(_EMPTY))
@@ -49,6 +53,12 @@ def windows(text: Column, size: int, overlap: int = 0) -> Column:
     return _cut(text, F.lit(size), F.lit(size - overlap))
 
 
+def window_count(text: Column, size: int, overlap: int = 0) -> Column:
+    """How many windows() there are."""
+    checked_window(size, overlap)
+    return F.coalesce(_count(text, F.lit(size), F.lit(size - overlap)), F.lit(0))
+
+
 def pieces(text: Column, size: int = 50) -> Column:
     """Pieces of a fixed length."""
     return windows(text, size)

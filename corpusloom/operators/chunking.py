@@ -73,6 +73,14 @@ def numbered_docs(docs: DataFrame, chunks: Column, lang: Column, keep: tuple[str
     return each.select(*keep, F.col("_c.pos").alias("pos"), F.col("_c.content").alias("content"), chunk_name(F.col("_lang"), F.col("first") + F.col("_c.pos")).alias("chunk_id"))
 
 
+def numbered_positions(docs: DataFrame, n: Column, lang: Column, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """numbered_docs() without contents: n says how many chunks a document has, and no text leaves its scan."""
+    rows = docs.select(*keep, *({"doc_id"} - set(keep)), lang.alias("_lang"), n.cast("long").alias("_n")).where("_n > 0")
+    first = firsts(rows.select("doc_id", F.col("_n").alias("n"))).select("doc_id", "first")
+    each = rows.join(first, "doc_id").select(*keep, "_lang", "first", F.explode(F.sequence(F.lit(0), (F.col("_n") - 1).cast("int"))).alias("pos"))
+    return each.select(*keep, "pos", chunk_name(F.col("_lang"), F.col("first") + F.col("pos")).alias("chunk_id"))
+
+
 def spans(chunks: DataFrame) -> DataFrame:
     """(doc_id, first, n): where each document's chunks begin and how many there are."""
     return chunks.groupBy("doc_id").agg(F.min("pos").alias("first"), F.count("*").alias("n"))

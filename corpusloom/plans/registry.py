@@ -109,7 +109,7 @@ f AS (SELECT doc_id, n, coalesce(sum(n) OVER (ORDER BY doc_id ROWS BETWEEN UNBOU
 SELECT c.doc_id, c.pos::INT AS pos, 'doc-' || lang || '-' || (first + pos)::BIGINT AS chunk_id FROM c JOIN f USING (doc_id) JOIN documents USING (doc_id)""")
 def chunk_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return chunking.numbered_docs(docs, T.windows(F.col("text"), 512), F.col("lang")).select("doc_id", "pos", "chunk_id")
+    return chunking.numbered_positions(docs, T.window_count(F.col("text"), 512), F.col("lang"))
 
 
 @query(f"SELECT doc_id, min(pos)::INT AS first, count(*) AS n FROM ({windows_sql(512, 462)}) GROUP BY doc_id")

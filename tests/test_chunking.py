@@ -135,4 +135,6 @@ def test_numbering_of_any_ids_over_many_ranges(spark, monkeypatch, kind):
     assert {(r.doc_id, r.pos): r.chunk_id for r in chunking.numbered(made, F.col("lang")).collect()} == want
     whole = chunking.numbered_docs(docs, T.windows(F.col("text"), 2), F.col("lang")).collect()
     assert {(r.doc_id, r.pos): r.chunk_id for r in whole} == want and all(r.content in ("x", "xx") for r in whole)
+    ids = chunking.numbered_positions(docs, T.window_count(F.col("text"), 2), F.col("lang")).collect()
+    assert {(r.doc_id, r.pos): r.chunk_id for r in ids} == want
     assert chunking.numbered_docs(docs.limit(0), T.windows(F.col("text"), 2), F.col("lang")).count() == 0

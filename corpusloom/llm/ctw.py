@@ -302,7 +302,7 @@ def _count_blocks(docs: DataFrame, depth: int, parts: int) -> DataFrame:
     """docs: block, train, text. CHUNK rows: each block's distinct keys by part, with their counts in training texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        worker_state("ctw")
+        worker_state("ctw counts")
         tallies: dict[tuple[int, int], Tally] = defaultdict(Tally)
         for b in batches:
             block, train, raw = b.column(0).to_pylist(), b.column(1).to_pylist(), text_bytes(b.column(2))
@@ -335,7 +335,7 @@ def _add_parts(chunks: DataFrame, depth: int) -> DataFrame:
     """MODEL rows: each part's keys and sums, in pieces; for words their number and distinct ones, for strings the sums for the level above."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        worker_state("ctw")
+        worker_state("ctw sums")
         now, tally = None, Tally()
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -374,7 +374,7 @@ def _answer(chunks: DataFrame, model: DataFrame, above: tuple[np.ndarray, np.nda
     rows = first.unionByName(chunks.select("kind", "part", F.lit(2**31 - 1).alias("turn"), "block", "keys", F.lit(None).cast("binary").alias("counts")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        worker_state("ctw")
+        worker_state("ctw answers")
         known, values, pieces = None, None, []
         for b in batches:
             out = []
@@ -459,7 +459,7 @@ def _score_blocks(docs: DataFrame, answers: DataFrame, blocks: DataFrame, total:
     id_type: list = [None]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        worker_state("ctw")
+        worker_state("ctw scores")
         now, block, answers = None, [], {}
         for b in batches:
             id_type[0] = b.schema.field("doc_id").type

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, ctw, linededup, media, mixing, quality, simhash, toolchat, urlfilter, warc
+from . import bpe, ctw, importance, linededup, media, merkle, mixing, quality, resampling, simhash, toolchat, urlfilter, warc
 from .oracles import ORACLES as ORACLES
 
 
@@ -80,6 +80,32 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(_table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op11_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    buckets = resampling.resampled(_table(spark, sf_dir, "clicks"), "client_id", "ts", "value", "click_id", linear=True, zone="Europe/Berlin")
+    # Sums beyond a long, which no table here comes near, are null.
+    return buckets.select(F.col("series").alias("client_id"), "bucket_start", "n_points", "covered_seconds", F.col("area2").try_cast("long").alias("area2"), F.col("avg_units").alias("avg_cents"))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = merkle.edited_copies(_table(spark, sf_dir, "documents"))
+    own, edited, after = F.col("tree"), F.col("edited_tree"), F.col("next_tree")
+    return rows.select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        merkle.written(own).alias("fingerprint"),
+        merkle.written(edited).alias("edited_fingerprint"),
+        merkle.likeness(own, edited).alias("near_edited"),
+        merkle.likeness(own, after).alias("near_next"),
+        merkle.first_change(own, edited)["section"].alias("changed_section"),
+        merkle.first_change(own, edited)["paragraph"].alias("changed_paragraph"),
+    )
+
+
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resampled(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ctw": op1_ctw,
     "op2_warc": op2_warc,
@@ -91,4 +117,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_quality": op9_quality,
     "op10_urls": op10_urls,
+    "op11_tiles": op11_tiles,
+    "op12_merkle": op12_merkle,
+    "op13_importance": op13_importance,
 }

@@ -107,12 +107,14 @@ def successors(docs: DataFrame) -> DataFrame:
     """(doc_id, text, tree, next_text, next_tree): each document of docs (doc_id, text) and the next by ascending doc_id; the first follows
     the last. Null ids come first; rows that tie in id go by a hash of the text.
 
-    Texts are shuffled once, to ranges; neighbours meet within a range, and the last of each meets the first of the next one, a row each.
+    Texts are shuffled to ranges, and each range to a task; neighbours meet there, and the last of each range meets the first of the next
+    one, a row each.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.monotonically_increasing_id().alias("row")).withColumn("h", F.xxhash64("text"))
     n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), parts_for(docs.count(), RANGE_DOCS))
     order = ["doc_id", "h", "row"]
-    ranged = rows.repartitionByRange(n, *order).withColumn("part", F.spark_partition_id())
+    # The window's own exchange would also carry the trees.
+    ranged = rows.repartitionByRange(n, *order).withColumn("part", F.spark_partition_id()).repartition(n, "part")
     after = W.partitionBy("part").orderBy(*order)
     inner = ranged.withColumn("tree", tree(F.col("text"))).withColumns({"next_text": F.lead("text").over(after), "next_tree": F.lead("tree").over(after)})
     # The rows at the ranges' ends.

@@ -93,7 +93,7 @@ def calendar(spark: SparkSession, first: int, last: int, zone: str, unit: str =
     if unit not in UNITS:
         raise ValueError(f"unit is one of {', '.join(UNITS)}")
     before = (UNITS[unit] + 2) * 86_400 // cell  # whole buckets stand before the first cell
-    local = F.convert_timezone(F.lit("UTC"), F.lit(zone), F.expr(f"timestamp_ntz'1970-01-01 00:00:00' + make_dt_interval(id * {cell} div 86400, 0, 0, pmod(id * {cell}, 86400))"))
+    local = F.convert_timezone(F.lit("UTC"), F.lit(zone), F.expr(f"timestamp_ntz'1970-01-01 00:00:00' + make_dt_interval((id * {cell} - pmod(id * {cell}, 86400)) div 86400, 0, 0, pmod(id * {cell}, 86400))"))
     cells = spark.range(first - before, last + 1).select(F.col("id").alias("cell"), local.alias("local"))
     odd = cells.where((F.hour("local") * 3600 + F.minute("local") * 60 + F.second("local")) % cell != 0) if 86_400 % cell == 0 else cells
     if not odd.isEmpty():

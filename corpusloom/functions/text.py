@@ -39,18 +39,43 @@ def _count(text: Column, size: Column, step: Column) -> Column:
     return full + F.when(full * step < n, 1).otherwise(0)
 
 
-def _cut(text: Column, size: Column, step: Column, lead: Column | None = None) -> Column:
-    """Full windows every step, then what is left from the next start on."""
+#: Windows up to this length are found by one pattern; longer ones are put together from blocks of this length.
+BLOCK = 1024
+
+
+def _starts(text: Column, size: Column, step: Column) -> Column:
+    """The `size` code points from each multiple of `step` on: a match takes a step and looks ahead for the rest, so that no window is
+    sought from the text's start."""
+    pattern = F.concat(F.lit("(?s)(?=(.{1,"), size.cast("string"), F.lit("})).{1,"), step.cast("string"), F.lit("}"))
+    return F.regexp_extract_all(text, pattern, 1)
+
+
+def _long_starts(text: Column, size: Column, step: Column, total: Column) -> Column:
+    """The first `total` of the same for long windows: each joins the blocks that it touches, and is cut out of them."""
+
+    def one(blocks: Column, i: Column) -> Column:
+        at = i * step.cast("long")
+        first = F.floor(at / BLOCK)
+        n = F.floor((at + size - 1) / BLOCK) - first + 1
+        return F.substring(F.array_join(F.slice(blocks, (first + 1).cast("int"), n.cast("int")), ""), (at % BLOCK + 1).cast("int"), size)
+
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+    return let(blocks, lambda b: F.transform(F.sequence(F.lit(0), total - 1), lambda i: one(b, i)))
+
+
+def _cut(text: Column, size: Column, step: Column, most: int, lead: Column | None = None) -> Column:
+    """Full windows every step, then what is left from the next start on. size is `most` or less. Linear in the text's length."""
     total = _count(text, size, step)
     prefix = (lambda c: c) if lead is None else (lambda c: F.concat(lead, c))
-    pieces = F.transform(F.sequence(F.lit(0), total - 1), lambda i: F.struct(i.cast("int").alias("pos"), prefix(F.substring(text, i * step + 1, size)).alias("content")))
+    found = F.slice(_starts(text, size, step), F.lit(1), total) if most <= BLOCK else _long_starts(text, size, step, total)
+    pieces = F.transform(found, lambda c, i: F.struct(i.cast("int").alias("pos"), prefix(c).alias("content")))
     return F.when(total > 0, pieces).otherwise(F.expr(_EMPTY))
 
 
 def windows(text: Column, size: int, overlap: int = 0) -> Column:
     """Windows of `size` that share `overlap` code points; the last may be shorter."""
     checked_window(size, overlap)
-    return _cut(text, F.lit(size), F.lit(size - overlap))
+    return _cut(text, F.lit(size), F.lit(size - overlap), size)
 
 
 def window_count(text: Column, size: int, overlap: int = 0) -> Column:
@@ -78,7 +103,7 @@ def titled_windows(text: Column, size: int, overlap: int = 0, keep_title: bool =
     lead = title(text, size) if keep_title else F.lit("")
     given = F.struct(F.substring(text, F.lit(size - overlap + 1), F.length(text)).alias("rest"), lead.alias("lead"))
     inner = lambda x: F.lit(size) - F.length(x["lead"])
-    rest = let(given, lambda x: _cut(x["rest"], inner(x), inner(x) - overlap, x["lead"]))
+    rest = let(given, lambda x: _cut(x["rest"], inner(x), inner(x) - overlap, size, x["lead"]))
     first = F.struct(F.lit(0).alias("pos"), F.substring(text, 1, size).alias("content"))
     shifted = F.transform(rest, lambda c: F.struct((c["pos"] + 1).alias("pos"), c["content"].alias("content")))
     return F.when(F.length(text) > 0, F.concat(F.array(first), shifted)).otherwise(F.expr(_EMPTY))
@@ -160,3 +185,32 @@ def title_of(text: str, size: int) -> str:
     """title() for one string."""
     found = re.search(f"[{_class(TITLE_END)}]", text)
     return text[: found.start()] + " " if found and found.start() + 1 <= size / 5 else ""
+
+
+# The same for one string each; operators.tablefunctions applies them row by row.
+
+
+def windows_of(text: str, size: int, overlap: int = 0) -> list[str]:
+    """windows() of one string."""
+    step = size - overlap
+    whole = 0 if len(text) < size else (len(text) - size) // step + 1
+    return [text[i * step : i * step + size] for i in range(whole + (whole * step < len(text)))]
+
+
+def sentences_of(text: str, ends: str = SENTENCE_END) -> list[str]:
+    """sentences() of one string."""
+    return [s for s in re.findall(f"[^{_class(ends)}]+(?:[{_class(ends)}]|\\Z)", text) if s[-1] in ends]
+
+
+def greedy_of(text: str, size: int, ends: str = SENTENCE_END) -> list[str]:
+    """greedy() of one string."""
+    out: list[list[str]] = []
+    used = 0
+    for s in sentences_of(text, ends) or [text]:
+        if out and used + len(s) <= size:
+            out[-1].append(s)
+            used += len(s)
+        else:
+            out.append([s])
+            used = len(s)
+    return [c for c in map("".join, out) if c]

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,9 +15,13 @@ from .staging import bound_batches, running, staged
 
 #: Queries that are sent to all tasks at once, at most; more are searched block by block. A block's vectors and the hits that a
 #: task holds for it are bounded too, in numbers.
-QUERY_BLOCK, BLOCK_VALUES, BLOCK_HITS = 10_000, 4_000_000, 4_000_000
-#: Share by which a product of matrices may differ from the sum in order of dimensions.
+QUERY_BLOCK, BLOCK_VALUES, BLOCK_HITS = 10_000, 4_000_000, 2_000_000
+#: Products that a task computes at once: queries of a block times rows.
+PRODUCTS = 1_000_000
+#: Share of two vectors' lengths by which a product of matrices may differ from the sum in order of dimensions.
 ROUNDING = 1e-9
+#: Files of an index whose tasks' hits meet in one step; those of more meet in lots first.
+MERGED = 512
 
 
 def ranked(hits: DataFrame, k: int | None = None, ties: str = "docid") -> DataFrame:
@@ -29,77 +34,122 @@ def ranked(hits: DataFrame, k: int | None = None, ties: str = "docid") -> DataFr
 def search(queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
     """queries (qid, embedding) against all of index (docid, embedding) by inner product: the best k of each.
 
-    Exact: a matrix product finds the rows that can be among a batch's best, and their products are summed in double precision in
-    the order of dimensions. Equal scores go by docid, in the batch already. Queries go to the tasks that hold the index, in blocks
-    of a counted size; a task keeps k of each before the shuffle. Null vectors are not searched, and queries with one find nothing.
+    Exact: a matrix product finds the pairs that can be among the best, and their products are summed in double precision in the order
+    of dimensions. Equal scores go by docid. Queries are staged and go to the tasks that hold the index, in blocks of a counted size; a
+    task keeps k of each before the shuffle. Vectors meet those of their own width. Vectors that are null or empty, or hold a null, a
+    NaN or an infinite element, neither find nor are found, and rows without a docid are not found. Runs a job for the queries when
+    it is called; the index is read when the result is.
     """
-    if k < 1:
-        raise ValueError("k must be positive")
-    bound_batches(index.sparkSession)
-    asked = queries.where("embedding is not null")
-    n, width = asked.agg(F.count("*"), F.coalesce(F.max(F.size("embedding")), F.lit(1))).first()
-    blocks = -(-n // max(1, min(QUERY_BLOCK, BLOCK_VALUES // max(1, width), BLOCK_HITS // k)))
-    out = None
-    for b in range(max(1, blocks)):
-        some = asked if blocks <= 1 else asked.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b)
-        hits = _search_block(some, index, k)
-        out = hits if out is None else out.unionByName(hits)
-    return out
+    return _in_blocks(queries, k, lambda block: _hits(block, index, k), len(index.inputFiles()))
 
 
 #: The same: blocks are how search() works.
 search_blocks = search
 
 
-def _in_order(query: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """Inner products, summed in the order of dimensions."""
-    out = np.zeros(len(vectors))
-    for x, column in zip(query.tolist(), vectors.T, strict=True):
-        out += x * column
-    return out
-
-
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k best by score, then by id."""
-    return np.lexsort((ids, -scores))[:k]
-
+def _in_blocks(queries: DataFrame, k: int, hits: Callable[[DataFrame], DataFrame], files: int) -> DataFrame:
+    """hits() of the queries, block by block, ranked. An index of many files makes many tasks with k hits a query each."""
+    if k < 1:
+        raise ValueError("k must be positive")
+    bound_batches(queries.sparkSession)
+    asked = staged(queries.select("qid", "embedding", F.monotonically_increasing_id().alias("_row")).where("size(embedding) > 0"), "asked")
+    n, width = asked.agg(F.count("*"), F.coalesce(F.max(F.size("embedding")), F.lit(1))).first()
+    blocks = max(1, -(-n // max(1, min(QUERY_BLOCK, BLOCK_VALUES // width, BLOCK_HITS // k))))
+    out = None
+    for b in range(blocks):
+        found = hits(asked.where(F.pmod(F.xxhash64("_row"), F.lit(blocks)) == b).select("qid", "embedding"))
+        out = found if out is None else out.unionByName(found)
+    if files > MERGED:
+        lot = W.partitionBy("qid", F.pmod("_task", F.lit(int(files**0.5)))).orderBy(F.col("score").desc(), "docid")
+        out = out.withColumn("_place", F.row_number().over(lot)).where(F.col("_place") <= k)
+    return ranked(out.select("qid", "docid", "score"), k)
+
+
+def _matrix(column: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places, vectors) of the vectors of each width whose elements are all finite."""
+    sizes = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(column), 0))
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)  # a null element is a NaN; null lists have none
+    starts = np.cumsum(sizes) - sizes
+    for width in np.unique(sizes[sizes > 0]).tolist():
+        at = np.flatnonzero(sizes == width)
+        vectors = flat[starts[at][:, None] + np.arange(width)] if len(at) < len(sizes) else flat.reshape(len(sizes), width)
+        good = np.isfinite(vectors).all(axis=1)
+        yield (at, vectors) if good.all() else (at[good], vectors[good])
+
+
+class _Best:
+    """The best k of some queries among the vectors that add() is given: columns of hits, not a list per query.
+
+    Hits wait until they are as many as those that are held; then the best are taken, and what is less is no longer looked at. So they
+    are sorted a number of times that grows with the logarithm of the vectors' number.
+    """
 
-def _search_block(queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
-    held = queries.select("qid", "embedding").toArrow()  # a block of queries, its size is bounded
-    qids, matrix = held["qid"].to_pylist(), np.array(held["embedding"].to_pylist(), np.float64)
-    shipped = queries.sparkSession.sparkContext.broadcast((qids, matrix))
+    def __init__(self, queries: np.ndarray, k: int) -> None:
+        self.q, self.k = queries, k
+        self.lengths = np.linalg.norm(queries, axis=1)
+        self.least = np.full(len(queries), -np.inf)
+        self.rows, self.scores, self.ids = np.zeros(0, np.int32), np.zeros(0), None
+        self.waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def add(self, vectors: np.ndarray, ids: np.ndarray) -> None:
+        step = max(1, PRODUCTS // len(self.q))
+        for s in range(0, len(vectors), step):
+            v = vectors[s : s + step]
+            rough = self.q @ v.T
+            slack = ROUNDING * (1 + self.lengths * np.linalg.norm(v, axis=1).max())
+            floor = self.least - slack
+            if len(v) > self.k:
+                floor = np.maximum(floor, np.partition(rough, len(v) - self.k, axis=1)[:, len(v) - self.k] - slack)
+            row, at = np.nonzero(rough >= floor[:, None])
+            exact = np.zeros(len(row))
+            for d in range(v.shape[1]):
+                exact += self.q[row, d] * v[at, d]
+            self.waiting.append((row.astype(np.int32), exact, ids[s + at]))
+            if sum(len(x) for x, _, _ in self.waiting) >= max(PRODUCTS, len(self.rows)) or np.isneginf(self.least).any():
+                self.take()
+
+    def take(self) -> None:
+        """The best of those held and those that wait."""
+        held = [] if self.ids is None else [(self.rows, self.scores, self.ids)]
+        rows, scores, ids = (np.concatenate(x) for x in zip(*held, *self.waiting, strict=True)) if held or self.waiting else (self.rows, self.scores, np.zeros(0))
+        self.waiting = []
+        order = np.lexsort((ids, -scores, rows))
+        sizes = np.bincount(rows, minlength=len(self.q))
+        first = np.cumsum(sizes) - sizes
+        order = order[np.arange(len(order)) - first[rows[order]] < self.k]
+        self.rows, self.scores, self.ids = rows[order], scores[order], ids[order]
+        full = np.flatnonzero(sizes >= self.k)
+        ends = np.cumsum(np.minimum(sizes, self.k)) - 1
+        self.least[full] = self.scores[ends[full]]
+
+
+def _hits(queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
+    """(qid, docid, score, _task): the best k of each query in each task of the index."""
+    held = queries.toArrow()  # a block of queries, its size is bounded
+    column = held["embedding"].combine_chunks() if held.num_rows else pa.array([], pa.list_(pa.float64()))
+    by_width = {m.shape[1]: (at, m) for at, m in _matrix(column) if len(at)}
+    qids = held["qid"].combine_chunks()
+    shipped = queries.sparkSession.sparkContext.broadcast((qids, by_width))
     q, d = queries.schema["qid"].dataType, index.schema["docid"].dataType
-    asked = held.schema.field("qid").type
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, m = shipped.value
-        best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), None)] * len(names)
+        names, asked = shipped.value
+        best = {width: _Best(m, k) for width, (_, m) in asked.items()}
         kind = None
         for b in batches:
-            if not b.num_rows or not len(names):
-                continue
             kind = b.schema.field(0).type
             ids = b.column(0).to_numpy(zero_copy_only=False)
-            vectors = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1).astype(np.float64)
-            rough = m @ vectors.T
-            slack = ROUNDING * (1 + np.abs(rough).max())
-            least = np.partition(rough, -min(k, b.num_rows), axis=1)[:, -min(k, b.num_rows)] - slack
-            for r in range(len(names)):
-                had, known = best[r]
-                at = np.flatnonzero(rough[r] >= max(least[r], had[-1] - slack if len(had) == k else -np.inf))
-                if not len(at):
-                    continue
-                scores, docs = _in_order(m[r], vectors[at]), ids[at]
-                if known is not None:
-                    scores, docs = np.concatenate([had, scores]), np.concatenate([known, docs])
-                keep = _best(scores, docs, k)
-                best[r] = scores[keep], docs[keep]
-        for r, (scores, docs) in enumerate(best):
-            if len(scores):
-                yield pa.RecordBatch.from_arrays([pa.array([names[r]] * len(scores), asked), pa.array(docs, kind), pa.array(scores)], names=["qid", "docid", "score"])
-
-    hits = index.where("embedding is not null").select("docid", "embedding").mapInArrow(run, f"qid {q.simpleString()}, docid {d.simpleString()}, score double")
-    return ranked(hits, k)
+            for at, vectors in _matrix(b.column(1)):
+                if len(at) and vectors.shape[1] in best:
+                    best[vectors.shape[1]].add(vectors, ids[at])
+        for width, found in best.items():
+            found.take()
+            for s in range(0, len(found.rows), PRODUCTS):
+                rows = asked[width][0][found.rows[s : s + PRODUCTS]]
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(rows)), pa.array(found.ids[s : s + PRODUCTS], kind), pa.array(found.scores[s : s + PRODUCTS])], names=["qid", "docid", "score"])
+
+    hits = index.where("docid is not null and size(embedding) > 0").select("docid", "embedding").mapInArrow(run, f"qid {q.simpleString()}, docid {d.simpleString()}, score double")
+    return hits.withColumn("_task", F.spark_partition_id())
 
 
 def cut(run: DataFrame, k: int) -> DataFrame:

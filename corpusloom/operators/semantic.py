@@ -204,3 +204,66 @@ def semantic_chunks(docs: DataFrame, kind: str = "threshold", window: int = 512,
     rows = docs.select("doc_id", F.when(F.size(found) > 0, found).otherwise(F.array("text")).alias("parts"))
     held = rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, chunks array<string>")
     return held.select("doc_id", F.posexplode("chunks").alias("pos", "content"))
+
+
+def buffered_texts(parts: list[str], buffer: int = 1) -> list[str]:
+    """Each sentence together with `buffer` sentences on both sides."""
+    return ["".join(parts[max(0, k - buffer) : k + buffer + 1]) for k in range(len(parts))]
+
+
+def cut_at_gaps(parts: list[str], vectors: np.ndarray, percentile: float) -> list[str]:
+    """Sentences joined, but for cuts where the cosine distance to the next one's vector exceeds the percentile of all such distances."""
+    if len(parts) < 2:
+        return parts
+    lengths = np.linalg.norm(vectors, axis=1)
+    unit = vectors / np.where(lengths == 0, 1, lengths)[:, None]
+    gaps = 1 - np.einsum("ij,ij->i", unit[:-1], unit[1:])
+    cuts = [0, *(np.flatnonzero(gaps > np.quantile(gaps, percentile)) + 1).tolist(), len(parts)]
+    return ["".join(parts[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+def buffered_chunks(docs: DataFrame, buffer: int = 1, percentile: float = 0.95, encoder: Callable[[], Encoder] = lambda: hashed_ngrams, ends: str = T.SENTENCE_END) -> DataFrame:
+    """(doc_id, pos, content) for documents (doc_id, text): sentences are encoded with their neighbours, and a document is cut where the
+    distance of consecutive ones is above its own percentile. A text without a sentence is one chunk; a null or empty one has none.
+
+    As semantic_chunks(): a document stays in its row, and the sentences of a batch of documents are encoded together.
+    """
+    if buffer < 0 or not 0 <= percentile <= 1:
+        raise ValueError("the buffer isn't negative, and the percentile is a share")
+    bound_batches(docs.sparkSession)
+    found = T.sentences(F.col("text"), ends)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = encoder()
+        for b in batches:
+            documents = [[p for p in x or [] if p] for x in b.column(1).to_pylist()]
+            made: list[list[str]] = []
+            held: list[list[str]] = []
+            for k, parts in enumerate(documents):
+                held.append(parts)
+                if sum(map(len, held)) >= ENCODED or k == len(documents) - 1:
+                    texts = [t for x in held for t in buffered_texts(x, buffer)]
+                    vectors = np.asarray(model(texts), np.float64) if texts else np.zeros((0, 1))
+                    ends_at = np.cumsum([len(x) for x in held]).tolist()
+                    made += [cut_at_gaps(x, vectors[e - len(x) : e], percentile) for x, e in zip(held, ends_at, strict=True)]
+                    held = []
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.list_(pa.string()))], names=["doc_id", "chunks"])
+
+    rows = docs.select("doc_id", F.when(F.size(found) > 0, found).otherwise(F.array("text")).alias("parts"))
+    held = rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, chunks array<string>")
+    return held.select("doc_id", F.posexplode("chunks").alias("pos", "content"))
+
+
+def buffered_vectors(rows: DataFrame, key: str, pos: str, buffer: int = 1, vector: str = "embedding") -> DataFrame:
+    """Each row's vector summed with those of its neighbours, for encoders of which sentences' vectors are at hand."""
+    near = F.collect_list(vector).over(W.partitionBy(key).orderBy(pos).rowsBetween(-buffer, buffer))
+    add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y.cast("double"))
+    first = F.transform(F.get(near, F.lit(0)), lambda x: x.cast("double"))
+    return rows.withColumn(vector, F.aggregate(F.slice(near, F.lit(2), F.size(near)), first, add))
+
+
+def cut_above(rows: DataFrame, key: str, pos: str, percentile: float = 0.95, digits: int = 9) -> DataFrame:
+    """Adds segment: a new one begins after each row whose cosine distance to the next is above the key's percentile of them."""
+    near = neighbour_similarity(rows, key, pos, measure=V.cosine).withColumn("gap", F.round(1 - F.col("sim"), digits))
+    limits = near.groupBy(key).agg(F.percentile("gap", F.lit(percentile)).alias("_limit"))
+    return cut_below(near.join(limits, key).withColumn("sim", F.round(F.col("_limit") - F.col("gap"), digits)).drop("_limit"), key, pos, F.lit(0.0))

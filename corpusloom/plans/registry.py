@@ -11,14 +11,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.functions import vector as V
-from corpusloom.operators import chunking, evaluation, labels, retrieval, semantic
+from corpusloom.operators import batching, chunking, evaluation, judgements, labels, retrieval, semantic, tablefunctions, vectorindex
 from corpusloom.operators.staging import fresh_path
-from corpusloom.sources import files
+from corpusloom.sources import dataset, files
 
 from . import experiments
 
@@ -85,10 +86,10 @@ def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("pos", "sentence"))
 
 
-@query("SELECT doc_id, len(regexp_extract_all(text, '[^。！？]+[。！？]'))::INT AS n FROM (SELECT doc_id, replace(text, '.', '。') AS text FROM documents)")
+@query("SELECT doc_id, z[1]::INT AS pos, z[2] AS sentence FROM (SELECT doc_id, unnest(list_zip(range(len(l)), l)) AS z FROM (SELECT doc_id, regexp_extract_all(replace(text, '.', '。'), '[^。！？]+[。！？]') AS l FROM documents))")
 def sentence_split_narrow(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.replace(F.col("text"), F.lit("."), F.lit("。"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(T.sentences(text, T.SENTENCE_END_NARROW)).alias("n"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.sentences(text, T.SENTENCE_END_NARROW)).alias("pos", "sentence"))
 
 
 @query(f"""
@@ -143,6 +144,12 @@ def chunk_semantic_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return experiments.chunk(table(spark, sf_dir, "documents"), "bge_small")
 
 
+@query()
+def chunk_buffered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents by the buffered splitter, with the default encoder; tests/ hold it against a plain version."""
+    return semantic.buffered_chunks(table(spark, sf_dir, "documents"))
+
+
 @query("SELECT doc_id::VARCHAR AS id, text AS content FROM documents")
 def rename_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.renamed(table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "docid"))
@@ -168,6 +175,14 @@ row_number() OVER (PARTITION BY q.vec_id ORDER BY list_sum(list_transform(list_z
 FROM embeddings q, embeddings d WHERE q.vec_id % 50 = 0) WHERE rank <= {k}"""
 
 
+@query(f"SELECT qid, docid, rank, score FROM ({run_sql(20)})")
+def dense_topk_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The search by an index in blocks, of which each block of queries reads those that it needs."""
+    asked, index = _index(spark, sf_dir)
+    path = _written(spark, "index-blocks", lambda path: vectorindex.write(index, path, block_rows=200))
+    return vectorindex.Index(spark, path).search(asked, 20)
+
+
 @query(run_sql(10))
 def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.search(*_index(spark, sf_dir), 10)
@@ -205,13 +220,13 @@ def rerank_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _passages_run(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("docid"), F.col("text").alias("content"))
-    n = F.lit(40)
+    n = F.lit(table(spark, sf_dir, "benchmark").count())  # items are numbered from 0
     run = docs.select((F.pmod(F.col("docid").cast("long"), n)).cast("string").alias("qid"), "docid", (F.floor(F.col("docid").cast("long") / n) + 1).cast("int").alias("rank"), (-F.col("docid").cast("double")).alias("score"))
     return run, docs
 
 
-@query("""SELECT b.item_id::VARCHAR AS qid, d.doc_id::VARCHAR AS docid, (d.doc_id // 40 + 1)::INT AS rank, b.text AS query, d.text AS passage
-FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40""")
+@query("""SELECT b.item_id::VARCHAR AS qid, d.doc_id::VARCHAR AS docid, (d.doc_id // (SELECT count(*) FROM benchmark) + 1)::INT AS rank, b.text AS query, d.text AS passage
+FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark)""")
 def query_passage_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     run, docs = _passages_run(spark, sf_dir)
     return retrieval.pairs(run, _asked(spark, sf_dir), docs).drop("score")
@@ -219,7 +234,7 @@ def query_passage_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(r"""
 WITH p AS (SELECT b.item_id, d.doc_id, list_distinct(regexp_extract_all(lower(b.text), '\S+')) AS q, regexp_extract_all(lower(d.text), '\S+') AS t
-           FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40),
+           FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark)),
 s AS (SELECT item_id, doc_id, CASE WHEN len(q) > 0 THEN len(list_intersect(q, t)) / len(q) ELSE 0 END AS score FROM p)
 SELECT item_id::VARCHAR AS qid, doc_id::VARCHAR AS docid, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, score::DOUBLE AS score FROM s""")
 def rerank_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -314,6 +329,21 @@ def segment_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seq.select("doc", F.explode(made).alias("c")).select("doc", F.col("c.pos").alias("pos"), F.col("c.content").alias("content"))
 
 
+@query(f"""
+WITH s AS (SELECT vec_id // 20 AS doc, vec_id, unnest(list_transform(embedding, lambda x: x::DOUBLE)) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+b AS (SELECT doc, vec_id, i, sum(x) OVER (PARTITION BY doc, i ORDER BY vec_id ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS x FROM s),
+v AS (SELECT doc, vec_id, list(x ORDER BY i) AS v FROM b GROUP BY ALL),
+g AS (SELECT doc, vec_id, round(1 - list_cosine_similarity(v, lead(v) OVER (PARTITION BY doc ORDER BY vec_id)), 9) AS gap FROM v),
+t AS (SELECT doc, quantile_cont(gap, 0.95) AS limit_ FROM g GROUP BY doc),
+c AS (SELECT doc, vec_id, coalesce(lag((round(limit_ - gap, 9) < 0)::INT) OVER (PARTITION BY doc ORDER BY vec_id), 0) AS cut FROM g JOIN t USING (doc)),
+n AS (SELECT doc, vec_id, sum(cut) OVER (PARTITION BY doc ORDER BY vec_id ROWS UNBOUNDED PRECEDING)::BIGINT AS segment FROM c)
+SELECT doc, segment, string_agg('s' || vec_id || '.', '' ORDER BY vec_id) AS content FROM n GROUP BY doc, segment""")
+def segment_buffered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of sentences with their neighbours, cut above the 95th percentile of the distances."""
+    rows = semantic.cut_above(semantic.buffered_vectors(_sentences(spark, sf_dir), "doc", "vec_id"), "doc", "vec_id")
+    return semantic.segments(rows, "doc", "vec_id", "part")
+
+
 def _qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     asked = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), "label")
@@ -524,7 +554,7 @@ def reranked_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.read_json(spark, path, "qid string, docid string, rank int, score double, query string, passage string").withColumn("score", F.round("score", 9))
 
 
-@query(f"SELECT qid, docid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, prior)::INT AS rank, round(1 / (1 + exp(-score)), 9) AS score FROM (SELECT *, docid::BIGINT // 40 AS prior FROM ({RERANKED_SQL}))")
+@query(f"SELECT qid, docid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, prior)::INT AS rank, round(1 / (1 + exp(-score)), 9) AS score FROM (SELECT *, docid::BIGINT // (SELECT count(*) FROM benchmark) AS prior FROM ({RERANKED_SQL}))")
 def rerank_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The experiment of reranking, over documents as their own chunks, with scores from 0 to 1: every prior hit is scored."""
     run, docs = _passages_run(spark, sf_dir)
@@ -546,12 +576,19 @@ def _benchmark_files(spark: SparkSession, sf_dir: str) -> str:
 
 @query(ORACLES["rebuild_corpus"])
 def benchmark_corpus_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files.read_json(spark, f"{_benchmark_files(spark, sf_dir)}/corpus", files.HUB_CORPUS)
+    return files.read_json(spark, files.benchmark_folder(spark, _benchmark_files(spark, sf_dir), "corpus"), files.HUB_CORPUS)
 
 
 @query(ORACLES["rebuild_qrels"])
 def benchmark_qrels_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files.read_qrels(spark, f"{_benchmark_files(spark, sf_dir)}/qrels")
+    return files.read_qrels(spark, files.benchmark_folder(spark, _benchmark_files(spark, sf_dir), "qrels"))
+
+
+@query(ORACLES["rebuild_triplets"])
+def benchmark_triplets_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = files.read_json(spark, files.benchmark_folder(spark, _benchmark_files(spark, sf_dir), "test_data"), files.TRIPLETS)
+    ids = lambda c: F.array_join(F.array_sort(F.col(f"{c}.docid")), ",").alias(c)
+    return rows.select("qid", ids("pos"), ids("hard_neg"))
 
 
 @query(ORACLES["macro_average"])
@@ -584,8 +621,111 @@ def merged_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = retrieval.sharded(asked, 3)
     if not files.complete(shards, 3):
         raise ValueError("a shard has no query")
-    paths = [_written(spark, f"shard-{k}", lambda path, k=k: files.write_run(retrieval.search(shards.where(F.col("shard") == k), index, 10), path, decimals=6)) for k in range(3)]
-    return files.read_shards(spark, paths).withColumn("score", F.round("score", 6))
+    runs = [retrieval.search(shards.where(F.col("shard") == k).drop("shard"), index, 10) for k in range(3)]
+    path = _written(spark, "shards", lambda path: files.write_sharded(runs, path))
+    return files.read_sharded(spark, path, 3).withColumn("score", F.round("score", 6))
+
+
+# Datasets, logs and merged inputs.
+
+
+def _dataset(spark: SparkSession, sf_dir: str) -> str:
+    """The benchmark's files before it is relabelled: the corpus, and a line of test data for each query that has a pair."""
+    corpus, _, triplets = _triplets(spark, sf_dir)
+    asked = triplets.select("qid", F.concat(F.lit("what is "), "qid").alias("query"), "pos", "hard_neg")
+    return _written(spark, "dataset", lambda path: (corpus.write.json(f"{path}/corpus"), asked.write.json(f"{path}/test_data")))
+
+
+HELD_SQL = f"SELECT qid, docid, type FROM ({PAIRS_SQL}) JOIN documents d ON d.doc_id = docid::BIGINT"
+
+
+@query(f"""SELECT 'query' AS kind, qid, 'what is ' || qid AS value FROM (SELECT DISTINCT qid FROM ({HELD_SQL}))
+UNION ALL SELECT CASE type WHEN 'original_pos' THEN 'positive' ELSE 'negative' END, qid, docid FROM ({HELD_SQL}) WHERE type <> 'potential_pos'
+UNION ALL SELECT 'document', doc_id::VARCHAR, md5(text) FROM documents""")
+def dataset_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The data source's tables of one benchmark folder."""
+    path = _dataset(spark, sf_dir)
+    of = lambda table, kind, key, value: dataset.read(spark, path, table).select(F.lit(kind).alias("kind"), F.col(key).alias("qid"), value.alias("value"))
+    asked, found = of("queries", "query", "qid", F.col("query")), of("corpus", "document", "docid", F.md5("text"))
+    return asked.unionByName(of("positives", "positive", "qid", F.col("docid"))).unionByName(of("negatives", "negative", "qid", F.col("docid"))).unionByName(found)
+
+
+@query(f"{TRIPLETS_SQL} SELECT qid, docid, relevance FROM rel")
+def dataset_relabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark read by the data source, judged, and made anew."""
+    path = _dataset(spark, sf_dir)
+    made = labels.new_triplets(dataset.read(spark, path, "triplets"), _pairs(spark, sf_dir), dataset.read(spark, path, "corpus"))
+    return labels.new_qrels(made)
+
+
+@query("""SELECT 'q' || (doc_id % 20) AS qid, doc_id::VARCHAR AS docid, ['original_pos', 'potential_pos', 'false_hard_neg'][doc_id % 3 + 1] AS type,
+(doc_id % 2)::INT AS llm_label, (doc_id % 2)::INT AS llm_raw_label FROM labels""")
+def judgement_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judged in batches by a judge that fails for some pairs, which another is asked for again."""
+    log = judgements.JudgementLog(spark, fresh_path(spark, "judgements"))
+    pairs = _pairs(spark, sf_dir)
+    log.judge(pairs, _judge, batch_pairs=20_000)
+    return log.judge(pairs, lambda: lambda b: b.assign(llm_label=(b["docid"].astype("int64") % 2).astype("int32"), llm_raw_label=(b["docid"].astype("int64") % 2).astype("int32"))[["qid", "docid", "type", "llm_label", "llm_raw_label"]])
+
+
+@query("""SELECT doc_id::VARCHAR AS docid, CASE WHEN doc_id % 5 = 0 THEN upper(text) WHEN doc_id % 3 = 0 THEN lower(text) ELSE text END AS text FROM documents""")
+def merged_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlapping inputs: the corpus, then two corrections of parts of it."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("docid"), "text", "doc_id")
+    some = lambda n, text: docs.where(F.col("doc_id") % n == 0).select("docid", text.alias("text"))
+    return files.last_wins([docs.select("docid", "text"), some(3, F.lower("text")), some(5, F.upper("text"))], "docid")
+
+
+# Models' inputs.
+
+
+def _word_lengths() -> Callable:
+    """A tokenizer for tests of the surface: a word's id is its length."""
+    return lambda text: [len(w) for w in text.split()]
+
+
+def _mean_id() -> Callable:
+    """A model for tests of the surface: how many ids it sees, and their mean."""
+    return lambda ids, mask: np.stack([mask.sum(1), np.where(mask, ids, 0).sum(1) / np.maximum(mask.sum(1), 1)], 1)
+
+
+WORDS_SQL = r"regexp_extract_all(text, '\S+')"
+
+
+@query(f"""SELECT doc_id, len(w)::INT AS n_tokens, len(w)::DOUBLE AS seen, round(coalesce(list_avg(list_transform(w, lambda x: length(x))), 0)::FLOAT, 4)::DOUBLE AS mean_id
+FROM (SELECT doc_id, {WORDS_SQL}[:300] AS w FROM documents)""")
+def model_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents cut at 300 tokens, in batches of similar lengths."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    made = batching.encoded(docs, "text", _word_lengths, _mean_id, "mean id", max_tokens=300, batch_tokens=4096)
+    at = lambda k: F.get("embedding", F.lit(k))
+    return made.select("doc_id", "n_tokens", at(0).cast("double").alias("seen"), F.round(at(1), 4).cast("double").alias("mean_id"))
+
+
+@query(f"""WITH p AS (SELECT b.item_id::VARCHAR AS qid, d.doc_id::VARCHAR AS docid, {WORDS_SQL.replace('text', 'b.text')}[:20] AS q, {WORDS_SQL.replace('text', 'd.text')} AS t
+           FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark))
+SELECT qid, docid, len(q || [''] || t[:127 - len(q)])::DOUBLE AS score FROM p""")
+def reranker_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of 128 tokens at most, 20 of them the query's; the score is the number of them. Two runs hold each pair, and it is scored once."""
+    run, docs = _passages_run(spark, sf_dir)
+    both = retrieval.pairs(run.unionByName(run.withColumn("rank", F.col("rank") + 1)), _asked(spark, sf_dir), docs)
+    return batching.scored(both, _word_lengths, _mean_id, "pair size", max_query=20, max_length=128, batch_tokens=8192).groupBy("qid", "docid").agg(F.max("score").alias("score"))
+
+
+# Table functions.
+
+
+@query(windows_sql(512, 462))
+def chunk_sql_lateral(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tablefunctions.register(spark)
+    return spark.sql("SELECT d.doc_id, c.pos, c.content FROM {docs} d, LATERAL chunk_text(d.text, 'easy_chunk', 512, 50) c", docs=table(spark, sf_dir, "documents"))
+
+
+@query(f"SELECT lang, doc_id, pos, content FROM ({ORACLES['chunk_greedy_512']}) JOIN documents USING (doc_id)")
+def chunk_sql_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tablefunctions.register(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    return spark.sql("SELECT lang, doc_id, pos, content FROM chunk_table(TABLE(SELECT * FROM {docs}) PARTITION BY (doc_id), 'chunk', 512, 0)", docs=docs)
 
 
 # Dispatch, judges and levels.

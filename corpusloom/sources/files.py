@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import commit
+
 # The schemas and the run's constant fields.
 CORPUS = "id string, content string"
 HUB_CORPUS = "docid string, text string"
 QUERIES = "qid string, query string"
-RUN = "qid string, q0 string, docid string, rank int, score double, tag string"
-QRELS = "qid string, q0 string, docid string, relevance int"
 PAIRS = "qid string, docid string, type string, llm_label int, llm_raw_label int"
 TRIPLETS = "qid string, pos array<struct<docid:string,text:string>>, hard_neg array<struct<docid:string,text:string>>"
 TAG = "Faiss"
@@ -58,9 +58,31 @@ def write_index(vectors: DataFrame, path: str, overwrite: bool = False) -> None:
     vectors.select("chunk_id", "embedding").write.mode(mode(overwrite)).parquet(path)
 
 
+#: White space in any script: it parts a line's fields, so no id may hold it.
+_SPACE = r"[\s\x{85}\p{Z}]"
+#: A run's six fields and a judgement's four. The first two and those after the docid hold no space; what stands between is the docid.
+_RUN_LINE = r"^\s*(\S+)\s+(\S+)\s+(\S.*?)\s+(\S+)\s+(\S+)\s+(\S+)\s*$"
+_QRELS_LINE = r"^\s*(\S+)\s+(\S+)\s+(\S.*?)\s+(\S+)\s*$"
+
+
+def _id(name: str) -> Column:
+    """An id that a line can hold; a null or empty one, or one with white space, is an error."""
+    c = F.col(name).cast("string")
+    wrong = F.raise_error(F.concat(F.lit(f"{name} can't be written to a line: "), F.coalesce(c, F.lit("null"))))
+    return F.when(c.isNull() | (c == "") | c.rlike(_SPACE), wrong).otherwise(c)
+
+
+def _parsed(spark: SparkSession, path: str | list[str], pattern: str, fields: dict[str, tuple[int, str]]) -> DataFrame:
+    """Fields of a file's lines: nothing is quoted or escaped. Blank lines are skipped, others that don't fit are an error."""
+    lines = spark.read.text(path).where(~F.col("value").rlike(r"^\s*$"))
+    wrong = F.raise_error(F.concat(F.lit("no such line is expected: "), F.col("value")))
+    line = F.when(F.col("value").rlike(pattern), F.col("value")).otherwise(wrong)
+    return lines.select(*(F.regexp_extract(line, pattern, k).cast(kind).alias(name) for name, (k, kind) in fields.items()))
+
+
 def run_lines(run: DataFrame, score: Column | None = None, tag: str = TAG) -> DataFrame:
     """A run as lines of text."""
-    return run.select(F.concat_ws(" ", "qid", F.lit("Q0"), "docid", F.col("rank").cast("string"), (F.col("score") if score is None else score).cast("string"), F.lit(tag)).alias("value"))
+    return run.select(F.concat_ws(" ", _id("qid"), F.lit("Q0"), _id("docid"), F.col("rank").cast("string"), (F.col("score") if score is None else score).cast("string"), F.lit(tag)).alias("value"))
 
 
 def write_run(run: DataFrame, path: str, max_hits: int | None = None, decimals: int | None = None, overwrite: bool = False, tag: str = TAG) -> None:
@@ -70,15 +92,15 @@ def write_run(run: DataFrame, path: str, max_hits: int | None = None, decimals:
     run_lines(rows.sortWithinPartitions("qid", "rank"), score, tag).write.mode(mode(overwrite)).text(path)
 
 
-def read_run(spark: SparkSession, path: str, top_k: int | None = None) -> DataFrame:
-    """(qid, docid, rank, score) of a run's first top_k ranks."""
-    rows = spark.read.schema(RUN).option("sep", " ").csv(path).select("qid", "docid", "rank", "score")
+def read_run(spark: SparkSession, path: str | list[str], top_k: int | None = None) -> DataFrame:
+    """(qid, docid, rank, score) of a run's first top_k ranks. Of a line with more than six fields, all in the middle are the docid."""
+    rows = _parsed(spark, path, _RUN_LINE, {"qid": (1, "string"), "docid": (3, "string"), "rank": (4, "int"), "score": (5, "double")})
     return rows if top_k is None else rows.where(F.col("rank") <= top_k)
 
 
 def read_shards(spark: SparkSession, paths: list[str]) -> DataFrame:
     """The runs of all shards together; a missing one is an error."""
-    return read_run(spark, paths)  # type: ignore[arg-type]
+    return read_run(spark, paths)
 
 
 def complete(shards: DataFrame, n: int) -> bool:
@@ -86,6 +108,31 @@ def complete(shards: DataFrame, n: int) -> bool:
     return shards.agg(F.countDistinct("shard")).first()[0] == n
 
 
+def write_sharded(runs: list[DataFrame], path: str, overwrite: bool = False, tag: str = TAG) -> bool:
+    """The runs of all shards, `shard-0` and so on, which appear together; returns whether it wrote them. Scores are as they are."""
+    return commit.write({f"shard-{k}": (run_lines(run, tag=tag), lambda w, to: w.text(to)) for k, run in enumerate(runs)}, path, overwrite)
+
+
+def read_sharded(spark: SparkSession, path: str, n: int) -> DataFrame:
+    """The n shards of write_sharded() together; one that is missing, or has lost a file, is an error."""
+    if (found := len(commit.rows(spark, path))) != n:
+        raise FileNotFoundError(f"{path} has {found} of {n} shards")
+    return read_run(spark, [commit.folder(spark, path, f"shard-{k}") for k in range(n)])
+
+
+def last_wins(inputs: list[DataFrame], key: str) -> DataFrame:
+    """One row per key: that of the last input that has one; of several there, the largest in the order of its columns. A null key is a key."""
+    if not inputs:
+        raise ValueError("there is nothing to merge")
+    columns = inputs[0].columns
+    every = None
+    for n, df in enumerate(inputs):
+        one = df.select(F.struct(*columns).alias("row"), F.lit(n).alias("n"))
+        every = one if every is None else every.unionAll(one)
+    best = every.groupBy(F.col("row")[key].alias("key")).agg(F.max(F.struct("n", "row")).alias("best"))
+    return best.select("best.row.*")
+
+
 def write_reranked(pairs: DataFrame, path: str, overwrite: bool = False) -> None:
     """JSON lines with query and passage."""
     pairs.select("qid", "docid", "rank", "score", "query", "passage").write.mode(mode(overwrite)).json(path)
@@ -95,15 +142,29 @@ def write_pairs(pairs: DataFrame, path: str, overwrite: bool = False) -> None:
     pairs.write.mode(mode(overwrite)).json(path)
 
 
-def write_benchmark(corpus: DataFrame, triplets: DataFrame, qrels: DataFrame, path: str, overwrite: bool = False) -> None:
-    """corpus and test_data as JSON lines, qrels as tab-separated lines."""
-    corpus.select("docid", "text").write.mode(mode(overwrite)).json(f"{path}/corpus")
-    triplets.write.mode(mode(overwrite)).json(f"{path}/test_data")
-    qrels.select("qid", F.lit("Q0").alias("q0"), "docid", "relevance").write.mode(mode(overwrite)).option("sep", "\t").csv(f"{path}/qrels")
+def write_benchmark(corpus: DataFrame, triplets: DataFrame, qrels: DataFrame, path: str, overwrite: bool = False) -> bool:
+    """corpus and test_data as JSON lines, qrels as lines of fields; all three appear together. Returns whether it wrote them."""
+    tables = {
+        "corpus": (corpus.select("docid", "text"), lambda w, to: w.json(to)),
+        "test_data": (triplets, lambda w, to: w.json(to)),
+        "qrels": (qrels_lines(qrels), lambda w, to: w.text(to)),
+    }
+    return commit.write(tables, path, overwrite)
+
+
+def benchmark_folder(spark: SparkSession, path: str, table: str) -> str:
+    """Where a table of write_benchmark() lies; a missing file is an error."""
+    return commit.folder(spark, path, table)
+
+
+def qrels_lines(qrels: DataFrame) -> DataFrame:
+    """Judgements as lines of four fields, parted by tabs."""
+    return qrels.select(F.concat_ws("\t", _id("qid"), F.lit("Q0"), _id("docid"), F.col("relevance").cast("string")).alias("value"))
 
 
-def read_qrels(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(QRELS).option("sep", "\t").csv(path).select("qid", "docid", "relevance")
+def read_qrels(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(qid, docid, relevance) of lines parted by tabs or spaces."""
+    return _parsed(spark, path, _QRELS_LINE, {"qid": (1, "string"), "docid": (3, "string"), "relevance": (4, "int")})
 
 
 def write_metrics(scores: DataFrame, path: str, overwrite: bool = False) -> None:

@@ -96,7 +96,7 @@ def test_new_benchmark(spark, tmp_path):
     left = labels.new_corpus(corpus, pairs)
     assert left.count() == 9 and left.where("docid = 'd5'").isEmpty()
     files.write_benchmark(left, made, qrels, f"{tmp_path}/b")
-    assert tuples(files.read_qrels(spark, f"{tmp_path}/b/qrels"), "qid", "docid", "relevance") == tuples(qrels, "qid", "docid", "relevance")
+    assert tuples(files.read_qrels(spark, files.benchmark_folder(spark, f"{tmp_path}/b", "qrels")), "qid", "docid", "relevance") == tuples(qrels, "qid", "docid", "relevance")
 
 
 def test_rerank_filter(spark):

@@ -32,6 +32,8 @@ from .common import bound_batches, running, staged, text_bytes
 BUCKETS, SEED, LEAST_WORDS, PERCENT = 10_000, 2024, 20, 10
 #: Bytes of a text that are split into words at once.
 BLOCK = 1 << 20
+#: Vectors that one step of the tree merges.
+FAN = 16
 #: Features that wait for one np.bincount.
 WAITING = 1 << 20
 
@@ -78,7 +80,9 @@ def counts(texts: DataFrame, run: int = 1, buckets: int = BUCKETS) -> np.ndarray
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["counts"])
 
     vectors = texts.select("text").mapInArrow(partition, "counts binary").rdd.map(lambda r: np.frombuffer(bytes(r["counts"]), np.int64))
-    return np.zeros(buckets, np.int64) if vectors.getNumPartitions() == 0 else vectors.treeReduce(np.add)
+    n = vectors.getNumPartitions()
+    # Levels of the tree, so that the driver merges FAN vectors or so, whatever the number of partitions.
+    return np.zeros(buckets, np.int64) if n == 0 else vectors.treeReduce(np.add, max(2, math.ceil(math.log(n, FAN))))
 
 
 def gains(own: np.ndarray, target: np.ndarray) -> np.ndarray:

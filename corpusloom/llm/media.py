@@ -70,6 +70,9 @@ def _netpbm(data: bytes) -> np.ndarray:
     if w <= 0 or h <= 0 or not 0 < most < 65536:
         raise ValueError("bad size or maximum")
     depth = 3 if kind in (b"P3", b"P6") else 1
+    # The least bytes that so many samples take, before anything is made for them.
+    if (h * -(-w // 8) if kind == b"P4" else w * h * depth * (2 if most > 255 and kind in (b"P5", b"P6") else 1)) > len(data) - at:
+        raise ValueError("samples are missing")
     if kind in (b"P1", b"P2", b"P3"):
         body = re.sub(rb"#[^\n]*", b"", data[at:])
         flat = np.array(list(re.sub(rb"\s", b"", body)[: w * h]), np.int64) - 48 if kind == b"P1" else np.array(body.split()[: w * h * depth], np.int64)
@@ -80,6 +83,8 @@ def _netpbm(data: bytes) -> np.ndarray:
         flat = np.frombuffer(data, np.uint8 if most < 256 else ">u2", w * h * depth, at + 1)
     if flat.size < w * h * depth:
         raise ValueError("samples are missing")
+    if flat.size and (flat.max() > most or flat.min() < 0):
+        raise ValueError("a sample is beyond the maximum")
     if kind in (b"P1", b"P4"):
         flat, most = 1 - flat, 1
     if most != 255:
@@ -95,6 +100,8 @@ def _bmp(data: bytes) -> np.ndarray:
     if packed or bits not in (8, 24, 32) or w <= 0 or h == 0:
         raise ValueError("only uncompressed BMP of 8, 24 or 32 bits")
     stride = -(-w * bits // 32) * 4
+    if stride * abs(h) > len(data):
+        raise ValueError("samples are missing")
     rows = np.frombuffer(data, np.uint8, stride * abs(h), at).reshape(abs(h), stride)
     rows = rows[::-1] if h > 0 else rows
     if bits > 8:
@@ -186,7 +193,7 @@ def features(media: DataFrame, keep: list[str], tile: tuple[int, int] = TILE) ->
                 try:
                     samples = None if m is None else decode(m)
                     why = None
-                except (ValueError, IndexError, struct.error) as e:
+                except (ValueError, IndexError, OverflowError, MemoryError, struct.error) as e:
                     samples, why = None, str(e) or type(e).__name__
                 stored = (None, None) if m is None else (len(m), hashlib.sha256(m).hexdigest())
                 if samples is None:

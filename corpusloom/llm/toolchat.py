@@ -1,14 +1,15 @@
 """Tool calls in chats: calls and results linked by identifier, put in topological order, validated and serialised.
 
-DataFrame functions only. Identifiers count within their conversation. Results meet their calls by a join that is hashed on the
-identifier; events without one take no part in it. An event may wait for one other event; its depth, the length of that chain,
+DataFrame functions only. Identifiers count within their conversation. Results meet their calls by a shuffled hash join on the
+identifier, of which each has one row on the built side; events without one take no part in it. An event may wait for one other event; its depth, the length of that chain,
 comes from doubling pointers, so rounds grow with the logarithm of the longest chain. Arguments are parsed as variants, whose
 objects hold their keys in order, and written without spaces: canonical JSON. Numbers are written by value: all digits of those
 that a decimal of 38 digits holds, without zeros at the end, and the shortest form of a double for others. No step gathers a
 conversation in one task: positions are running sums over ranges.
 
 Defined results: of several calls of a conversation with an identifier that with the smallest turn is the call and the rest
-are duplicates, as are later results of a call; a result without a call is an orphan, a call without a result unanswered;
+are duplicates, as are later results of a call; rows that are equal in all columns are one event, seen twice, and share its status; a
+result without a call is an orphan, a call without a result unanswered;
 events that wait for each other in a circle have no depth and come last, marked cycle; arguments that aren't a JSON object, or
 hold a number beyond a double's range, are invalid and written as null; a null conversation is one of its own; null roles and
 texts are empty strings, null turns come first; an empty table gives an empty one. Further columns are ignored.
@@ -76,7 +77,7 @@ def link(events: DataFrame) -> DataFrame:
         .when(F.col("_result").isNull(), "unanswered")
         .otherwise("linked")
     )
-    met = named.join(known, ["_conv", "call_id"]).withColumn("status", status).select(*EVENT, "status")
+    met = named.join(known.hint("shuffle_hash"), ["_conv", "call_id"]).withColumn("status", status).select(*EVENT, "status")
     alone = F.when(F.col("kind") == "call", "unanswered").when(F.col("kind") == "result", "orphan").otherwise("message")
     return met.unionByName(rows.where("call_id is null or kind not in ('call', 'result')").withColumn("status", alone).select(*EVENT, "status"))
 

@@ -6,13 +6,14 @@ further away, twenty standard errors of the sketch, the estimate decides. A boil
 smallest doc_id, then the smallest position) and goes from all others.
 
 Defined results: lines are split at \\n and compared as they are, line ends of \\r\\n included; lines without a word stay; a
-null source is a site of its own; a null text stays null and has no lines; repeated rows of the first document all keep the
+null source is a site of its own; of fewer than twenty sites a share is enough, three of them at least; a null text stays null and has no lines; repeated rows of the first document all keep the
 line; a null doc_id comes before others; an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,7 +22,9 @@ from pyspark.sql.types import LongType, StructField
 
 from .common import WORD, bound_batches, columns_of, map_positions, staged, unused, worker_state
 
-MIN_SITES = 8
+#: Sites on which a line is boilerplate: SHARE of all sites, but LEAST_SITES at least and MOST_SITES at most, as a line on so many is
+#: boilerplate however many sites there are.
+SHARE, LEAST_SITES, MOST_SITES = 0.4, 3, 8
 #: Share of the threshold within which estimates are checked, and the sketch's log2 of registers (error 1.6 %).
 NEAR, SKETCH_K = 0.33, 12
 #: Boilerplate hashes that are broadcast at most (16 bytes each); more are joined by a shuffle.
@@ -39,7 +42,13 @@ def lines(docs: DataFrame) -> DataFrame:
     return each.where(F.col("_line").rlike(WORD)).select("doc_id", "text_hash", "site", "pos", F.xxhash64("_line").alias("line"))
 
 
-def boilerplate(rows: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
+def threshold(docs: DataFrame) -> int:
+    """The number of sites that makes a line boilerplate in these documents. Reads their sources only."""
+    sites = docs.agg((F.countDistinct("source") + F.max(F.col("source").isNull().cast("long"))).alias("n")).first()["n"] or 0
+    return max(LEAST_SITES, min(MOST_SITES, ceil(SHARE * sites)))
+
+
+def boilerplate(rows: DataFrame, min_sites: int) -> DataFrame:
     """rows: lines(). (line, first): hashes of lines on at least min_sites sites, and the (doc_id, pos) that keeps them."""
     sketches = rows.groupBy("line").agg(F.hll_sketch_agg("site", F.lit(SKETCH_K)).alias("sites"), F.min(F.struct("doc_id", "pos")).alias("first"))
     spread = staged(sketches.select("line", "first", F.hll_sketch_estimate("sites").alias("estimate")).where(F.col("estimate") >= min_sites * (1 - NEAR)), "line-spread")
@@ -54,15 +63,16 @@ def _sized(small: DataFrame) -> DataFrame:
     return F.broadcast(small) if small.count() <= BROADCAST_ROWS else small
 
 
-def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, counts: bool = False) -> DataFrame:
-    """The rows, with all their columns, without boilerplate lines; n_chars, where there is one, follows the text.
+def remove_boilerplate(docs: DataFrame, min_sites: int | None = None, counts: bool = False) -> DataFrame:
+    """The rows, with all their columns, without boilerplate lines, those on min_sites sites (threshold() where none are given); n_chars,
+    where there is one, follows the text.
 
     A document all of whose lines with a word go is dropped. With counts, all rows stay, and n_lines (lines with a word) and
     n_removed are added.
     """
     bound_batches(docs.sparkSession)
     rows = lines(docs)
-    known = boilerplate(rows, min_sites)
+    known = boilerplate(rows, threshold(docs) if min_sites is None else min_sites)
     here = rows.join(_sized(known), "line").where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("pos") == F.col("first.pos"))))
     gone_, id_, hash_ = unused(docs, "gone", "id", "hash")
     gone = here.groupBy(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_)).agg(F.collect_set("pos").alias(gone_))

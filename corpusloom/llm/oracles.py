@@ -56,7 +56,7 @@ FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN z USING (doc_i
 OP7 = r"""
 WITH each AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
 worded AS (SELECT *, regexp_matches(line, '[^\x20\x09-\x0D]') AS has FROM each),
-wide AS (SELECT line, min({'d': doc_id, 'p': pos}) AS first FROM worded WHERE has GROUP BY line HAVING count(DISTINCT coalesce('s' || source, 'n')) >= 8),
+wide AS (SELECT line, min({'d': doc_id, 'p': pos}) AS first FROM worded WHERE has GROUP BY line HAVING count(DISTINCT coalesce('s' || source, 'n')) >= (SELECT greatest(3, least(8, ceil(0.4 * count(DISTINCT coalesce('s' || source, 'n'))))) FROM documents)),
 marked AS (SELECT w.*, has AND first IS NOT NULL AND {'d': doc_id, 'p': pos} <> first AS gone FROM worded w LEFT JOIN wide USING (line)),
 kept AS (SELECT doc_id, count(*) FILTER (WHERE has) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed,
          coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT coalesce(gone, false)), '') AS text FROM marked GROUP BY doc_id)

@@ -20,12 +20,15 @@ def explode_chunks(docs: DataFrame, chunks: Column, keep: tuple[str, ...] = ("do
 
 
 def with_ids(chunks: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """chunk_id from the document's id and the position: needs no order of the documents."""
-    return chunks.withColumn("chunk_id", F.concat_ws("-", F.col(doc).cast("string"), F.col("pos").cast("string")))
+    """chunk_id from the document's id and the position: needs no order of the documents. A null id counts as an empty one."""
+    return chunks.withColumn("chunk_id", F.concat(F.coalesce(F.col(doc).cast("string"), F.lit("")), F.lit("-"), F.col("pos").cast("string")))
 
 
 def mark_chunks(docs: DataFrame, size: int, keep_title: bool = False, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """(keep, pos, content): chunks that open with a mark or a space, cut one after the other in Arrow batches."""
+    """(keep, pos, content): chunks that open with a mark or a space, cut one after the other in Arrow batches.
+
+    A cut is sought backwards from its window's end, so of most texts few characters are looked at; an expression over all marks, spaces
+    among them, would look at each."""
     if size < 2:
         raise ValueError("the window is too small")
     n = len(keep)

@@ -1,4 +1,7 @@
-"""Whole experiments as lazy plans: chunk, embed, search, lift, rerank, relabel, evaluate. Language is a column, not a loop."""
+"""Whole experiments: chunk, embed, search, lift, rerank, relabel, evaluate. Language is a column, not a loop.
+
+Plans are lazy but for the search, which writes and counts its queries when it is called.
+"""
 
 from __future__ import annotations
 

@@ -668,12 +668,12 @@ def judgement_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.judge(pairs, lambda: lambda b: b.assign(llm_label=(b["docid"].astype("int64") % 2).astype("int32"), llm_raw_label=(b["docid"].astype("int64") % 2).astype("int32"))[["qid", "docid", "type", "llm_label", "llm_raw_label"]])
 
 
-@query("""SELECT doc_id::VARCHAR AS docid, CASE WHEN doc_id % 5 = 0 THEN upper(text) WHEN doc_id % 3 = 0 THEN lower(text) ELSE text END AS text FROM documents""")
+@query("""SELECT doc_id::VARCHAR AS docid, CASE WHEN doc_id % 5 = 0 THEN 'second: ' || text WHEN doc_id % 3 = 0 THEN 'first: ' || text ELSE text END AS text FROM documents""")
 def merged_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlapping inputs: the corpus, then two corrections of parts of it."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("docid"), "text", "doc_id")
     some = lambda n, text: docs.where(F.col("doc_id") % n == 0).select("docid", text.alias("text"))
-    return files.last_wins([docs.select("docid", "text"), some(3, F.lower("text")), some(5, F.upper("text"))], "docid")
+    return files.last_wins([docs.select("docid", "text"), some(3, F.concat(F.lit("first: "), "text")), some(5, F.concat(F.lit("second: "), "text"))], "docid")
 
 
 # Models' inputs.

@@ -361,6 +361,24 @@ def test_media_columns(spark):
     assert [(r.error is None, r.feature) for r in media.features(bad, ["doc_id"]).orderBy("doc_id").collect()] == [(False, None), (True, None)]
 
 
+def test_media_that_cannot_be_decoded(spark):
+    """A row with its error for each, whatever its header says."""
+    big = b"9" * 30
+    bad = [b"P5 99999999999 99999999999 255\n", b"P5 " + big + b" 2 255\nab", b"P2 1 1 255\n" + b"1" * 23, b"P3 1 1 255\n1 2", b"P1 3 3\n101", b"P4 99999999999 1\nx", b"P2 1 1 3\n9", b"P5 2 1 7\n\x08\x01", b"P6 4000000000 4000000000 65535\n" + b"x" * 99, b"P2 1 1 255\n-4", b"P5 1 1 " + big + b"\na", b"P5", b"P2 1 1 255\nx", b"BM" + b"\xff" * 60]
+    head = media.encode_bmp(np.zeros((2, 2), np.uint8))
+    for at in (10, 14, 18, 22, 28, 46):
+        for value in (b"\xff\xff\xff\x7f", b"\x00\x00\x00\x80", b"\xff\xff\xff\xff"):
+            bad.append(head[:at] + value + head[at + 4 :])
+    fine = media.encode_pgm(np.arange(128, dtype=np.uint8).reshape(2, 64))
+    rows = [*enumerate(bad), (len(bad), fine)]
+    got = {r.doc_id: r for r in media.features(spark.createDataFrame(rows, "doc_id long, media binary").repartition(2), ["doc_id"]).collect()}
+    assert len(got) == len(rows) and got[len(bad)].error is None and got[len(bad)].payload_bytes == 128
+    for k, b in enumerate(bad):
+        assert got[k].media_bytes == len(b) and ((got[k].error is not None) == (got[k].feature is None))
+    assert sum(got[k].error is None for k in range(len(bad))) <= 6, "only some headers of BMP can be changed without harm"
+
+
+
 # Mixing
 
 
@@ -444,12 +462,22 @@ def test_line_dedup(spark):
     wide = {x for x, s in sites.items() if len(s) >= 8}
     assert wide and any(len(s) == 7 for s in sites.values())
     want = {k: "\n".join(x for p, x in enumerate(t.split("\n")) if x not in wide or first[x] == (k, p)) for k, t in enumerate(texts)}
-    got = {r.doc_id: r.text for r in linededup.remove_boilerplate(docs, counts=True).collect()}
+    got = {r.doc_id: r.text for r in linededup.remove_boilerplate(docs, 8, counts=True).collect()}
     assert got == want
-    left = {r.doc_id: r.text for r in linededup.remove_boilerplate(docs).collect()}
+    left = {r.doc_id: r.text for r in linededup.remove_boilerplate(docs, 8).collect()}
     assert left == {k: t for k, t in want.items() if WORD.search(t) or not WORD.search(texts[k])}
 
 
+@pytest.mark.parametrize("sources, sites, least", [(3, 2, 3), (3, 3, 3), (7, 3, 3), (10, 3, 4), (10, 4, 4), (19, 8, 8), (30, 8, 8), (30, 7, 8)])
+def test_lines_of_few_sites(spark, sources, sites, least):
+    """A planted line on some of the sites goes where they are enough."""
+    texts = [f"own line {k}\nthe planted line" if k < sites else f"own line {k}" for k in range(sources)]
+    docs = docs_of(spark, texts, [None, *(f"s{k}" for k in range(1, sources))])
+    assert linededup.threshold(docs) == least
+    left = [r.text for r in linededup.remove_boilerplate(docs).collect()]
+    assert sum("planted" in t for t in left) == (1 if sites >= least else sites) and len(left) == sources
+
+
 # SimHash
 
 
@@ -541,6 +569,22 @@ def plain_longest(words):
     return best
 
 
+def plain_quality(t):
+    """The columns of one text, by quadratic search."""
+    words = WORD.findall(t)
+    best = plain_longest(words)
+    windows = collections.Counter(zip(words, words[1:], words[2:], strict=False))
+    repeated = {i + j for i in range(len(words) - 2) for j in range(3) if windows[tuple(words[i : i + 3])] > 1}
+    under = {i + j for i, n in enumerate(best) if n >= quality.MIN_REPEAT for j in range(n)}
+    seen, dup = set(), 0
+    for x in t.split("\n"):
+        dup += bool(WORD.search(x)) and x in seen
+        seen.add(x)
+    failed = len(words) < 50 or 100 * len(repeated) > 50 * len(words)
+    kept = not failed and len(under) <= quality.MOST_COVERED * len(words) and max(best, default=0) <= quality.MOST_LONGEST
+    return (len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in t), dup, len(repeated), failed, len(under), max(best, default=0), kept)
+
+
 def test_quality():
     rng = random.Random(13)
     texts = some_texts(14, 60, words=70, vocabulary=6) + some_texts(15, 30, words=90, vocabulary=400)
@@ -548,19 +592,7 @@ def test_quality():
     texts += ["", "# * a", "\n".join([line, "x y", line, "", line]), " ".join(["a"] * 60), " ".join(f"q{k}" for k in range(80)), "dup\nDup\ndup\n \n \n", " ".join(rng.choice("ab") for _ in range(150))]
     found = quality.measure([t.encode() for t in texts])
     for k, t in enumerate(texts):
-        words = WORD.findall(t)
-        best = plain_longest(words)
-        windows = collections.Counter(zip(words, words[1:], words[2:], strict=False))
-        repeated = {i + j for i in range(len(words) - 2) for j in range(3) if windows[tuple(words[i : i + 3])] > 1}
-        under = {i + j for i, n in enumerate(best) if n >= quality.MIN_REPEAT for j in range(n)}
-        seen, dup = set(), 0
-        for x in t.split("\n"):
-            dup += bool(WORD.search(x)) and x in seen
-            seen.add(x)
-        failed = len(words) < 50 or 100 * len(repeated) > 50 * len(words)
-        kept = not failed and len(under) <= quality.MOST_COVERED * len(words) and max(best, default=0) <= quality.MOST_LONGEST
-        want = (len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in t), dup, len(repeated), failed, len(under), max(best, default=0), kept)
-        assert tuple(found[c][k] for c in quality.COLUMNS) == want
+        assert tuple(found[c][k] for c in quality.COLUMNS) == plain_quality(t)
 
 
 def test_repeats_do_not_cross_texts():

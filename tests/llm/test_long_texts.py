@@ -2,13 +2,15 @@
 
 import base64
 import hashlib
+import json
 
 import pytest
 import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, ctw, entries, linededup, media, mixing, nearcopies, quality, simhash
+import corpus_pipeline
+from corpusloom.llm import bpe, ctw, entries, linededup, media, mixing, nearcopies, quality, simhash, toolchat, urlfilter, warc
 
 LINES = [f"line {k} has word{k % 4999} and é{k % 313}" for k in range(100_000)]
 LONG = "\n".join(LINES)
@@ -66,3 +68,28 @@ def test_lines_and_mix(docs):
     left = rows(linededup.remove_boilerplate(docs, min_sites=2, counts=True))
     assert left[1].text == LONG and left[4].n_removed == 100_000 and left[4].text == "end"
     assert rows(mixing.mixed(docs))[1]["size"] == 600_000
+
+
+def test_pages(spark, tmp_path):
+    page = "<html>" + LONG + '<a href="http://b.net/">b</a></html>'
+    url = "http://a.com/" + "path/" * 400_000
+    pages = spark.createDataFrame([(1, url, page), (2, "http://b.net/es/", page), (3, "http://c.org/", "short")], "page_id long, url string, html string").repartition(2)
+    got = {r.page_id: r for r in warc.read(spark, warc.write(pages, f"file://{tmp_path}/w")).collect()}
+    digest = base64.b32encode(hashlib.sha1(page.encode()).digest()).decode()
+    assert [(got[k].payload_bytes, got[k].payload_digest, got[k].record_type, got[k].refers_to) for k in (1, 2)] == [(len(page.encode()), digest, "response", None), (len(page.encode()), digest, "revisit", 1)]
+    judged = {r.page_id: r for r in urlfilter.judge(pages, entries.URL_RULES).collect()}
+    assert judged[1].path == url.removeprefix("http://a.com") and judged[1].rule == "com/" and judged[2].verdict == "block"
+
+
+def test_messages(spark):
+    rows = [(1, 0, "user", LONG), (1, 1, "assistant", SAME), (1, 2, "user", "again, and long enough")]
+    got = {r.turn: r for r in toolchat.tool_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), {"reply": entries.REPLY}).collect()}
+    assert [got[k].status for k in range(3)] == ["linked", "linked", "unanswered"] and [got[k].valid for k in range(3)] == [False, None, True]
+    assert json.loads(got[0].json)["arguments"] == {"prompt": LONG, "turn": 0} and json.loads(got[1].json)["content"] == SAME
+
+
+def test_stages(spark, docs):
+    whole = docs.withColumns({"lang": F.lit("en"), "n_chars": F.length("text").cast("long")})
+    assert sorted(r.doc_id for r in corpus_pipeline.quality_rules(spark, whole, "").collect()) == [1, 4]
+    mixed = rows(corpus_pipeline.source_mix(spark, whole, ""))
+    assert set(mixed) <= {1, 2, 3, 4} and all(mixed[k].text in (LONG, SAME, LONG + "\nend", "short text") for k in mixed)

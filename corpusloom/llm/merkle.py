@@ -1,12 +1,12 @@
-"""Merkle trees of documents: sentences hash to paragraphs, paragraphs to sections, sections to a root.
+"""Merkle trees of documents: pieces hash to paragraphs, paragraphs to sections, sections to a root.
 
 A paragraph is a line; a section ends with an empty paragraph, with one whose hash begins with 0 to 3, and with the text, so that a change
-moves no boundary but those near it; sentences end with a mark and a space. Every character of a text belongs to one sentence or is
-the line feed between two paragraphs: equal roots mean equal texts. Each kind of node is hashed with a letter of its own before the
-hashes of its children. Sentences, of which only comparisons within two documents depend, keep 12 of the digits.
+moves no boundary but those near it; a piece is 32 code points, or fewer up to the end of a sentence, a mark and a space. Every character
+of a text belongs to one piece or is the line feed between two paragraphs: equal roots mean equal texts. Each kind of node is hashed with
+a letter of its own before the hashes of its children. Pieces, on which only comparisons of two documents depend, keep 12 of the digits.
 
 Everything is a native expression over one row, linear in the text's length. Cases: a null text is an empty one, a single paragraph
-without a sentence; repeated rows have equal trees; empty tables give empty ones; other columns stay out.
+without a piece; repeated rows have equal trees; empty tables give empty ones; other columns stay out.
 """
 
 from __future__ import annotations
@@ -23,9 +23,9 @@ from .common import parts_for
 RANGE_DOCS = 20_000
 #: Digits that a comparison of two documents keeps of a hash.
 SHORT = 12
-#: Marks that end a sentence if a space follows, which stays with it.
-_SENTENCE = r"(?<=[.!?。！？] )"
-TREE = "struct<root:string,sections:array<struct<hash:string,paragraphs:array<struct<hash:string,sentences:array<string>>>>>>"
+#: A piece, from its first character on.
+_PIECE = r"(?s).{0,30}?[.!?。！？] |.{1,32}"
+TREE = "struct<root:string,sections:array<struct<hash:string,paragraphs:array<struct<hash:string,pieces:array<string>>>>>>"
 
 
 def _node(letter: str, children: Column) -> Column:
@@ -33,15 +33,15 @@ def _node(letter: str, children: Column) -> Column:
 
 
 def _paragraph(line: Column) -> Column:
-    hashes = F.transform(F.filter(F.split(line, _SENTENCE), lambda s: s != ""), lambda s: F.sha2(s, 256))
-    return let(hashes, lambda h: F.struct(_node("p", h).alias("hash"), F.transform(h, lambda x: F.substring(x, 1, SHORT)).alias("sentences")))
+    hashes = F.transform(F.regexp_extract_all(line, F.lit(_PIECE), F.lit(0)), lambda s: F.sha2(s, 256))
+    return let(hashes, lambda h: F.struct(_node("p", h).alias("hash"), F.transform(h, lambda x: F.substring(x, 1, SHORT)).alias("pieces")))
 
 
 def tree(text: Column) -> Column:
     """The tree of a text, a TREE."""
 
     def sections(p: Column) -> Column:
-        ends = F.filter(F.sequence(F.lit(0), F.size(p) - 1), lambda i: (i == F.size(p) - 1) | (F.get(p, i)["hash"] < "4") | (F.size(F.get(p, i)["sentences"]) == 0))
+        ends = F.filter(F.sequence(F.lit(0), F.size(p) - 1), lambda i: (i == F.size(p) - 1) | (F.get(p, i)["hash"] < "4") | (F.size(F.get(p, i)["pieces"]) == 0))
         return let(ends, lambda e: F.transform(e, lambda end, k: let(F.slice(p, F.coalesce(F.get(e, k - 1), F.lit(-1)) + 2, end - F.coalesce(F.get(e, k - 1), F.lit(-1))), section)))
 
     section = lambda own: F.struct(_node("s", F.transform(own, lambda x: x["hash"])).alias("hash"), own.alias("paragraphs"))
@@ -50,15 +50,15 @@ def tree(text: Column) -> Column:
 
 
 def written(tree: Column) -> Column:
-    """A tree as text: root|section=sentences.sentences/section=... with a full root and short hashes."""
-    paragraph = lambda p: F.array_join(p["sentences"], "")
+    """A tree as text: root|section=pieces.pieces/section=... with a full root and short hashes."""
+    paragraph = lambda p: F.array_join(p["pieces"], "")
     section = lambda s: F.concat(F.substring(s["hash"], 1, SHORT), F.lit("="), F.array_join(F.transform(s["paragraphs"], paragraph), "."))
     return F.concat(tree["root"], F.lit("|"), F.array_join(F.transform(tree["sections"], section), "/"))
 
 
 def _leaves(tree: Column) -> Column:
-    """The sentences' hashes, each with how many equal ones came before it: a set that stands for a multiset."""
-    flat = F.flatten(F.transform(tree["sections"], lambda s: F.flatten(F.transform(s["paragraphs"], lambda p: p["sentences"]))))
+    """The pieces' hashes, each with how many equal ones came before it: a set that stands for a multiset."""
+    flat = F.flatten(F.transform(tree["sections"], lambda s: F.flatten(F.transform(s["paragraphs"], lambda p: p["pieces"]))))
 
     def numbered(x: Column) -> Column:
         starts = F.filter(F.sequence(F.lit(0), F.size(x) - 1), lambda i: (i == 0) | (F.get(x, i) != F.get(x, i - 1)))
@@ -69,7 +69,7 @@ def _leaves(tree: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """1 for equal roots; else twice the sentences that both trees have over all they have, 0 where neither has one."""
+    """1 for equal roots; else twice the pieces that both trees have over all they have, 0 where neither has one."""
     both = F.struct(_leaves(a).alias("a"), _leaves(b).alias("b"))
     share = let(both, lambda x: F.coalesce(F.try_divide(2.0 * F.size(F.array_intersect(x["a"], x["b"])), (F.size(x["a"]) + F.size(x["b"])).cast("double")), F.lit(0.0)))
     return F.when(a["root"] == b["root"], F.lit(1.0)).otherwise(share)
@@ -78,7 +78,7 @@ def likeness(a: Column, b: Column) -> Column:
 def first_change(a: Column, b: Column) -> Column:
     """struct<section, paragraph> where two trees first differ, from 0; null for equal roots."""
     differ = lambda x, y: F.array_position(F.zip_with(F.transform(x, lambda n: n["hash"]), F.transform(y, lambda n: n["hash"]), lambda m, n: m.eqNullSafe(n)), False) - 1
-    none = F.expr("cast(array() as array<struct<hash:string,sentences:array<string>>>)")
+    none = F.expr("cast(array() as array<struct<hash:string,pieces:array<string>>>)")
     inside = lambda t, k: F.coalesce(F.get(t["sections"], k.cast("int"))["paragraphs"], none)
     found = let(differ(a["sections"], b["sections"]), lambda k: F.struct(k.alias("section"), differ(inside(a, k), inside(b, k)).alias("paragraph")))
     return F.when(a["root"] != b["root"], found)

@@ -108,7 +108,7 @@ def _tree(kind: str, text: str) -> str:
     """Common tables of the trees of d's texts: leaves, paragraphs, sections, roots."""
     return rf"""
 {kind}_lines AS (SELECT doc_id, unnest(string_split({text}, chr(10))) AS line, generate_subscripts(string_split({text}, chr(10)), 1) AS pos FROM d),
-{kind}_leaves AS (SELECT doc_id, pos, list_transform(regexp_extract_all(line, '(?s).*?[.!?。！？] |.+$'), lambda x: sha256(x)) AS leaves FROM {kind}_lines),
+{kind}_leaves AS (SELECT doc_id, pos, list_transform(regexp_extract_all(line, '(?s).{{0,30}}?[.!?。！？] |.{{1,32}}'), lambda x: sha256(x)) AS leaves FROM {kind}_lines),
 {kind}_paragraphs AS (SELECT *, sha256('p' || array_to_string(leaves, '')) AS hash FROM {kind}_leaves),
 {kind}_numbered AS (SELECT *, coalesce(sum((hash < '4' OR len(leaves) = 0)::INT) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS section FROM {kind}_paragraphs),
 {kind}_sections AS (SELECT doc_id, section, min(pos) AS nth, sha256('s' || string_agg(hash, '' ORDER BY pos)) AS hash,

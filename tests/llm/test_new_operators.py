@@ -125,7 +125,7 @@ def sha(x):
 def plain_tree(text):
     paragraphs = []
     for line in text.split("\n"):
-        leaves = [sha(s) for s in re.findall(r"(?s).*?[.!?。！？] |.+$", line)]
+        leaves = [sha(s) for s in re.findall(r"(?s).{0,30}?[.!?。！？] |.{1,32}", line)]
         paragraphs.append((sha("p" + "".join(leaves)), [x[:12] for x in leaves]))
     sections, held = [], []
     for k, p in enumerate(paragraphs):

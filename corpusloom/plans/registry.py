@@ -750,6 +750,28 @@ def chunk_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return experiments.chunk(table(spark, sf_dir, "documents"), "chunk")
 
 
+@query(f"""SELECT 'no_segment' AS method, doc_id || '-0' AS chunk_id, doc_id, 0 AS pos, text AS content FROM documents
+UNION ALL SELECT 'easy_chunk', doc_id || '-' || pos, doc_id, pos, content FROM ({windows_sql(400, 340, 400)})
+UNION ALL SELECT 'chunk', chunk_id, doc_id, pos, content FROM ({ORACLES['chunk_dispatch']})""")
+def chunk_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The methods that need no encoder, each by its name."""
+    docs = table(spark, sf_dir, "documents")
+    made = {"no_segment": {}, "easy_chunk": {"max_length": 400, "overlap": 60}, "chunk": {}}
+    out = None
+    for method, given in made.items():
+        one = experiments.chunk(docs, method, **given).select(F.lit(method).alias("method"), "chunk_id", "doc_id", "pos", "content")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query()
+def chunk_semantic_narrow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The older variant: fewer ends of sentences, of which full stops become one, and windows and segments of 500; tests/ hold it
+    against a plain version."""
+    docs = table(spark, sf_dir, "documents").withColumn("text", F.replace("text", F.lit("."), F.lit("。")))
+    return semantic.semantic_chunks(docs, "slide_window", window=500, max_length=500, ends=T.SENTENCE_END_NARROW)
+
+
 def _judge() -> Callable:
     """A judge for tests of the surface: an odd docid is good, one divisible by 7 fails."""
 

@@ -156,14 +156,14 @@ def test_windows_on_both_sides_of_a_block(spark, size, overlap):
 # Plain versions of the semantic chunkers
 
 
-def plain_sentences(text):
-    return [s for s in re.findall(r"[^。！？,.?!]+[。！？,.?!]", text)] or [text]
+def plain_sentences(text, ends="。！？,.?!"):
+    return re.findall(f"[^{ends}]+[{ends}]", text) or [text]
 
 
-def plain_semantic(text, kind, window, max_length, k=None):
+def plain_semantic(text, kind, window, max_length, k=None, ends="。！？,.?!"):
     """Sentences; neighbours joined by kind; then inner segments join the neighbour that is more like them."""
     code = lambda x: semantic.hashed_ngrams([x]).astype(np.float32).astype(np.float64)[0]
-    parts = plain_sentences(text)
+    parts = plain_sentences(text, ends)
     vectors = [code(p) for p in parts]
     sims = [float(np.sum(a * b)) for a, b in zip(vectors, vectors[1:], strict=False)]
     out = parts[:1]
@@ -201,6 +201,15 @@ def test_semantic_chunks_against_a_plain_version(spark, kind):
     assert got == {k: [c for c in plain_semantic(t, kind, 80, 120) if c] for k, t in enumerate(texts)}
 
 
+def test_the_older_variant_against_a_plain_version(spark):
+    texts = [t.replace(".", "。") if k % 2 else t for k, t in enumerate(some_texts())]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {}
+    for r in semantic.semantic_chunks(df, "slide_window", window=90, max_length=90, ends=T.SENTENCE_END_NARROW).orderBy("doc_id", "pos").collect():
+        got.setdefault(r.doc_id, []).append(r.content)
+    assert got == {k: plain_semantic(t, "slide_window", 90, 90, ends="。！？") for k, t in enumerate(texts)}
+
+
 def plain_buffered(text, buffer, share):
     parts = plain_sentences(text)
     if len(parts) < 2:

@@ -17,7 +17,7 @@ from py4j.java_gateway import JavaObject
 from pyspark.sql import DataFrame, DataFrameWriter, Observation, SparkSession
 from pyspark.sql import functions as F
 
-_MANIFEST = re.compile(r"manifest-(\d+)\.json")
+_MANIFEST = re.compile(r"manifest-(\d+)\.json$")
 
 
 def _open(spark: SparkSession, path: str) -> tuple[JavaObject, Callable[[str], JavaObject]]:
@@ -44,7 +44,7 @@ def _last(spark: SparkSession, path: str) -> int:
     """The number of the manifest that counts; -1 without one."""
     fs, of = _open(spark, path)
     names = [f.getPath().getName() for f in fs.listStatus(of(path))] if fs.exists(of(path)) else []
-    return max((int(m[1]) for m in map(_MANIFEST.fullmatch, names) if m), default=-1)
+    return max((int(m[1]) for m in map(_MANIFEST.match, names) if m), default=-1)
 
 
 def manifest(spark: SparkSession, path: str) -> dict[str, Any] | None:

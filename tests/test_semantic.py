@@ -83,3 +83,17 @@ def test_merging_many_documents_encodes_together():
     rounds = len(calls)
     assert together == [semantic.merge_neighbours(d, encoder, 30) for d in documents]
     assert rounds <= 6 < max(calls) and any(len(a) < len(b) for a, b in zip(together, documents, strict=True))
+
+
+@pytest.mark.parametrize("make", [semantic.semantic_chunks, semantic.buffered_chunks])
+def test_texts_are_split_once_and_in_python(spark, make):
+    """The expression for sentences, evaluated twice, took most of the time."""
+    texts = ["One. Two, two. 三。Four", "No sentence here", "!!", "", None, "😀. é? tail"]
+    assert [semantic.parts_of(t) for t in texts] == [["One.", " Two,", " two.", " 三。"], ["No sentence here"], ["!!"], [], [], ["😀.", " é?"]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    made = make(docs)
+    assert "regexp_extract_all" not in made._jdf.queryExecution().toString()
+    got = {}
+    for r in made.orderBy("doc_id", "pos").collect():
+        got[r.doc_id] = got.get(r.doc_id, "") + r.content
+    assert got == {k: "".join(semantic.parts_of(t)) for k, t in enumerate(texts) if t}

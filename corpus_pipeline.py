@@ -31,6 +31,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document, that of the smallest id, of each group of near copies: five-word similarity 0.8 or more.
+    Candidates are SimHashes that meet in BK-trees and sets that share one of their first runs; each is checked on the whole sets.
 
     Null ids come last; of rows that tie in id and text one stays, whatever their other columns; null and empty texts are copies of
     each other."""

@@ -1,8 +1,9 @@
-"""Near copies by the exact similarity of their word runs: SimHash neighbours first, then every pair that is left.
+"""Near copies by SimHash and BK-trees, checked by the exact similarity of their word runs; then every pair that is left.
 
 A text is the set of its lower-cased runs of SHINGLE words (a shorter text is one run); texts are linked whose sets have Jaccard
-similarity LEAST or more, and components of links are groups. At 0.8 two 64-bit SimHashes differ in some 10 bits, which no bands
-find without loss, so candidates don't depend on them: with one order of all runs, sets this similar share one of the first
+similarity LEAST or more, and components of links are groups. Candidates are first those that op8's method gives: sets whose 64-bit
+SimHashes differ in RADIUS bits or fewer, found in BK-trees over bands of bits. At 0.8 two SimHashes differ in some 10 bits, which no
+bands find without loss, so the others don't depend on them: with one order of all runs, sets this similar share one of the first
 n - ceil(0.8 n) + 1 of their n runs. The order puts runs that are frequent in a sample last, so that sets which share a shard, a
 run, are few; any order loses nothing. The sample is a share of the table, so that no run of some thousand texts is missed, whatever the
 table's size. Shards of runs that are frequent all the same are dealt to as many lots as their size asks for. In a shard, neighbours in the order of the fingerprint, turned four ways, are compared
@@ -28,10 +29,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import bound_batches, staged, text_bytes, worker_state
-from .simhash import SEED, components, fingerprint_of, keep_least
+from .simhash import SEED, components, fingerprint_of, keep_least, links
 
 # The stage's parameters: words of a run, and the least similarity as a fraction.
 SHINGLE, LEAST = 5, (4, 5)
+#: Bits in which the SimHashes of sets differ at most that meet in a BK-tree: four bands of 16 bits lose none of these.
+RADIUS = 3
 #: Texts in the sample that gives the order, or one in SAMPLED of the table if that is more; how many of them must have a run for it
 #: to count as frequent; and the runs that the order goes by, the most frequent ones, 16 bytes each in a broadcast.
 SAMPLE, SAMPLED, FREQUENT, MOST_FREQUENT = 10_000, 1000, 4, 1_000_000
@@ -113,6 +116,17 @@ def frequent(docs: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray]:
     return found[order], counts[order] * one_in
 
 
+def by_trees(keys: DataFrame) -> DataFrame:
+    """(a, b): candidates by SimHash, a spanning forest of those within RADIUS bits in each BK-tree; sets of one SimHash meet the least
+    of them. keys: sets_of(docs) without the runs, staged."""
+    sets = keys.where("n > 0").select("fp", "sid").distinct()
+    prints = staged(sets.groupBy("fp").agg(F.min("sid").alias("sid")), "nearcopies-prints")
+    met = links(prints.select("fp"), RADIUS, direct=True).distinct()
+    apart = met.join(prints.toDF("a", "x"), "a").join(prints.toDF("b", "y"), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    same = sets.join(prints.toDF("fp", "a"), "fp").where("sid <> a").select("a", F.col("sid").alias("b"))
+    return apart.unionByName(same)
+
+
 ROW = ["run", "sid", "fp", "n", "at", "own", "deep", "lots"]
 
 
@@ -263,7 +277,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, root) for each row: root names the group."""
     keys = staged(sets_of(docs).drop("runs"), "nearcopies-sets")
     rows = staged(shards(docs, keys.count()), "nearcopies-shards")
-    near = similar(neighbours(rows), docs, keys)
+    near = similar(by_trees(keys).unionByName(neighbours(rows)).distinct(), docs, keys)
     rest = similar(remaining(rows, components(near), keys), docs, keys)
     roots = components(near.unionByName(rest))
     return keys.select("doc_id", "text_hash", "sid").join(roots, F.col("sid") == F.col("node"), "left").select("doc_id", "text_hash", F.coalesce("root", "sid").alias("root"))

@@ -97,9 +97,10 @@ class BKTree:
         return number
 
 
-def forest(values: list[int], radius: int) -> list[tuple[int, int]]:
-    """(value, root) for each value linked to others, but for the roots themselves: a spanning forest of the links."""
-    tree, root = BKTree(), list(range(len(values)))
+def forest(values: list[int], radius: int, direct: bool = False) -> list[tuple[int, int]]:
+    """(value, root) for each value linked to others, but for the roots themselves: a spanning forest of the links. direct: the forest's
+    own links instead, (value, earlier value) within the radius."""
+    tree, root, joined = BKTree(), list(range(len(values))), []
 
     def find(x: int) -> int:
         while root[x] != x:
@@ -112,7 +113,11 @@ def forest(values: list[int], radius: int) -> list[tuple[int, int]]:
         number = tree.add(value)
         for other in near:
             a, b = sorted((find(other), find(number)))
+            if a != b:
+                joined.append((value, values[other]))
             root[b] = a
+    if direct:
+        return joined
     return [(v, values[r]) for k, v in enumerate(values) if (r := find(k)) != k]
 
 
@@ -126,8 +131,8 @@ def _signed(bits: list[int]) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def links(prints: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
-    """prints: distinct fp, staged. (a, b): a spanning forest of each shard's links."""
+def links(prints: DataFrame, radius: int = RADIUS, shard: int = SHARD, direct: bool = False) -> DataFrame:
+    """prints: distinct fp, staged. (a, b): a spanning forest of each shard's links, as forest() gives it."""
     spark = prints.sparkSession
     out = None
     #: Paths of bands chosen so far, with the bits that are still free.
@@ -146,7 +151,7 @@ def links(prints: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFr
         rows = rows.select("fp", F.explode(to).alias("to")).select("to.path", "to.key", "fp")
         sizes = staged(rows.groupBy("path", "key").agg(F.count("*").alias("n")).where("n > 1"), "simhash-shards")
         small = rows.join(sizes.where(F.col("n") <= shard).select("path", "key"), ["path", "key"])
-        found = _search(small, radius)
+        found = _search(small, radius, direct)
         out = found if out is None else out.unionByName(found)
         big = {r.path for r in sizes.where(F.col("n") > shard).select("path").distinct().collect()}  # paths, at most (radius + 1) ** rounds
         paths = {p: grown[p] for p in big}
@@ -155,13 +160,13 @@ def links(prints: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFr
     return out if out is not None else spark.createDataFrame([], "a long, b long")
 
 
-def _search(rows: DataFrame, radius: int) -> DataFrame:
+def _search(rows: DataFrame, radius: int, direct: bool = False) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_state("simhash")
         now, held = None, []
 
         def flush() -> pa.RecordBatch:
-            pairs = forest(held, radius)
+            pairs = forest(held, radius, direct)
             return pa.RecordBatch.from_arrays([pa.array(np.array([p[k] for p in pairs], np.uint64).view(np.int64)) for k in (0, 1)], names=["a", "b"])
 
         for b in batches:

@@ -112,3 +112,21 @@ def test_lanes_never_differ_in_more_bits_than_sets_in_runs():
             a, b = np.unique(base), np.unique(other)
             apart = sum((int(x) ^ int(y)).bit_count() for x, y in zip(nearcopies.lanes(a).view(np.uint64), nearcopies.lanes(b).view(np.uint64), strict=True))
             assert apart <= len(np.setxor1d(a, b)) and (change != 40 or n < 146 or apart > 40)
+
+
+def test_simhashes_meet_in_bk_trees(spark, monkeypatch):
+    """Without any other step, near copies whose SimHashes are within the radius go; each candidate is within it, and none is lost."""
+    rng = random.Random(31)
+    fresh = lambda n: ["".join(rng.choice("abcdefghik") for _ in range(6)) for _ in range(n)]
+    base = [fresh(600) for _ in range(20)]
+    near = [[*x[:300], *fresh(1), *x[301:]] for x in base]
+    docs = docs_of(spark, [" ".join(x) for x in base + near] + ["", None, base[0][0]])
+    keys = nearcopies.staged(nearcopies.sets_of(docs).drop("runs"), "test-sets")
+    prints = {r.sid: r.fp & (2**64 - 1) for r in keys.where("n > 0").collect()}
+    want = {frozenset((a, b)) for a in prints for b in prints if a < b and (prints[a] ^ prints[b]).bit_count() <= nearcopies.RADIUS}
+    got = {frozenset(r) for r in nearcopies.by_trees(keys).collect()}
+    assert len(want) > 8 and got == want, "no group here has more than two sets, so that a forest has all links"
+    for step in ("neighbours", "remaining"):
+        monkeypatch.setattr(nearcopies, step, lambda rows, *_: rows.select("sid", "n").toDF("a", "b").where("false").selectExpr("a", "cast(b AS long) AS b"))
+    kept = {r.doc_id for r in nearcopies.keep_one(docs).collect()}
+    assert len(kept) == 42 - len(want), "null and the empty text are one, too"

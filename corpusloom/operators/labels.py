@@ -74,10 +74,14 @@ def rerank_filter(runs: list[DataFrame], positives: DataFrame, hard_negatives: D
         one = r.groupBy("qid", "docid").agg(F.min("rank").alias("rank"))
         each = one if each is None else each.unionByName(one)
     worst = each.groupBy("qid", "docid").agg(F.max("rank").alias("worst"), F.count("*").alias("n")).where(F.col("n") == len(runs))
-    known = positives.select("qid", "docid").unionByName(hard_negatives.select("qid", "docid")).distinct()
-    potential = worst.where(F.col("worst") <= pos_rank).join(known, ["qid", "docid"], "left_anti").select("qid", "docid", F.lit(TYPES[1]).alias("type"))
-    false = worst.where(F.col("worst") <= neg_rank).join(hard_negatives.select("qid", "docid").distinct(), ["qid", "docid"], "left_semi").select("qid", "docid", F.lit(TYPES[2]).alias("type"))
-    return potential.unionByName(false)
+    worst = worst.where(F.col("worst") <= max(pos_rank, neg_rank))
+    # The labelled pairs can be far more than the hits: they stream past these, and are neither sorted nor aggregated.
+    marked = positives.select("qid", "docid", F.lit(False).alias("hard")).unionByName(hard_negatives.select("qid", "docid", F.lit(True).alias("hard")))
+    marked = marked.join(worst.select("qid", "docid").hint("shuffle_hash"), ["qid", "docid"], "left_semi")
+    found = worst.join(marked.groupBy("qid", "docid").agg(F.max("hard").alias("hard")), ["qid", "docid"], "left")
+    potential = F.when(F.col("hard").isNull() & (F.col("worst") <= pos_rank), TYPES[1])
+    false = F.when(F.col("hard") & (F.col("worst") <= neg_rank), TYPES[2])
+    return found.select("qid", "docid", F.coalesce(potential, false).alias("type")).where("type is not null")
 
 
 def all_pairs(positives: DataFrame, filtered: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 import collections
 
-from corpusloom.operators import retrieval
+from corpusloom.operators import labels, retrieval
 from corpusloom.plans import registry
 
 
@@ -59,3 +59,15 @@ def test_more_queries_than_a_block(spark, monkeypatch):
     queries = spark.createDataFrame([(k, [float(k - 4), 0.5]) for k in range(10)], "qid long, embedding array<float>")
     want = {tuple(r) for r in retrieval.search(queries, index, 4).collect()}
     assert len(want) == 40 and {tuple(r) for r in retrieval.search_blocks(queries, index, 4).collect()} == want
+
+
+def test_labelled_pairs_stream_past_the_hits(spark):
+    """Labelled pairs are neither made distinct nor sorted for the filter: only those that are hits are aggregated."""
+    run = lambda rows: spark.createDataFrame(rows, "qid string, docid string, rank int")
+    pairs = lambda rows: spark.createDataFrame(rows, "qid string, docid string")
+    one = run([("q", "a", 1), ("q", "b", 2), ("q", "c", 15), ("q", "d", 15), ("q", "e", 3), ("q", "f", 25), ("q", None, 4), ("q", "g", 5)])
+    other = run([("q", "a", 9), ("q", "b", 1), ("q", "c", 1), ("q", "d", 1), ("q", "e", 11), ("q", "f", 1), ("q", None, 4)])
+    got = labels.rerank_filter([one, other], pairs([("q", "a"), ("q", "a"), ("q", "z")]), pairs([("q", "d"), ("q", "d"), ("q", "f"), ("q", "a")]))
+    assert sorted(map(tuple, got.collect()), key=str) == [("q", "a", "false_hard_neg"), ("q", "b", "potential_pos"), ("q", "d", "false_hard_neg"), ("q", None, "potential_pos")]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "LeftSemi, BuildRight" in plan and "LeftAnti" not in plan

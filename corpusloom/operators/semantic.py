@@ -19,8 +19,20 @@ from .staging import bound_batches
 Encoder = Callable[[list[str]], np.ndarray]
 
 
+#: Characters that are hashed at once, but for a longer text; an array of each takes eight bytes.
+HASHED = 250_000
+
+
 def hashed_ngrams(texts: list[str], dim: int = 64, n: int = 3) -> np.ndarray:
-    """Unit vectors of hashed character n-grams: deterministic, and no substitute for a learned encoder. All texts at once."""
+    """Unit vectors of hashed character n-grams: deterministic, and no substitute for a learned encoder. Many texts at once."""
+    lots = np.cumsum([len(t) + n for t in texts]) // HASHED
+    cuts = [0, *(np.flatnonzero(np.diff(lots)) + 1).tolist(), len(texts)]
+    made = [_hashed(texts[a:b], dim, n) for a, b in zip(cuts, cuts[1:], strict=False)]
+    return made[0] if len(made) == 1 else np.concatenate(made)
+
+
+def _hashed(texts: list[str], dim: int, n: int) -> np.ndarray:
+    """hashed_ngrams() in one go."""
     padded = [f" {t} ".ljust(n) for t in texts]
     sizes = np.array([len(t) for t in padded], np.int64)
     codes = np.frombuffer("".join(padded).encode("utf-32-le"), np.uint32).astype(np.uint64)

@@ -97,3 +97,17 @@ def test_texts_are_split_once_and_in_python(spark, make):
     for r in made.orderBy("doc_id", "pos").collect():
         got[r.doc_id] = got.get(r.doc_id, "") + r.content
     assert got == {k: "".join(semantic.parts_of(t)) for k, t in enumerate(texts) if t}
+
+
+def test_memory_of_hashing_is_bounded():
+    """The arrays of a batch of texts took some 90 bytes for each of its characters."""
+    import tracemalloc
+
+    texts = [f"{k} some words of a text " * 20 for k in range(8000)]
+    tracemalloc.start()
+    made = semantic.hashed_ngrams(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(map(len, texts)) > 3_500_000 and peak < 80_000_000
+    assert (made == np.concatenate([semantic.hashed_ngrams([t]) for t in texts])).all()
+    assert semantic.hashed_ngrams([]).shape == (0, 64)

@@ -45,6 +45,8 @@ TURNS = (0, 16, 32, 48)
 #: Lanes, by a number of a run's highest bits, and the 64-bit words that hold them.
 LANE_BITS = 10
 LANE_WORDS = (1 << LANE_BITS) // 64
+#: Bits, at most, of the map by which a task tells the texts that are asked for (8 MB), and bits of one of its blocks, as Spark cuts it.
+MARKS, BLOCK = 1 << 26, 1 << 15
 
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -72,10 +74,14 @@ def lanes(held: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def _name(held: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(held.tobytes(), SEED)
+
+
 def _sets(texts: list[bytes]) -> tuple[list[np.ndarray], list[pa.Array]]:
     """Each text's set in order, and columns: the set's name, its SimHash and its size."""
     held = [np.unique(runs(t)) for t in texts]
-    names = [xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in held]
+    names = [_name(h) for h in held]
     prints = [fingerprint_of(h.astype(">u8")) for h in held]
     longs = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (names, prints)]
     return held, [*longs, pa.array([len(h) for h in held], pa.int32())]
@@ -131,9 +137,10 @@ ROW = ["run", "sid", "fp", "n", "at", "own", "deep", "lots"]
 
 
 def shards(docs: DataFrame, rows: int) -> DataFrame:
-    """ROW: the sets that share one of their first runs. at is the run's place in the set's order; own counts those of the set's
-    first runs, among the infrequent, that no other set has among its first; deep is whether its first runs reach the frequent; lots is
-    how many lots the run's shard is dealt to. A task gives each set once, so that copies are a row a task."""
+    """ROW without fp and n, which go by the set: the sets that share one of their first runs. at is the run's place in the set's order;
+    own counts those of the set's first runs, among the infrequent, that no other set has among its first; deep is whether its first
+    runs reach the frequent; lots is how many lots the run's shard is dealt to. A task gives each set once, so that copies are a row a
+    task."""
     bound_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(frequent(docs, rows))
     up, down = LEAST
@@ -143,9 +150,10 @@ def shards(docs: DataFrame, rows: int) -> DataFrame:
         known, counts = shipped.value
         seen: set[int] = set()
         for b in batches:
-            sets, columns = _sets(text_bytes(b.column(0)))
+            sets = [np.unique(runs(t)) for t in text_bytes(b.column(0))]
+            names = np.array([_name(x) for x in sets], np.uint64).view(np.int64)
             firsts, rows, places, lots, rare = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], np.zeros(len(sets), np.int32)
-            for k, (held, sid) in enumerate(zip(sets, columns[0].to_pylist(), strict=True)):
+            for k, (held, sid) in enumerate(zip(sets, names.tolist(), strict=True)):
                 if not len(held) or sid in seen:
                     continue
                 seen.add(sid)
@@ -163,19 +171,19 @@ def shards(docs: DataFrame, rows: int) -> DataFrame:
                 lots.append((1 + times[: len(first)] // LOT).astype(np.int32))
             pick, place = np.concatenate(rows), np.concatenate(places)
             deep = np.array([up * len(x) // -down + 1 + len(x) for x in sets], np.int64) > rare
-            picked = [pa.array(np.concatenate(firsts).view(np.int64)), *(c.take(pa.array(pick)) for c in columns), pa.array(place), pa.array(place < rare[pick]), pa.array(deep[pick]), pa.array(np.concatenate(lots))]
-            yield pa.RecordBatch.from_arrays(picked, names=["run", "sid", "fp", "n", "at", "rare", "deep", "lots"])
+            picked = [pa.array(x) for x in (np.concatenate(firsts).view(np.int64), names[pick], place, place < rare[pick], deep[pick], np.concatenate(lots))]
+            yield pa.RecordBatch.from_arrays(picked, names=["run", "sid", "at", "rare", "deep", "lots"])
 
-    made = docs.select("text").mapInArrow(run, "run long, sid long, fp long, n int, at int, rare boolean, deep boolean, lots int")
+    made = docs.select("text").mapInArrow(run, "run long, sid long, at int, rare boolean, deep boolean, lots int")
     made = made.withColumn("lot", F.pmod("sid", "lots").cast("int")).repartition("run", "lot").dropDuplicates(["run", "lot", "sid"])
     # A run of many lots is frequent, and so shared.
     here = W.partitionBy("run", "lot")
     made = made.select("*", ((F.col("lots") > 1) | (F.min("sid").over(here) != F.max("sid").over(here))).alias("shared"))
     # A set's rare first runs that stand alone are counted, and go. All columns are asked for, so that both readers share one exchange.
-    whole = " and ".join(f"{c} is not null" for c in ("fp", "n", "at", "deep", "lots"))
+    whole = " and ".join(f"{c} is not null" for c in ("at", "deep", "lots"))
     alone = made.where(f"rare and not shared and {whole}").groupBy("sid").agg(F.count("*").cast("int").alias("own"))
-    met = made.where("shared and rare is not null").select("run", "sid", "fp", "n", "at", "deep", "lots")
-    return met.join(alone, "sid", "left").select("run", "sid", "fp", "n", "at", F.coalesce("own", F.lit(0)).alias("own"), "deep", "lots")
+    met = made.where("shared and rare is not null").select("run", "sid", "at", "deep", "lots")
+    return met.join(alone, "sid", "left").select("run", "sid", "at", F.coalesce("own", F.lit(0)).alias("own"), "deep", "lots")
 
 
 def _possible() -> str:
@@ -250,13 +258,49 @@ def remaining(rows: DataFrame, roots: DataFrame, keys: DataFrame) -> DataFrame:
     return _enough(met.select(held("sid", "sid2", "a"), held("sid2", "sid", "b"), held("n", "n2", "n"), held("n2", "n", "n2"), held("at", "at2", "at"), held("at2", "at", "at2")))
 
 
+def marks(hashes: DataFrame, bits: int) -> np.ndarray:
+    """A map of bits, a power of two and BLOCK at least, as bytes: those at the lowest bits of each of hashes (hash) are set."""
+    at = F.pmod("hash", F.lit(bits)) + 1  # Spark numbers bits from 1
+    blocks = hashes.select(F.bitmap_bucket_number(at).alias("block"), F.bitmap_bit_position(at).alias("bit")).repartition("block")
+    held = blocks.groupBy("block").agg(F.bitmap_construct_agg("bit").alias("bits")).toArrow()
+    out = np.zeros((bits // BLOCK, BLOCK // 8), np.uint8)
+    for block, each in zip(held["block"].to_pylist(), held["bits"].to_pylist(), strict=True):
+        out[block - 1] = np.frombuffer(each, np.uint8)
+    return out.reshape(-1)
+
+
+def runs_of(docs: DataFrame, hashes: DataFrame, expected: int) -> DataFrame:
+    """(sid, runs) for texts with one of hashes (hash), as text_hash, of which some `expected` are expected, and for a few others, which
+    have the same place in a map: of the texts, what isn't asked for never leaves its task. A task gives each text once."""
+    bound_batches(docs.sparkSession)
+    bits = min(MARKS, max(BLOCK, 1 << (32 * expected).bit_length()))
+    shipped = docs.sparkSession.sparkContext.broadcast(marks(hashes, bits))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("nearcopies")
+        marked, seen = shipped.value, set()
+        for b in batches:
+            texts = text_bytes(b.column(0))
+            hashes = np.array([xxhash.xxh64_intdigest(t, SEED) for t in texts], np.uint64)
+            at = (hashes & np.uint64(bits - 1)).astype(np.int64)
+            held = []
+            for k in np.flatnonzero(marked[at >> 3] >> (at & 7) & 1).tolist():
+                if hashes[k] not in seen:
+                    seen.add(hashes[k])
+                    held.append(np.unique(runs(texts[k])))
+            names = pa.array(np.array([_name(h) for h in held], np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([names, pa.array([h.tobytes() for h in held], pa.binary())], names=["sid", "runs"])
+
+    return docs.select("text").mapInArrow(run, "sid long, runs binary")
+
+
 def similar(pairs: DataFrame, docs: DataFrame, keys: DataFrame) -> DataFrame:
     """Those of pairs (a, b) whose whole sets are similar. keys: sets_of(docs) without the runs."""
     pairs = staged(pairs, "nearcopies-pairs")
     needed = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
     texts = keys.join(needed, "sid").groupBy("sid").agg(F.min("text_hash").alias("hash")).select("hash")
-    some = docs.select("doc_id", "text").join(texts, F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("hash"), "left_semi")
-    held = staged(sets_of(some).select("sid", "runs").dropDuplicates(["sid"]), "nearcopies-needed")
+    found = runs_of(docs, texts, 2 * pairs.count()).join(needed, "sid", "left_semi")
+    held = staged(found.dropDuplicates(["sid"]), "nearcopies-needed")
     both = pairs.join(held.toDF("a", "runs_a"), "a").join(held.toDF("b", "runs_b"), "b").select("a", "b", "runs_a", "runs_b")
     up, down = LEAST
 
@@ -276,7 +320,9 @@ def similar(pairs: DataFrame, docs: DataFrame, keys: DataFrame) -> DataFrame:
 def near_copies(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, root) for each row: root names the group."""
     keys = staged(sets_of(docs).drop("runs"), "nearcopies-sets")
-    rows = staged(shards(docs, keys.count()), "nearcopies-shards")
+    # Of a set, only what its runs need goes with each of them; the rest joins those that are shared.
+    each = keys.select("sid", "fp", "n").dropDuplicates(["sid"])
+    rows = staged(shards(docs, keys.count()).join(each, "sid").select(*ROW), "nearcopies-shards")
     near = similar(by_trees(keys).unionByName(neighbours(rows)).distinct(), docs, keys)
     rest = similar(remaining(rows, components(near), keys), docs, keys)
     roots = components(near.unionByName(rest))

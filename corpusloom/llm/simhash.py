@@ -228,9 +228,9 @@ def keep_least(docs: DataFrame, found: DataFrame) -> DataFrame:
     """keep_one() for groups found: (doc_id, text_hash, root) for each row."""
     id_, hash_, place_ = unused(docs, "id", "hash", "place")
     least = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("k"))
-    least = least.select(F.col("k.doc_id").alias(id_), F.col("k.text_hash").alias(hash_))
-    here = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    kept = docs.join(least, F.col("doc_id").eqNullSafe(F.col(id_)) & (here == F.col(hash_)))
+    # Null ids in structs are equal, so that join and window ask for the same keys, and texts are shuffled once.
+    least = least.select(F.struct("k.doc_id").alias(id_), F.col("k.text_hash").alias(hash_))
+    kept = docs.withColumns({id_: F.struct("doc_id"), hash_: F.xxhash64(F.coalesce(F.col("text"), F.lit("")))}).join(least, [id_, hash_])
     # Rows that repeat both are the same document.
     order = W.partitionBy(id_, hash_).orderBy(F.lit(0))
     return kept.withColumn(place_, F.row_number().over(order)).where(F.col(place_) == 1).select(*columns_of(docs))

@@ -1,6 +1,9 @@
 """The pipeline's near-dedup against all pairs."""
 
+import contextlib
+import io
 import random
+import re
 
 import corpus_pipeline
 from corpusloom.llm import nearcopies
@@ -130,3 +133,65 @@ def test_simhashes_meet_in_bk_trees(spark, monkeypatch):
         monkeypatch.setattr(nearcopies, step, lambda rows, *_: rows.select("sid", "n").toDF("a", "b").where("false").selectExpr("a", "cast(b AS long) AS b"))
     kept = {r.doc_id for r in nearcopies.keep_one(docs).collect()}
     assert len(kept) == 42 - len(want), "null and the empty text are one, too"
+
+
+def test_texts_are_shuffled_once(spark, monkeypatch):
+    """One exchange of the whole stage has texts, and the one of all first runs has no SimHashes."""
+    plans = []
+
+    def planned(df):
+        with contextlib.redirect_stdout(io.StringIO()) as said:
+            df.explain("formatted")
+        plans.append(said.getvalue())
+        return df
+
+    plain = nearcopies.staged
+    monkeypatch.setattr(nearcopies, "staged", lambda df, name: plain(planned(df), name))
+    rows = [(k, t, "a") for k, t in enumerate(texts())]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = planned(nearcopies.keep_one(docs_of(spark, [t for _, t, _ in rows]))).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sorted(r.doc_id for r in kept) == plain_kept(rows)
+    dealt = [c for p in plans for c in re.findall(r"\) Exchange\s*\nInput \[\d+\]: \[([^\]]*)\]", p)]
+    assert len(dealt) > 20
+    assert sum(bool(re.search(r"\btext#", c)) for c in dealt) == 1
+    firsts = [c for c in dealt if re.search(r"\blot#", c) and re.search(r"\brare#", c)]
+    assert firsts and not any(re.search(r"\bfp#", c) for c in firsts)
+
+
+def test_a_map_tells_the_texts_that_are_asked_for(spark, monkeypatch):
+    """Every text asked for is found, in a map so full that others are too; equal texts are one in a task."""
+    import numpy as np
+
+    some = [f"w{k} a b c d e f" for k in range(2000)]
+    docs = docs_of(spark, [*some, *some, "", None]).repartition(1)
+    keys = nearcopies.sets_of(docs).select("text_hash", "sid").distinct().collect()
+    wanted = keys[::3]
+    hashes = spark.createDataFrame([(r.text_hash,) for r in wanted], "hash long").repartition(3)
+    for bits in (nearcopies.BLOCK, nearcopies.BLOCK * 8):
+        want = np.zeros(bits, np.uint8)
+        want[[r.text_hash % bits for r in wanted]] = 1
+        assert (np.unpackbits(nearcopies.marks(hashes, bits), bitorder="little") == want).all()
+    monkeypatch.setattr(nearcopies, "MARKS", nearcopies.BLOCK)
+    got = [(r.sid, len(r.runs)) for r in nearcopies.runs_of(docs, hashes, len(wanted)).collect()]
+    assert {r.sid for r in wanted} <= {s for s, _ in got} <= {r.sid for r in keys}
+    assert len(got) == len(set(got)) < len(some) and {n for s, n in got} <= {0, 24}
+    assert nearcopies.runs_of(docs, hashes.where("false"), 0).count() == 0
+
+
+def test_null_ids_repeat(spark):
+    """Rows that repeat both id and text are one; of rows without an id the text decides, and an id comes before none."""
+    long = lambda k: " ".join(f"w{k}{j}" for j in range(30))
+    rows = [(None, long(1)), (None, long(1)), (None, long(2)), (4, long(2)), (4, long(2)), (4, long(3)), (None, None), (None, "")]
+    docs = spark.createDataFrame([(k, t, "a", "s", 1) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    for limit in ("-1", "10m"):
+        before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        try:
+            kept = [(r.doc_id, r.text or "") for r in nearcopies.keep_one(docs).collect()]
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        assert sorted(kept, key=str) == sorted([(None, long(1)), (4, long(2)), (4, long(3)), (None, "")], key=str)
